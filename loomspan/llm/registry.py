@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .line_dedup import LINE_SQL
 from .mixing import MIX_SQL
+from .url_filter import URL_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,24 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "copy", "copies", "shuffle_key", "text")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import RULES, filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"), RULES, carry=["page_id"])
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import html_text
+
+    return html_text(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import embedding_dedup
+
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_files
     from .tokens import tokenizer_path
@@ -43,6 +62,13 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    done = substring_dedup(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
 
@@ -64,12 +90,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_url_filter": op2_url_filter,
+    "op3_html_text": op3_html_text,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_token_files": op5_token_files,
     "op6_line_dedup": op6_line_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_pack": op10_pack,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op1_mix_sources": MIX_SQL, "op6_line_dedup": LINE_SQL}
+ORACLES: dict[str, str] = {"op1_mix_sources": MIX_SQL, "op2_url_filter": URL_SQL, "op6_line_dedup": LINE_SQL}
