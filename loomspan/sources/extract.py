@@ -113,7 +113,7 @@ def _braces(text: str, language: str) -> Found:
             outer = m[2].decode() if m[2] else None
         else:
             name, span, outer = m[2], m.span(2), None
-            kind = "impl" if word == b"impl" else _KINDS[word]
+            kind = "impl" if word == b"impl" else "variable" if lang == "typescript" and word == b"const" else _KINDS[word]
             if word == b"impl":
                 target = re.search(rb"\bfor\s+(" + _NAME + rb")", name)
                 name = target[1] if target else re.match(_NAME, name)[0]
