@@ -34,10 +34,10 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, alpha: float
     else:
         given = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))]) if weights else F.lit(None).cast("map<string,double>")
         weighed = sizes.withColumn("weight", F.coalesce(given[F.col("of")], F.lit(0.0)))
-    total = weighed.agg(F.sum(F.when(F.col("size") > 0, F.col("weight"))).alias("weights"), F.sum("size").alias("all"))
-    share = F.col("weight") / F.col("weights")
-    rate = F.when((F.col("size") > 0) & (F.col("weights") > 0), share * epochs * F.col("all") / F.col("size")).otherwise(F.lit(0.0 if weights is not None else 1.0))
-    return weighed.crossJoin(F.broadcast(total)).select("of", "size", F.round(rate, 12).alias("rate"))
+    total = weighed.agg(F.sum(F.when(F.col("size") > 0, F.col("weight"))).alias("weights"), F.sum("size").alias("all")).first()
+    weights_, all_ = F.lit(total["weights"] or 0.0), F.lit(total["all"] or 0)
+    rate = F.when((F.col("size") > 0) & (weights_ > 0), F.col("weight") / weights_ * epochs * all_ / F.col("size")).otherwise(F.lit(0.0 if weights is not None else 1.0))
+    return weighed.select("of", "size", F.round(rate, 12).alias("rate"))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, alpha: float = 0.7, epochs: float = 1.0, seed: int = 42, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
