@@ -20,8 +20,10 @@ _BLOCKS = _CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "d
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 #: Words in class, id and role that mark such elements, and beginnings of such words.
-_MARKS = {"ad", "ads", "adbox", "adsense", "nav", "navbar", "navigation", "menu", "footer", "sidebar", "aside", "banner", "notice", "notification", "alert", "popup", "modal", "overlay", "share", "sharing", "social", "related", "recommended", "recommendations", "breadcrumb", "breadcrumbs", "disqus", "widget", "login", "signup", "search", "searchform", "form", "pagination", "pager", "toolbar", "copyright", "legal", "masthead", "topbar", "contentinfo", "complementary", "dialog", "tags", "promo", "toc", "teaser", "hidden"}
-_MARK_STARTS = ("advert", "cookie", "consent", "newsletter", "subscri", "sponsor", "comment", "gdpr", "respond", "repl")
+_MARKS = {"ad", "ads", "adbox", "adsense", "nav", "navbar", "navigation", "menu", "footer", "sidebar", "aside", "banner", "notice", "notification", "alert", "popup", "modal", "overlay", "share", "sharing", "social", "related", "recommended", "recommendations", "breadcrumb", "breadcrumbs", "disqus", "widget", "login", "signup", "search", "searchform", "form", "pagination", "pager", "toolbar", "copyright", "legal", "masthead", "topbar", "contentinfo", "complementary", "dialog", "tags", "promo", "toc", "teaser", "hidden", "disclaimer", "announcement", "paywall", "adslot", "adunit", "navigationbar", "topnav", "subnav", "sitemap"}
+_MARK_STARTS = ("advert", "cookie", "consent", "newsletter", "subscri", "sponsor", "comment", "gdpr", "respond", "reply", "replies", "discuss", "promot")
+#: A header with one of these words in its marks is the article's own.
+_OWN_HEADER = {"article", "entry", "post", "story", "content", "chapter", "section"}
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -30,7 +32,10 @@ def _marked(attrs: list[tuple[str, str | None]]) -> bool:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
         if name in ("class", "id", "role") and value:
-            for word in _SPLIT.split(value.lower()):
+            words = _SPLIT.split(value.lower())
+            if "header" in words and not _OWN_HEADER.intersection(words):
+                return True
+            for word in words:
                 if word in _MARKS or word.startswith(_MARK_STARTS):
                     return True
     return False

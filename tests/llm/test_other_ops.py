@@ -64,6 +64,8 @@ def test_html_text(spark):
     assert extract_text(PAGE) == want
     assert extract_text(None) == extract_text("") == extract_text("<nav>x</nav>") == ""
     assert extract_text("<p>only</p>") == "only"
+    plain = "<div class='site-header'>Site</div><div id=wrap><div class='entry-header'><h2>Title</h2></div><p>A long paragraph of the article with many words in it.</p><p>End.</p><div class='cookie-bar'>Cookies</div></div>"
+    assert extract_text(plain) == "Title\nA long paragraph of the article with many words in it.\nEnd."
     assert extract_text("<![bad <p>text</p>") is not None
     long = "<article>" + "<p>some words in a paragraph</p>" * 20_000 + "</article>"
     assert extract_text(long).count("\n") == 19_999
