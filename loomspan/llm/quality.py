@@ -130,3 +130,30 @@ def quality_rules(docs: DataFrame, carry: list[str] | None = None, *, min_words:
     good = F.coalesce((F.col("char_distance") + F.col("word_distance")) / 2 <= max_distance, F.lit(False))
     far = far.withColumn("kept", ~F.col("base_failed") & (~judged | good))
     return far.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *made, "char_distance", "word_distance", "kept")
+
+
+def quality_sql(min_words: int = 50, max_distance: float = 0.185) -> str:
+    """DuckDB SQL for the judgement of ``documents`` (columns of the query)."""
+    listed = lambda words: "[" + ", ".join(f"'{f}'" for w in words for f in _forms(w)) + "]"
+    counts = ", ".join(f"len(list_filter(ws, lambda x: list_contains({listed(words)}, x))) AS n_{lang}" for lang, words in COMMON.items())
+    most = "greatest(" + ", ".join(f"n_{lang}" for lang in COMMON) + ")"
+    lang = "CASE WHEN " + most + " = 0 THEN NULL " + " ".join(f"WHEN n_{x} = {most} THEN '{x}'" for x in COMMON) + " END"
+    bins = "CASE lang " + " ".join("WHEN '" + x + "' THEN [" + ", ".join(f"len(list_filter(ws, lambda x: list_contains({listed([w])}, x)))" for w in words) + "]" for x, words in COMMON.items()) + " END"
+    rest = lambda a, n: f"list_concat(list_transform({a}, lambda x: x / {n}::DOUBLE), [greatest(0.0, 1 - list_sum({a}) / {n}::DOUBLE)])"
+    half = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / ({0} + {1})) ELSE 0 END"
+    distance = lambda p, q, n: f"sqrt(greatest(0.0, list_sum(list_transform(range(1, {n + 1}), lambda i: {half.format(f'{p}[i]', f'{q}[i]')} + {half.format(f'{q}[i]', f'{p}[i]')})) / 2))"
+    mean = lambda c, n: "[" + ", ".join(f"avg({c}[{i}])" for i in range(1, n + 1)) + "]"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, pos, ws[pos:pos + 4] AS five FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS pos FROM d)),
+g AS (SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, five) AS n FROM p) WHERE n > 1),
+r AS (SELECT doc_id, sum(least(5, coalesce(next - pos, 5))) AS n_repeat_words FROM g GROUP BY doc_id),
+b AS (SELECT doc_id, ws, trim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+ list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, {counts} FROM b),
+l AS (SELECT *, {lang} AS lang FROM f),
+h AS (SELECT * EXCLUDE (ws, t, lines), {rest("[len(regexp_extract_all(t, '[A-Z]')), n_symbols, strlen(t) - length(t), length(t) - word_chars]", "greatest(strlen(t), 1)")} AS chars, {rest(bins, "greatest(n_words, 1)")} AS common FROM l),
+refs AS (SELECT lang, {mean("chars", 5)} AS rc, {mean("common", 9)} AS rw FROM h WHERE NOT base_failed AND n_words >= {min_words} AND lang IS NOT NULL GROUP BY lang),
+j AS (SELECT h.*, {distance("chars", "rc", 5)} AS cd, {distance("common", "rw", 9)} AS wd FROM h LEFT JOIN refs USING (lang))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (n_words < {min_words} OR coalesce(lang IS NOT NULL AND (cd + wd) / 2 <= {max_distance}, false)) AS kept FROM j
+"""

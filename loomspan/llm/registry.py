@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .embedding_dedup import VECTOR_SQL
 from .line_dedup import LINE_SQL
 from .mixing import MIX_SQL
+from .quality import quality_sql
+from .substring_dedup import WINDOW_SQL
 from .url_filter import URL_SQL
 
 
@@ -102,4 +105,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op1_mix_sources": MIX_SQL, "op2_url_filter": URL_SQL, "op6_line_dedup": LINE_SQL}
+ORACLES: dict[str, str] = {
+    "op1_mix_sources": MIX_SQL,
+    "op2_url_filter": URL_SQL,
+    "op4_embedding_dedup": VECTOR_SQL,
+    "op6_line_dedup": LINE_SQL,
+    "op7_substring_dedup": WINDOW_SQL,
+    "op9_quality_rules": quality_sql(),
+}

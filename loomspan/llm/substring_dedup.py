@@ -155,3 +155,15 @@ def substring_dedup(docs: DataFrame, *, width: int = 35, bucket_bytes: int = 12
     types = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
     done = rows.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(_cut(width, bits, names), ", ".join(x for x in (types, "t string, n_words long, n_removed long") if x))
     return done.select(*[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)], F.col("t").alias(text), "n_words", "n_removed")
+
+
+WINDOW_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+s AS (SELECT doc_id, pos, ws[pos] AS word, CASE WHEN pos + 34 <= len(ws) THEN md5(array_to_string(ws[pos:pos + 34], ' ')) END AS h FROM p),
+r AS (SELECT h FROM s WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
+m AS (SELECT s.*, r.h IS NOT NULL AS rep FROM s LEFT JOIN r USING (h)),
+c AS (SELECT doc_id, pos, word, max(rep::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) = 1 AS gone FROM m)
+SELECT d.doc_id, count(c.pos) AS n_words, count(c.pos) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id
+"""
