@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Table, arrow_batches, buffers, connected_components, ints, runs, whole_groups, word_spans
@@ -174,11 +174,11 @@ def simhash_groups(docs: DataFrame, *, distance: int = 4, shingle: int = 4, seed
 
 def simhash_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, of which one of each near-duplicate group stays: that of the smallest
-    doc_id; of rows that repeat it, the one with the smallest hash of its text. A group without any doc_id loses no row."""
+    doc_id; of rows that repeat it, the one with the smallest hash of its text. Rows without doc_id stay: nothing names them."""
     groups = simhash_groups(docs, doc_id=doc_id, text=text, **options)
-    stay = groups.where(F.coalesce(F.col(doc_id) == F.col("component_id"), F.col("component_id").isNull())).select(F.col(doc_id).alias("_stay")).distinct()
-    rows = docs.withColumn("_id", F.col(f"`{doc_id}`")).join(stay, F.col("_id").eqNullSafe(F.col("_stay")), "left_semi")
-    from pyspark.sql import Window
-
-    first = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64(F.col(f"`{text}`"))))
-    return rows.withColumn("_first", first).where((F.col("_first") == 1) | F.col("_id").isNull()).drop("_id", "_first")
+    stay = groups.where(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("_stay")).distinct()
+    named = F.col(f"`{doc_id}`")
+    rows = docs.where(named.isNotNull()).withColumn("_row_id", named).join(stay, F.col("_row_id") == F.col("_stay"), "left_semi")
+    first = F.row_number().over(Window.partitionBy("_row_id").orderBy(F.xxhash64(F.col(f"`{text}`"))))
+    kept = rows.withColumn("_first", first).where(F.col("_first") == 1).drop("_row_id", "_first")
+    return kept.unionByName(docs.where(named.isNull()))
