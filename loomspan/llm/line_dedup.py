@@ -70,7 +70,8 @@ def line_dedup(docs: DataFrame, *, least_chars: int = 20, least_docs: int = 3, d
 
     schema = f"id {kind.simpleString()}, a long, b long"
     lines = Table(source.mapInArrow(keys, schema), "lines").read()
-    frequent = lines.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("id").alias("last")).where(F.col("n") >= least_docs).drop("n")
+    # Written, so that the join below has an exchange on both sides: only then are a hot line's partitions split.
+    frequent = Table(lines.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("id").alias("last")).where(F.col("n") >= least_docs).drop("n"), "frequent").read()
     drops = lines.join(frequent, ["a", "b"]).where(~F.col("id").eqNullSafe(F.col("last"))).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("drop"))
     rest = [f"c{i}" for i, c in enumerate(keep) if c != text]
     wide = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep) if c != text], F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t"))
