@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -33,13 +32,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loomspan/{name}-{uuid.uuid4().hex}"
 
 
+#: While a table is written: shuffle files go once it is, and Python gets batches that stay small for long texts too.
+EAGER = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true", "spark__sql__execution__arrow__maxRecordsPerBatch": "2000"}
+
+
 class Table:
     """A written intermediate result. Reading it needs no executor's local files, so lost executors do no harm."""
 
     def __init__(self, df: DataFrame, name: str, **options):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, name)
-        with session_conf(self.spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):  # what has been written needs no shuffle files
+        with session_conf(self.spark, **EAGER):
             df.write.options(**({"compression": "zstd"} | options)).parquet(self.path)
         self.schema = df.schema
 
@@ -53,12 +56,6 @@ class Table:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's context cleaner drop shuffle files that no live plan refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 @contextlib.contextmanager
 def session_conf(spark: SparkSession, **settings: str):
     """Sets ``a__b`` as ``a.b`` while an eager step runs."""

@@ -69,7 +69,7 @@ def pieces(docs: DataFrame, path: str, *, end_id: int, size: int, with_ids: bool
         code = encoder(path)
         for whole in batches:
             data, off = buffers(whole.column(1))
-            for i, j in chunks(off, 8 << 20):
+            for i, j in chunks(off, 4 << 20):
                 ids, n = code.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 at, out = 0, {k: [] for k in ("row", "piece", "start", "length", "crc", "ids")}
                 for r, k in enumerate(n.tolist()):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Table, arrow_batches, buffers, chunks, new_path, session_conf
+from .common import EAGER, Table, arrow_batches, buffers, chunks, new_path, session_conf
 from .tokens import encoder
 
 
@@ -31,7 +31,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
         code = encoder(tokenizer)
         for whole in batches:
             data, off = buffers(whole.column(1))
-            for i, j in chunks(off, 8 << 20):
+            for i, j in chunks(off, 4 << 20):
                 ids, n = code.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 ends = np.cumsum(n)
                 ids = np.insert(ids, ends, np.int32(end_id))
@@ -51,7 +51,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
         "parquet.writer.version": "PARQUET_2_0",
         "parquet.enable.dictionary": str(dictionary).lower(),
     }
-    with session_conf(docs.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+    with session_conf(docs.sparkSession, **EAGER):
         rows.write.options(**options).parquet(path)
 
 

@@ -41,7 +41,7 @@ class Encoder:
     bounds the memo: beyond it, further units are encoded again each time.
     """
 
-    def __init__(self, path: str, capacity: int = 1 << 20):
+    def __init__(self, path: str, capacity: int = 1 << 19):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -176,7 +176,7 @@ class Encoder:
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str, capacity: int = 1 << 20) -> Encoder:
+def encoder(path: str, capacity: int = 1 << 19) -> Encoder:
     """One encoder a process and file, so that its memo serves all tasks of a worker."""
     key = (path, capacity)
     if key not in _encoders:
