@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_path, encode_path, in_packages
@@ -484,19 +484,26 @@ def scip_symbol_resolve(spark, d):
 # --- context (order-dependent folds: no SQL)
 
 
+def _candidates(spark, d, lane, **columns):
+    """All events as candidates of at most 400 identities: one an identity and set of columns, ranked within its lane by how
+    many events it has, its units from that count."""
+    e = table(spark, d, "events").select((F.col("user_id") % 400).cast("string").alias("identity"), *[F.expr(c).alias(k) for k, c in columns.items()])
+    n = e.groupBy("identity", *columns).agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy(lane).orderBy(F.desc("n"), "identity", *columns))
+    return n.select("identity", *columns, rank.alias("rank"), (F.col("n") % 40 + 1).alias("units"))
+
+
 @query()
 def evidence_context(spark, d):
-    e = table(spark, d, "events").where("event_id < 400")
-    tier = F.element_at(F.array(*map(F.lit, context.TIERS)), (F.col("event_id") % 7 + 1).cast("int"))
-    c = e.select(F.col("event_id").cast("string").alias("identity"), tier.alias("tier"), F.col("user_id").alias("rank"), (F.col("event_id") % 40 + 1).alias("units"))
+    tiers = ", ".join(f"'{t}'" for t in context.TIERS)
+    c = _candidates(spark, d, "tier", tier=f"element_at(array({tiers}), CAST(least(user_id % 400 % 7 + event_id % 2, 6) AS INT) + 1)")
     items, _, _ = context.evidence_context(c, 500, {"identity": "0", "rank": 0, "units": 5})
     return spark.createDataFrame([(i["identity"], i["tier"], int(i["units"]), k) for k, i in enumerate(items)], "identity string, tier string, units long, position long")
 
 
 @query()
 def context_pack(spark, d):
-    e = table(spark, d, "events").where("event_id < 400")
-    c = e.selectExpr("CAST(event_id AS STRING) AS identity", "IF(event_id % 3 = 0, 'memory', 'source') AS provider", "user_id AS rank", "event_id % 40 + 1 AS units", "IF(event_id % 2 = 0, 'current', 'stale') AS state")
+    c = _candidates(spark, d, "provider", provider="IF(event_id % 3 = 0, 'memory', 'source')", state="IF(event_id % 2 = 0, 'current', 'stale')")
     items, _, _ = context.context_pack(c, 500)
     return spark.createDataFrame([(i["identity"], i["provider"], int(i["units"]), k) for k, i in enumerate(items)], "identity string, provider string, units long, position long")
 
