@@ -26,6 +26,16 @@ def query(sql: str | None = None):
     return add
 
 
+def _changed(name: str, *changes: tuple[str, str]) -> str:
+    """The SQL of a query with some parts of it replaced."""
+    sql = ORACLES[name]
+    for old, new in changes:
+        if old not in sql:
+            raise ValueError(f"{name} has no {old}")
+        sql = sql.replace(old, new)
+    return sql
+
+
 # --- maps and overviews
 
 
@@ -402,6 +412,14 @@ def sync_fence(spark, d):
     return memory.sync_fence(incoming, e.where("event_type = 'signup' AND event_id % 50 = 0").selectExpr("user_id AS record_id", "event_id AS head"))
 
 
+@query(_changed("sync_fence", (" AND event_id % 50 = 0", ""), (" AND event_id % 20 = 0", "")))
+def sync_fence_all(spark, d):
+    """``sync_fence`` of every incoming revision against every head."""
+    e = table(spark, d, "events")
+    incoming = e.where("event_type = 'view'").selectExpr("user_id AS record_id", "event_id AS revision", "array(event_id - 10, event_id + 10, event_id - 30) AS parents")
+    return memory.sync_fence(incoming, e.where("event_type = 'signup'").selectExpr("user_id AS record_id", "event_id AS head"))
+
+
 # --- graph
 
 _DEFS = "SELECT p_brand AS slot, p_brand AS path, p_partkey AS ordinal, CASE WHEN p_type IN ('ECONOMY', 'SMALL') THEN 'function' WHEN p_type = 'LARGE' THEN 'method' ELSE 'struct' END AS kind, replace(p_name, ' ', '_') || CAST(p_size % 3 AS {0}) AS name FROM part WHERE p_partkey % 5 = 0"
