@@ -320,6 +320,14 @@ def project_validity(spark, d):
     return memory.project_validity(r, e, "now")
 
 
+@query(_changed("project_validity", (" WHERE event_id % 37 = 0", ""), ("value > 60", "value > 200"), ("value > 55", "value > 150")))
+def project_validity_all(spark, d):
+    """``project_validity`` with every event as a check; fewer values count as reachable, so that outcomes still differ."""
+    r = table(spark, d, "events").select(F.col("user_id").alias("record_id")).distinct().selectExpr("record_id", "IF(record_id % 10 = 0, 'worktree', 'commits') AS validity_kind", "IF(record_id % 20 = 0, 'now', 'then') AS source_snapshot")
+    e = table(spark, d, "events").selectExpr("user_id AS record_id", "CASE WHEN event_id % 3 = 0 THEN 'invalidated_by' ELSE 'introduced_by' END AS side", "CASE WHEN value > 200 THEN 'ancestor' WHEN value > 150 THEN 'indeterminate' ELSE 'not_ancestor' END AS ancestry")
+    return memory.project_validity(r, e, "now")
+
+
 _OUTCOME = "CASE WHEN {0} % 97 = 0 THEN 'indeterminate' WHEN {0} % 31 = 0 THEN 'needs_review' WHEN {0} % 17 = 0 THEN 'changed' WHEN {0} % 13 = 0 THEN 'missing' WHEN {0} % 2 = 0 THEN 'corresponded' ELSE 'exact' END"
 
 
@@ -336,6 +344,13 @@ def evidence_fold(spark, d):
     return memory.fold_evidence(r, i)
 
 
+@query(_changed("evidence_fold", (" WHERE o_orderkey % 3 = 0", "")))
+def evidence_fold_all(spark, d):
+    """``evidence_fold`` with every order as an item."""
+    r = table(spark, d, "customer").selectExpr("c_custkey AS record_id", "IF(c_nationkey % 5 = 0, 'procedure', 'decision') AS kind", "c_custkey % 2 + 1 AS schema_version", "IF(c_custkey % 9 = 0, 'archived', 'active') AS lifecycle", "IF(c_custkey % 7 = 0, 'not_applicable', 'valid') AS validity")
+    return memory.fold_evidence(r, table(spark, d, "orders").selectExpr("o_custkey AS record_id", f"{_OUTCOME.format('o_orderkey')} AS outcome"))
+
+
 _PART = "p_brand || '/' || CAST(p_size AS VARCHAR) AS path, p_type AS kind, p_name AS name, p_brand || '::' || p_name AS qualified_name, p_brand || '/' || CAST(p_size % 10 AS VARCHAR) AS container, CAST(p_partkey % 503 AS VARCHAR) AS declaration, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(p_partkey % 401 AS VARCHAR) END AS name_elided"
 
 
@@ -354,6 +369,22 @@ def correspondence(spark, d):
     return memory.correspondence(s, f, moves).select("record_id", "outcome", "candidates")
 
 
+#: The parts as they are now: some are gone (another kind), renamed, moved or changed.
+_BRAND = "CASE WHEN p_partkey % 11 = 0 THEN 'Brand#1' ELSE p_brand END"
+_NAMED = "CASE WHEN p_partkey % 5 = 1 THEN p_name || ' 2' ELSE p_name END"
+_PART_NOW = f"{_BRAND} || '/' || CAST(p_size AS VARCHAR) AS path, CASE WHEN p_partkey % 13 = 0 THEN 'gone' ELSE p_type END AS kind, {_NAMED} AS name, p_brand || '::' || {_NAMED} AS qualified_name, {_BRAND} || '/' || CAST(p_size % 10 AS VARCHAR) AS container, CASE WHEN p_partkey % 7 = 0 THEN 'changed' || CAST(p_partkey AS VARCHAR) ELSE CAST(p_partkey % 503 AS VARCHAR) END AS declaration, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(p_partkey % 401 AS VARCHAR) END AS name_elided"
+
+
+@query(_changed("correspondence", (" WHERE p_partkey % 4 = 0", ""), (f"{_PART} FROM part WHERE p_partkey % 3 = 0", f"{_PART_NOW} FROM part")))
+def correspondence_all(spark, d):
+    """``correspondence`` of every part with every part as it is now."""
+    p = table(spark, d, "part")
+    cols = lambda c: [x.strip() for x in c.replace("VARCHAR", "STRING").split(", ")]
+    s = p.selectExpr("p_partkey AS record_id", "0 AS evidence_ordinal", *cols(_PART))
+    moves = s.selectExpr("path AS old_path", "'Brand#1/' || substring_index(path, '/', -1) AS new_path").distinct()
+    return memory.correspondence(s, p.selectExpr("p_partkey AS ordinal", *cols(_PART_NOW)), moves).select("record_id", "outcome", "candidates")
+
+
 @query("WITH r AS (SELECT l_orderkey AS record_id, l_linenumber AS evidence_ordinal, l_partkey % 3 AS target, CASE WHEN l_returnflag = 'A' THEN 'renamed' ELSE 'exact' END AS relation FROM lineitem), n AS (SELECT record_id, target, count(*) AS n FROM r GROUP BY ALL) SELECT record_id, CAST(sum((n > 1 AND relation = 'renamed')::INT) AS BIGINT) AS merged FROM r JOIN n USING (record_id, target) GROUP BY 1")
 def many_to_one(spark, d):
     i = table(spark, d, "lineitem").selectExpr("l_orderkey AS record_id", "l_linenumber AS evidence_ordinal", "CAST(l_partkey % 3 AS STRING) AS target_path", "0 AS target_ordinal", "IF(l_returnflag = 'A', 'renamed', 'exact') AS relation", "'corresponded' AS outcome")
@@ -439,6 +470,17 @@ def graph_resolution(spark, d):
     return graph.resolve_sites(defs, sites)[0].select("site_ordinal", "outcome", "unresolved_reason", F.col("candidate_count").cast("long").alias("candidate_count"))
 
 
+@query(_changed("graph_resolution", (" WHERE p_partkey % 5 = 0", "")))
+def graph_resolution_all(spark, d):
+    """``graph_resolution`` with every part as a definition."""
+    for t in ("part", "customer"):
+        table(spark, d, t).createOrReplaceTempView(f"loomspan_{t}")
+    fix = lambda s: s.format("STRING").replace("FROM part", "FROM loomspan_part").replace("FROM customer JOIN part", "FROM loomspan_customer JOIN loomspan_part")
+    defs = spark.sql(fix(_DEFS.removesuffix(" WHERE p_partkey % 5 = 0"))).withColumn("qualified_name", F.col("name"))
+    sites = spark.sql(fix(_SITES)).select("slot", F.col("slot").alias("path"), F.col("ordinal").alias("site_ordinal"), "kind", "raw_target", F.lit(None).cast("string").alias("enclosing"), F.lit(None).cast("string").alias("enclosing_kind"))
+    return graph.resolve_sites(defs, sites)[0].select("site_ordinal", "outcome", "unresolved_reason", F.col("candidate_count").cast("long").alias("candidate_count"))
+
+
 @query(with_views("facts", then="SELECT path, ordinal, kind FROM facts WHERE name = 'main' OR qualified_name = 'main' ORDER BY path, ordinal LIMIT 100"))
 def graph_search(spark, d):
     return graph.graph_search(frame(spark, d, "facts").withColumn("slot", F.lit(0)), "main").rows.select("path", "ordinal", "kind")
