@@ -55,8 +55,10 @@ def evidence_context(candidates: DataFrame, budget: int, anchor: dict | None = N
 
 def context_pack(candidates: DataFrame, budget: int) -> tuple[list[dict], dict[str, int], int]:
     """The first pack form: by (rank, provider, identity), scored 1 / (60 + rank), each taken if it still fits; only current
-    memory counts. Omissions are counted by cause."""
-    rows = [r.asDict() for r in candidates.orderBy("rank", "provider", "identity").limit(MAX_CANDIDATES).collect()]
+    memory counts. Omissions are counted by cause. Over ``MAX_CANDIDATES`` candidates are an error."""
+    rows = [r.asDict() for r in candidates.orderBy("rank", "provider", "identity").limit(MAX_CANDIDATES + 1).collect()]
+    if len(rows) > MAX_CANDIDATES:
+        raise ValueError(f"over {MAX_CANDIDATES} candidates")
     items, omitted, used, seen = [], Counter(), 0, set()
     for r in rows:
         if r["provider"] == "memory" and r.get("state", "current") != "current":
