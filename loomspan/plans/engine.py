@@ -13,7 +13,7 @@ from ..operators.results import Bounded
 from ..sources import extract, files
 from .catalog import Catalog
 
-PRODUCER, CONFIGURATION, SCHEMA = "loomspan.extract", "default", "1"
+PRODUCER, CONFIGURATION, SCHEMA = "loomspan.extract", "default", "2"
 
 
 class Engine:
@@ -56,9 +56,10 @@ class Engine:
         parsed = extract.name_elided_digests(parsed, source) if self._any(source) else parsed.withColumns({"declaration": F.lit(None).cast("string"), "name_elided": F.lit(None).cast("string")})
         new_facts = parsed.join(digest_of, "path").drop("path")
         new_sites = extract.sites(source).join(digest_of, "path").drop("path")
+        new_errors = extract.errors(source).join(digest_of, "path").select("artifact_digest", F.col("errors").alias("syntax_error_nodes"))
         stage = lambda name, df: self.catalog.stage(slot, gen, {name: df})
         live = manifest.select("artifact_digest").distinct()
-        for name, new in (("artifact_facts", new_facts), ("artifact_sites", new_sites)):
+        for name, new in (("artifact_facts", new_facts), ("artifact_sites", new_sites), ("artifact_errors", new_errors)):
             before = self.catalog.read(slot, name)
             kept = new if before is None else before.join(live, "artifact_digest", "left_semi").unionByName(new)
             stage(name, kept)
@@ -66,8 +67,8 @@ class Engine:
         counts = t["artifact_facts"].groupBy("artifact_digest").agg(F.count("*").alias("fact_count"))
         markers = t["artifact_sites"].where("site_kind = 'test_marker'").groupBy("artifact_digest").agg(F.count("*").alias("test_marker_emitted"))
         supported = F.when(F.col("language") == "rust", "supported").otherwise("unsupported")
-        arts = manifest.groupBy("artifact_digest").agg(F.min("content_digest").alias("content_digest"), F.min("language").alias("language")).join(counts, "artifact_digest", "left").join(markers, "artifact_digest", "left")
-        stage("artifacts", arts.fillna(0, ["fact_count", "test_marker_emitted"]).withColumns({"lifecycle_state": F.lit("complete"), "test_marker_support": supported, "syntax_error_nodes": F.lit(0).cast("long")}))
+        arts = manifest.groupBy("artifact_digest").agg(F.min("content_digest").alias("content_digest"), F.min("language").alias("language")).join(counts, "artifact_digest", "left").join(markers, "artifact_digest", "left").join(t["artifact_errors"], "artifact_digest", "left")
+        stage("artifacts", arts.fillna(0, ["fact_count", "test_marker_emitted", "syntax_error_nodes"]).withColumns({"lifecycle_state": F.lit("complete"), "test_marker_support": supported}))
         stage("files", manifest)
         stage("topology", architecture.topology(manifest))
         m = manifest.select("path", "artifact_digest")

@@ -184,6 +184,18 @@ def sites(files: DataFrame) -> DataFrame:
     return _frame(files, "sites")
 
 
+def errors(files: DataFrame) -> DataFrame:
+    """(path, errors) of the files that an extractor could not parse."""
+    source = files.where(F.col("language").isNotNull()).select("path", "language", F.col("content").cast("string").alias("text"))
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(p, n) for p, lang, t in frame.itertuples(index=False) if (n := extract(t, lang).errors)]
+            yield pd.DataFrame(rows, columns=["path", "errors"])
+
+    return source.mapInPandas(run, "path string, errors long")
+
+
 def name_elided_digests(facts_: DataFrame, files: DataFrame) -> DataFrame:
     """Adds declaration and name_elided digests: of a declaration's bytes, and of those without its name."""
     j = facts_.join(files.select("path", "content"), "path")

@@ -57,6 +57,18 @@ def test_index_and_queries(spark, tree, tmp_path):
     assert len(e.catalog.history("s")) == 3
 
 
+def test_diagnostics_count_parse_errors(spark, tree, tmp_path):
+    (tree / "src" / "broken.py").write_text("def main(:\n    run()\n")
+    e = Engine(spark, f"file://{tmp_path}/catalog")
+    e.index("s", str(tree))
+    for _ in range(2):  # the second generation reuses the analysis of the broken file
+        d = e.diagnostics("s").first()
+        assert (d["incomplete"], d["syntax_errors"], d["files_with_errors"]) == (0, 1, 1)
+        (tree / "src" / "new.py").write_text("def other():\n    pass\n")
+        e.index("s", str(tree))
+    assert e.diagnostics("s").first()["files"] == 6
+
+
 def test_memory_records(spark, tmp_path):
     good = {"record_id": "a" * 32, "schema_version": 1, "kind": "decision", "title": "Use X", "body": "Because", "lifecycle": "active", "parents": ["b", "a", "b"], "introduced_by": ["c1"], "invalidated_by": []}
     lines = [json.dumps(good), json.dumps({**good, "parents": ["a", "b"]}), json.dumps({**good, "title": "é" * 129}), json.dumps({**good, "kind": "other"}), "{not json"]
