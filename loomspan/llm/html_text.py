@@ -158,12 +158,12 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(ratios, kernel, "full")[r : r + len(ratios)] / weight
 
 
-def extract_text(html: str | None, *, sigma: float = 1.0, share: float = 0.8) -> str:
+def extract_text(html: str | None, *, sigma: float = 1.0) -> str:
     """The main text of a page: its blocks, one a line.
 
     A line's text-to-tag ratio is its characters over its tags. Ratios are smoothed with a Gaussian; lines above their
-    standard deviation form the clusters. The region is the innermost article or main element that holds half of the
-    clusters' text, else the innermost container that holds ``share`` of it. All its lines belong to the article, short ones too, except those in elements that mark themselves as something else.
+    standard deviation form the clusters. The regions are the innermost article or main elements around the clusters and, if
+    one lies in none, the innermost container of all clusters. All their lines belong to the article, short ones too, except those in elements that mark themselves as something else.
     """
     if not html:
         return ""
@@ -174,17 +174,14 @@ def extract_text(html: str | None, *, sigma: float = 1.0, share: float = 0.8) ->
     ratios = np.array([len(t) / max(1, n) for t, n, _, _ in lines])
     smooth = smoothed(ratios, sigma)
     high = smooth >= min(float(smooth.std()), float(smooth.max()))
-    mass: dict[int, float] = {}
-    total = 0.0
-    for (t, _, _, path), h in zip(lines, high.tolist(), strict=True):
-        if h:
-            total += len(t)
-            for node in path:
-                mass[node] = mass.get(node, 0) + len(t)
-    # Containers are numbered as they open, so of those on one path the innermost has the largest number.
-    named = [node for node, m in mass.items() if node in page.articles and 2 * m >= total]
-    best = max(named or [node for node, m in mass.items() if m >= share * total], default=0)
-    return "\n".join(t for t, _, _, path in lines if best in path)
+    regions: set[int] = set()
+    paths = [path for (_, _, _, path), h in zip(lines, high.tolist(), strict=True) if h]
+    for path in paths:
+        # Containers are numbered as they open, so of those on one path the innermost has the largest number.
+        regions.add(max((node for node in path if node in page.articles), default=-1))
+    if -1 in regions:
+        regions.add(max(set(paths[0]).intersection(*paths)))
+    return "\n".join(t for t, _, _, path in lines if regions.intersection(path))
 
 
 def html_text(pages: DataFrame, *, html: str = "html", carry: list[str] | None = None) -> DataFrame:
