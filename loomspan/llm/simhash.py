@@ -37,17 +37,17 @@ def fingerprint(text: bytes, shingle: int, seed: int) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, *, shingle: int = 4, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fp) of each row, fp the fingerprint's bits as a long; null text has no words, so fp 0."""
+def fingerprints(docs: DataFrame, *, shingle: int = 4, seed: int = 42, doc_id: str = "doc_id", text: str = "text", hashed: bool = False) -> DataFrame:
+    """(id, fp) of each row, fp the fingerprint's bits as a long; null text has no words, so fp 0. ``hashed`` adds h, a hash of the text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = buffers(batch.column(1))
             got = [fingerprint(data[off[i] : off[i + 1]].tobytes(), shingle, seed) for i in range(len(off) - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), ints(np.array(got, np.uint64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), ints(np.array(got, np.uint64)), *batch.columns[2:]], names=["id", "fp", *batch.schema.names[2:]])
 
-    source = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long")
+    source = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t"), *([F.xxhash64(F.col(f"`{text}`")).alias("h")] if hashed else []))
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long" + ", h long" * hashed)
 
 
 # --- grid join -------------------------------------------------------------------------------------
@@ -160,25 +160,32 @@ def simhash_groups(docs: DataFrame, *, distance: int = 4, shingle: int = 4, seed
     Null and blank texts have fingerprint 0 and link like any other. Rows that repeat a doc_id are each returned. Null
     doc_ids don't count as a smallest one. An empty table gives an empty one; extra columns don't matter.
     """
-    kept = Table(fingerprints(docs, shingle=shingle, seed=seed, doc_id=doc_id, text=text), "fingerprints").read()
+    out = _labelled(fingerprints(docs, shingle=shingle, seed=seed, doc_id=doc_id, text=text), distance, groups)
+    return out.select(F.col("id").alias(doc_id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _labelled(prints: DataFrame, distance: int, groups: int) -> DataFrame:
+    """The rows of ``prints`` (id, fp, more), with the label of each one's group and its component_id."""
+    kept = Table(prints, "fingerprints").read()
     distinct = Table(kept.groupBy("fp").agg(F.min("id").alias("low")), "distinct").read()
     edges = hamming_links(distinct, distance, groups=groups)
     nodes = connected_components(edges)
     labelled = distinct.join(nodes, distinct.fp == nodes.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("label"))
     labelled = Table(labelled, "labels").read()
     lowest = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
-    by_fp = labelled.join(lowest, "label").select(F.col("fp").alias("of"), "component_id")
-    out = kept.join(by_fp, F.col("fp") == F.col("of"))
-    return out.select(F.col("id").alias(doc_id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    by_fp = labelled.join(lowest, "label").select(F.col("fp").alias("of"), "label", "component_id")
+    return kept.join(by_fp, F.col("fp") == F.col("of")).drop("of")
 
 
-def simhash_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def simhash_dedup(docs: DataFrame, *, distance: int = 4, shingle: int = 4, seed: int = 42, groups: int = 7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, of which one of each near-duplicate group stays: that of the smallest
-    doc_id; of rows that repeat it, the one with the smallest hash of its text. Rows without doc_id stay: nothing names them."""
-    groups = simhash_groups(docs, doc_id=doc_id, text=text, **options)
-    stay = groups.where(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("_stay")).distinct()
+    doc_id; of rows that repeat it in the group, the one with the smallest hash of its text. Rows without doc_id stay: nothing names them."""
+    prints = fingerprints(docs, shingle=shingle, seed=seed, doc_id=doc_id, text=text, hashed=True)
     named = F.col(f"`{doc_id}`")
-    rows = docs.where(named.isNotNull()).withColumn("_row_id", named).join(stay, F.col("_row_id") == F.col("_stay"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("_row_id").orderBy(F.xxhash64(F.col(f"`{text}`"))))
-    kept = rows.withColumn("_first", first).where(F.col("_first") == 1).drop("_row_id", "_first")
+    first = _labelled(prints, distance, groups).where(F.col("id").isNotNull()).groupBy("label").agg(F.min(F.struct("id", "h")).alias("s"))
+    stay = first.select(F.col("s.id").alias("_stay"), F.col("s.h").alias("_of"))
+    rows = docs.where(named.isNotNull()).withColumns({"_row_id": named, "_h": F.xxhash64(F.col(f"`{text}`"))})
+    rows = rows.join(stay, (F.col("_row_id") == F.col("_stay")) & (F.col("_h") == F.col("_of")), "left_semi")
+    copy = F.row_number().over(Window.partitionBy("_row_id", "_h").orderBy("_h"))
+    kept = rows.withColumn("_copy", copy).where(F.col("_copy") == 1).drop("_row_id", "_h", "_copy")
     return kept.unionByName(docs.where(named.isNull()))
