@@ -3,21 +3,44 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from math import acos, ceil, log, pi
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, arrow_batches, connected_components, runs, whole_groups
+from .common import Table, arrow_batches, connected_components, lean, output, quoted, runs, sized, whole_groups
 
 
 def hyperplanes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, tables * bits))
 
 
+def enough_tables(bits: int, cosine: float, recall: float) -> int:
+    """Tables of ``bits`` signs that find a pair at exactly ``cosine`` with probability ``recall``: two vectors agree on a
+    hyperplane's side with probability 1 - angle / pi."""
+    same = (1 - acos(cosine) / pi) ** bits
+    return max(1, ceil(log(1 - recall) / log(1 - same)))
+
+
+def cheapest_bits(n: int, squares: int, cosine: float, recall: float) -> int:
+    """The signs a table for which work is least: more signs make smaller cells and need more tables. ``n`` vectors, ``squares``
+    the sum of the labels' squared numbers of vectors; a comparison counts as a hundredth of a vector's transport."""
+    cost = lambda bits: enough_tables(bits, cosine, recall) * (n + 0.01 * squares / 2**bits)
+    return min(range(1, 32), key=cost)
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    """Unit vectors in double precision. Norms that overflow or vanish are those of vectors divided by their largest component."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    with np.errstate(over="ignore"):
+        norm = np.linalg.norm(x, axis=1)
+    odd = ~((norm > 1e-100) & (norm < 1e100))
+    if odd.any():
+        x[odd] /= np.abs(x[odd]).max(1)[:, None]
+        norm[odd] = np.linalg.norm(x[odd], axis=1)
+    return x / norm[:, None]
 
 
 def signatures(distinct: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
@@ -36,7 +59,7 @@ def signatures(distinct: DataFrame, tables: int, bits: int, seed: int) -> DataFr
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, tables), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, "sig"])
 
-    return distinct.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in distinct.schema) + ", sig array<int>")
+    return distinct.mapInArrow(lean(run), output(distinct, distinct.columns, "sig array<int>"))
 
 
 def _linked(unit: np.ndarray, sig: np.ndarray, table: int, side: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +115,6 @@ def links(signed: DataFrame, *, cosine: float, max_cell: int) -> DataFrame:
                 if e - s < 2:
                     continue
                 x = _matrix(vec.slice(s, e - s), int(dims[s]))
-                x /= np.linalg.norm(x, axis=1)[:, None]
                 link, fresh = _linked(x, sig[s:e], int(tab[s]), side_[s:e], cosine)
                 if not link.any():
                     continue
@@ -104,37 +126,43 @@ def links(signed: DataFrame, *, cosine: float, max_cell: int) -> DataFrame:
                 a, b, c = zip(*out, strict=True)
                 yield from arrow_batches({"h": pa.array(a, pa.int64()), "found": pa.array(b, pa.int64()), "peer": pa.array(c, pa.int64())})
 
-    return sent.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "h long, found long, peer long")
+    return sent.repartition("cell").sortWithinPartitions("cell").mapInArrow(lean(run), "h long, found long, peer long")
 
 
-def embedding_dedup(vectors: DataFrame, *, cosine: float = 0.98, tables: int = 16, bits: int = 14, seed: int = 42, max_cell: int = 2048, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
+def embedding_dedup(vectors: DataFrame, *, cosine: float = 0.98, recall: float = 0.999, tables: int | None = None, bits: int | None = None, seed: int = 42, max_cell: int = 2048, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """Per vector: vec_id, n_links (other vectors of its label found at ``cosine`` or more), component_id, kept.
 
-    Equal vectors of a label are folded into one with a count first, under a 64-bit hash. Pairs are found if they share the signs at ``bits`` random
-    hyperplanes in one of ``tables`` tables, and verified in double precision: of pairs at exactly 0.98 over 99.9 % are found,
-    of closer ones more. Larger corpora want more bits, to keep cells small, and so more tables. Pairs aren't emitted: a
-    cell yields counts and a spanning forest.
+    Equal vectors of a label are folded into one with a count first. Pairs are found if they share the signs at ``bits`` random
+    hyperplanes in one of ``tables`` tables, and verified in double precision: of pairs at exactly ``cosine`` a share of
+    ``recall`` is found, of closer ones more. By default both numbers come from how many vectors the labels have, so that
+    cells stay small at any size. Pairs aren't emitted: a cell yields counts and a spanning forest.
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and those without label or vec_id, link with
     nothing: n_links 0, component_id their vec_id, kept. Rows that repeat a vec_id count as vectors of their own and
-    share its component. Vectors of different dimensions don't link. An empty table gives an empty one; other columns
-    are ignored.
+    share its component. Vectors of different dimensions don't link; those of any norm do. An empty table gives an empty
+    one; other columns are ignored. Rows find their class by 128 bits of hash over label and vector.
     """
     v = F.col("vec")
-    rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{embedding}`").alias("vec"))
+    rows = vectors.select(F.col(quoted(vec_id)).cast("long").alias("id"), F.col(quoted(label)).cast("string").alias("label"), F.col(quoted(embedding)).alias("vec"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    ok = F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size(v) > 0) & finite
-    hashed = rows.withColumn("h", F.when(F.coalesce(ok, F.lit(False)), F.xxhash64("label", "vec")))
-    distinct = hashed.where(F.col("h").isNotNull()).groupBy("h", "label", "vec").agg(F.min("id").alias("low"), F.count("*").alias("n"))
-    signed = Table(signatures(distinct.withColumn("dim", F.size("vec")), tables, bits, seed), "signed").read()
-    found = Table(links(signed, cosine=cosine, max_cell=max_cell), "links").read()
+    ok = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size(v) > 0) & finite, F.lit(False))
+    hashed = rows.withColumns({"a": F.when(ok, F.xxhash64("label", "vec")), "b": F.when(ok, F.xxhash64(F.lit(1), "vec", "label"))})
+    distinct = hashed.where(F.col("a").isNotNull()).groupBy("a", "b", "label", "vec").agg(F.min("id").alias("low"), F.count("*").alias("n"))
+    distinct = Table(sized(distinct.withColumn("h", F.monotonically_increasing_id()).withColumn("dim", F.size("vec")), vectors), "distinct").read()
+    if bits is None:
+        by = distinct.groupBy("label", "dim").agg(F.count("*").alias("m")).agg(F.sum("m").alias("n"), F.sum(F.col("m").cast("double") * F.col("m")).alias("squares")).first()
+        bits = cheapest_bits(by["n"] or 1, by["squares"] or 1, cosine, recall)
+    tables = tables or enough_tables(bits, cosine, recall)
+    signed = Table(signatures(distinct.drop("a", "b"), tables, bits, seed), "signed").read()
+    found = Table(sized(links(signed, cosine=cosine, max_cell=max_cell), signed), "links").read()
     parts = found.groupBy("h").agg(F.sum("found").alias("found"))
     nodes = connected_components(found.where(F.col("peer").isNotNull()).select(F.col("h").alias("a"), F.col("peer").alias("b")))
-    classes = signed.select("h", "low", "n").join(parts, "h", "left").join(nodes, F.col("h") == F.col("node"), "left")
-    classes = Table(classes.select("h", "low", (F.coalesce("found", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "h").alias("label")), "classes").read()
-    lowest = classes.groupBy("label").agg(F.min("low").alias("component"))
-    classes = classes.join(lowest, "label").select(F.col("h").alias("of"), "n_links", "component")
-    out = hashed.select("id", "h").join(classes, F.col("h") == F.col("of"), "left")
+    classes = distinct.select("h", "a", "b", "low", "n").join(parts, "h", "left").join(nodes, F.col("h") == F.col("node"), "left")
+    classes = classes.select("a", "b", "low", (F.coalesce("found", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "h").alias("class"))
+    classes = Table(sized(classes, distinct), "classes").read()
+    lowest = Table(sized(classes.groupBy("class").agg(F.min("low").alias("component")), classes), "lowest").read()
+    classes = classes.join(lowest, "class").select(F.col("a").alias("of_a"), F.col("b").alias("of_b"), "n_links", "component")
+    out = hashed.select("id", "a", "b").join(classes, (F.col("a") == F.col("of_a")) & (F.col("b") == F.col("of_b")), "left")
     comp = F.coalesce("component", "id")
     return out.select(F.col("id").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, arrow_batches, buffers, chunks
+from .common import Table, arrow_batches, buffers, carried, chunks, lean, output, quoted, sized
 
 _STRIP = b" \t\n\x0b\x0c\r"
 _TWO = np.dtype([("a", "<i8"), ("b", "<i8")])
@@ -46,46 +46,50 @@ def line_dedup(docs: DataFrame, *, least_chars: int = 20, least_docs: int = 3, d
     Returns the columns ``carry`` (all by default) with ``text`` replaced by the lines that stay, joined by newlines,
     and n_lines, n_dropped. A line counts once per row of ``docs``; 128-bit hashes stand for keys. Only hashes and ids
     are exploded and counted: map tasks add up first, so a line in all documents is one row per task; the join back is
-    one that adaptive execution splits where a line is hot. Text moves once, by ``doc_id``.
+    one that adaptive execution splits where a line is hot. A text's drops are collected by its id and hash, so that an
+    id of any number of rows is no hot key. Text moves once, to the join with its drops.
 
     Null or empty text is one empty line. Rows with the same ``doc_id`` each count as a document, and all of them keep
-    their lines if that id is the largest. A null ``doc_id`` is below all others. An empty table gives an empty one.
-    Columns named n_lines or n_dropped are replaced.
+    their lines if that id is the largest. A null ``doc_id`` is below all others. A text of any length is split as a whole in a
+    Python worker, about 100 bytes a line beside it. An empty table gives an empty one. Columns named n_lines or
+    n_dropped are replaced; others may have any name.
     """
     carry = docs.columns if carry is None else carry
     keep = [c for c in carry if c not in ("n_lines", "n_dropped")]
-    source = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t"))
-    kind = source.schema["id"].dataType
+    id_, t = F.col(quoted(doc_id)).alias("id"), F.col(quoted(text)).alias("t")
+    source = docs.select(id_, t, F.xxhash64(t).alias("th"))
 
     def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found, rows = batch.column(0), [], []
+            found, rows = [], []
             for i, raw in enumerate(_texts(batch.column(1))):
                 own = {k for k in _keys(raw, least_chars) if k is not None}
                 found.extend(own)
                 rows.append(np.full(len(own), i))
             h = np.frombuffer(b"".join(found), _TWO)
             at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-            yield from arrow_batches({"id": ids.take(at), "a": pa.array(h["a"].copy()), "b": pa.array(h["b"].copy())})
+            yield from arrow_batches({"id": batch.column(0).take(at), "th": batch.column(2).take(at), "a": pa.array(h["a"].copy()), "b": pa.array(h["b"].copy())})
 
-    schema = f"id {kind.simpleString()}, a long, b long"
-    lines = Table(source.mapInArrow(keys, schema), "lines").read()
+    lines = Table(sized(source.mapInArrow(lean(keys), output(source, ["id"], "th long, a long, b long")), docs), "lines").read()
     # Written, so that the join below has an exchange on both sides: only then are a hot line's partitions split.
-    frequent = Table(lines.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("id").alias("last")).where(F.col("n") >= least_docs).drop("n"), "frequent").read()
-    drops = lines.join(frequent, ["a", "b"]).where(~F.col("id").eqNullSafe(F.col("last"))).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("drop"))
-    rest = [f"c{i}" for i, c in enumerate(keep) if c != text]
-    wide = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep) if c != text], F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t"))
-    drops = drops.select(F.col("id").alias("drop_id"), F.transform("drop", lambda x: x["a"]).alias("da"), F.transform("drop", lambda x: x["b"]).alias("db"))
-    joined = wide.join(drops, F.col("id").eqNullSafe(F.col("drop_id")), "left").select(*rest, "t", "da", "db")
+    frequent = lines.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("id").alias("last")).where(F.col("n") >= least_docs).drop("n")
+    frequent = Table(sized(frequent, lines), "frequent").read()
+    hits = lines.join(frequent, ["a", "b"]).where(~F.col("id").eqNullSafe(F.col("last")))
+    drops = hits.groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("drop"))
+    rest = [c for c in keep if c != text]
+    held = [f"c{i}" for i in range(len(rest))]
+    wide = docs.select(*carried(rest), id_, t, F.xxhash64(t).alias("th"))
+    drops = drops.select(F.col("id").alias("d_id"), F.col("th").alias("d_th"), F.transform("drop", lambda x: x["a"]).alias("da"), F.transform("drop", lambda x: x["b"]).alias("db"))
+    joined = wide.join(drops, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("th") == F.col("d_th")), "left").select(*held, "t", "da", "db")
 
     def rebuild(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            off = buffers(whole.column(len(rest)))[1]
-            for i, j in chunks(off, 16 << 20):
+            off = buffers(whole.column(len(held)))[1]
+            for i, j in chunks(off, 4 << 20):
                 batch = whole.slice(i, j - i)
-                da, db = batch.column(len(rest) + 1).to_pylist(), batch.column(len(rest) + 2).to_pylist()
+                da, db = batch.column(len(held) + 1).to_pylist(), batch.column(len(held) + 2).to_pylist()
                 out, n, dropped = [], [], []
-                for k, raw in enumerate(_texts(batch.column(len(rest)))):
+                for k, raw in enumerate(_texts(batch.column(len(held)))):
                     lines_ = raw.split(b"\n")
                     n.append(len(lines_))
                     if da[k]:
@@ -96,14 +100,13 @@ def line_dedup(docs: DataFrame, *, least_chars: int = 20, least_docs: int = 3, d
                     dropped.append(n[-1] - len(lines_))
                     out.append(b"\n".join(lines_))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: len(rest)], pa.array(out, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())],
-                    names=[*rest, "t", "n_lines", "n_dropped"],
+                    [*batch.columns[: len(held)], pa.array(out, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())],
+                    names=[*held, "t", "n_lines", "n_dropped"],
                 )
 
-    types = {f"c{i}": docs.schema[c].dataType.simpleString() for i, c in enumerate(keep)}
-    schema = ", ".join([f"{c} {types[c]}" for c in rest] + ["t string", "n_lines long", "n_dropped long"])
-    done = joined.mapInArrow(rebuild, schema)
-    return done.select(*[(F.col("t") if c == text else F.col(f"c{i}")).alias(c) for i, c in enumerate(keep)], *([] if text in keep else [F.col("t").alias(text)]), "n_lines", "n_dropped")
+    done = joined.mapInArrow(lean(rebuild), output(joined, held, "t string, n_lines long, n_dropped long"))
+    at = {c: F.col(h) for c, h in zip(rest, held, strict=True)} | {text: F.col("t")}
+    return done.select(*[at[c].alias(c) for c in [*keep, *([] if text in keep else [text])]], "n_lines", "n_dropped")
 
 
 LINE_SQL = r"""

@@ -2,33 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Table
+from .common import Table, carried, quoted, restored
 
-#: A source table of at most so many rows is broadcast (about 100 bytes a row and its Poisson steps); a larger one is joined by key.
-BROADCAST_SOURCES = 2_000
+#: A table of sources is broadcast if it and its Poisson steps take at most so many bytes; a larger one is joined by key.
+BROADCAST_BYTES = 8 << 20
 
 
-def poisson_steps(rate: Column) -> Column:
-    """P(N <= k) for k = 0, 1, ... of a Poisson distribution, so far that the rest is below the hash's resolution.
+def last_step(rate: Column) -> Column:
+    """The step beyond which a Poisson distribution's rest is below the hash's resolution."""
+    return F.when(rate > 0, F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")).otherwise(F.lit(0))
 
-    The k-th logarithm of the probability is a running sum, so large rates don't underflow."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
-    zero = F.struct((-rate).alias("log"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("steps"))
 
-    def step(a: Column, k: Column) -> Column:
-        log = a["log"] + F.log(rate / k)
-        total = a["sum"] + F.exp(log)
-        return F.struct(log.alias("log"), total.alias("sum"), F.concat(a["steps"], F.array(total)).alias("steps"))
+def poisson_steps(rates: DataFrame) -> DataFrame:
+    """(of, steps): P(N <= k) for k = 0, 1, ... of a Poisson distribution with each source's rate.
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), zero, step, lambda a: a["steps"])).otherwise(F.array(F.lit(1.0)))
+    A row a step: its logarithm is a running sum, so large rates don't underflow, and so is the distribution."""
+    rate, k = F.col("rate"), F.col("k")
+    up = Window.partitionBy("of").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    each = rates.select("of", "rate", F.explode(F.sequence(F.lit(0), last_step(rate))).alias("k"))
+    each = each.withColumn("log", F.sum(F.when(k == 0, -rate).otherwise(F.log(rate / k))).over(up))
+    each = each.withColumn("upto", F.sum(F.exp("log")).over(up))
+    return each.groupBy("of").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "upto"))), lambda x: x["upto"]).alias("steps"))
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None, alpha: float, epochs: float, source: str, text: str) -> DataFrame:
-    """(source, size, rate): rate is the mean number of times a document of the source is to appear."""
-    sizes = docs.groupBy(F.col(f"`{source}`").alias("of")).agg(F.sum(F.length(F.coalesce(F.col(f"`{text}`"), F.lit("")))).alias("size"))
+    """(of, size, rate): rate is the mean number of times a document of the source is to appear. One pass over ``docs``."""
+    sizes = docs.groupBy(F.col(quoted(source)).alias("of")).agg(F.sum(F.length(F.coalesce(F.col(quoted(text)), F.lit("")))).alias("size"))
+    sizes = Table(sizes, "sizes").read()
     if weights is None:
         weighed = sizes.withColumn("weight", F.pow(F.col("size").cast("double"), F.lit(alpha)))
     else:
@@ -50,24 +53,25 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, alp
     shuffle_key; rows are dealt to partitions by that hash and sorted by it, which is a uniform global shuffle.
 
     Sizes are added up in the map tasks first, so a hot source is no hot key; the per-source table (one row a source) is
-    broadcast only if it has at most BROADCAST_SOURCES rows, else joined by key with adaptive splitting. Null sources are
+    broadcast only if its Poisson steps take at most BROADCAST_BYTES, else joined by key with adaptive splitting. Null sources are
     one source of their own (``weights`` can't name it). Null or empty texts have no size; where a source has no characters
     at all, its documents appear once a document on average (never, if ``weights`` are given). Rows that repeat a doc_id get
-    the same count. Null doc_ids hash as an empty string. Columns named copy, copies or shuffle_key are replaced.
+    the same count. Null doc_ids hash as an empty string. Texts of any length are moved whole, one row at a time; an empty
+    table gives an empty one. Columns named copy, copies or shuffle_key are replaced; others may have any name.
     """
     rates = Table(source_rates(docs, weights, alpha, epochs, source, text), "rates").read()
-    small = rates.count() <= BROADCAST_SOURCES
-    steps = rates.select("of", poisson_steps(F.col("rate")).alias("steps"))
+    bytes_ = rates.agg(F.sum(8 * (last_step(F.col("rate")).cast("long") + 1) + 64 + F.coalesce(F.octet_length(F.col("of").cast("string")), F.lit(0)))).first()[0] or 0
+    steps = Table(poisson_steps(rates), "steps").read()
     keep = [c for c in docs.columns if c not in ("copy", "copies", "shuffle_key")]
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{source}`").alias("source_"), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).alias("id_"))
+    rows = docs.select(*carried(keep), F.col(quoted(source)).alias("source_"), F.coalesce(F.col(quoted(doc_id)).cast("string"), F.lit("")).alias("id_"))
     key = F.concat(F.lit(f"{seed}|"), F.col("id_"))
     u = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     rows = rows.withColumn("u_", u)
-    joined = rows.join(F.broadcast(steps) if small else steps, F.col("source_").eqNullSafe(F.col("of")))
+    joined = rows.join(F.broadcast(steps) if bytes_ <= BROADCAST_BYTES else steps, F.col("source_").eqNullSafe(F.col("of")))
     counted = joined.withColumn("copies", F.size(F.filter("steps", lambda c: c <= F.col("u_"))))
     spread = counted.where(F.col("copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     spread = spread.withColumn("shuffle_key", F.md5(F.concat(key, F.lit("|"), F.col("copy").cast("string"))))
-    out = spread.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "copy", "copies", "shuffle_key")
+    out = spread.select(*restored(keep), "copy", "copies", "shuffle_key")
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 

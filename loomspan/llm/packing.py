@@ -12,50 +12,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, arrow_batches, buffers, chunks
+from .common import Table, arrow_batches, buffers, chunks, lean, output, quoted, sized
 from .tokens import encoder
 
 #: Pieces that one task packs at once, and the fraction of them that it may hand on to the next round.
 GROUP, ON = 50_000, 16
 
 
-def best_fit(lengths: np.ndarray, tokens: int, documents: int, attention: int, weights: tuple[float, float, float] = (1.0, 0.05, 0.05), look: int = 4) -> np.ndarray:
+def best_fit(lengths: np.ndarray, tokens: int, documents: int, attention: int, weights: tuple[float, float, float] = (1.0, 0.25, 0.25), score: str = "norm") -> np.ndarray:
     """Bins for pieces, given longest first. A bin has three residual capacities: tokens, documents, and attention cost
-    (the sum of squared lengths). Of the bins that a piece fits under every one, nearest token residuals first, the
-    ``look`` first are compared, and the piece goes where the weighted norm of the residuals left is least. A piece
-    that exceeds a capacity by itself gets a bin to itself."""
+    (the sum of squared lengths). Of all bins that a piece fits under every one of them, it goes where the weighted norm of
+    the residuals left is least (``score`` "norm"), or the weighted dot product of the piece's needs and the bin's
+    residuals is largest ("dot"), in parts of the capacities; the earliest of equals. A piece that exceeds a capacity by
+    itself gets a bin to itself. A capacity that no pieces within ``tokens`` can reach has no say, so that without
+    others the least norm is the nearest token residual, which is found without a look at every bin."""
+    binds = documents < tokens, attention < tokens * tokens
+    if score == "norm" and not any(binds):
+        return _nearest(lengths, tokens)
+    size = np.array([tokens, documents, attention], float)
+    weight = np.array(weights) * (1, *binds)
     out = np.zeros(len(lengths), np.int64)
+    left, live, made = np.zeros((1 << 10, 3)), np.zeros(0, np.int64), 0
     least = int(lengths[-1]) if len(lengths) else 0
-    room: list[list[int]] = []  # documents and attention left by bin
-    levels: dict[int, list[int]] = {}  # bins by tokens left
-    mask, (wt, wd, wa) = 0, weights
     for i, n in enumerate(lengths.tolist()):
-        cost, best, seen, m = n * n, None, 0, mask >> n
-        while m and seen < look:
-            left = n + (m & -m).bit_length() - 1
-            m &= m - 1
-            for b in levels[left]:
-                d, a = room[b]
-                if d < 1 or a < cost:
-                    continue
-                norm = wt * ((left - n) / tokens) ** 2 + wd * ((d - 1) / documents) ** 2 + wa * ((a - cost) / attention) ** 2
-                if best is None or norm < best[0]:
-                    best = (norm, b, left)
-                seen += 1
-                if seen >= look:
-                    break
-        if best is None:
-            b, left = len(room), tokens
-            room.append([documents, attention])
+        need = np.array([n, 1, n * n], float)
+        room = left[live]
+        fits = np.flatnonzero((room >= need).all(1))
+        if len(fits):
+            rest = room[fits]
+            good = -(weight * ((rest - need) / size) ** 2).sum(1) if score == "norm" else (weight * (need / size) * (rest / size)).sum(1)
+            b = int(live[fits[np.argmax(good)]])
         else:
-            _, b, left = best
-            levels[left].remove(b)
+            b, made = made, made + 1
+            if b == len(left):
+                left = np.concatenate((left, np.zeros_like(left)))
+            left[b] = size
+            live = np.append(live, b)
+        left[b] -= need
+        if (left[b] < (least, 1, least * least)).any():  # nothing that is still to come fits
+            live = live[live != b]
+        out[i] = b
+    return out
+
+
+def _nearest(lengths: np.ndarray, tokens: int) -> np.ndarray:
+    """Best fit by tokens alone: bins by what they have left, and a bit for each amount that some bin has left."""
+    out, levels, mask, made = np.zeros(len(lengths), np.int64), {}, 0, 0
+    least = int(lengths[-1]) if len(lengths) else 0
+    for i, n in enumerate(lengths.tolist()):
+        m = mask >> n if n <= tokens else 0
+        if m:
+            left = n + (m & -m).bit_length() - 1
+            b = levels[left].pop()
             if not levels[left]:
                 mask &= ~(1 << left)
-        room[b][0] -= 1
-        room[b][1] -= cost
+        else:
+            b, left, made = made, tokens, made + 1
         left -= n
-        if left >= least > 0 and room[b][0] > 0 and room[b][1] >= least * least:
+        if left >= least > 0:
             levels.setdefault(left, []).append(b)
             mask |= 1 << left
         out[i] = b
@@ -69,7 +83,7 @@ def pieces(docs: DataFrame, path: str, *, end_id: int, size: int, with_ids: bool
         code = encoder(path)
         for whole in batches:
             data, off = buffers(whole.column(1))
-            for i, j in chunks(off, 4 << 20):
+            for i, j in chunks(off, 2 << 20):
                 ids, n = code.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 at, out = 0, {k: [] for k in ("row", "piece", "start", "length", "crc", "ids")}
                 for r, k in enumerate(n.tolist()):
@@ -86,18 +100,17 @@ def pieces(docs: DataFrame, path: str, *, end_id: int, size: int, with_ids: bool
                     cols["ids"] = pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(np.concatenate([*out["ids"], np.zeros(0, "<u4")]).astype(np.int32)))
                 yield from arrow_batches(cols)
 
-    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("t"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    source = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("t"))
+    return source.mapInArrow(lean(run), output(source, ["doc_id"], "piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids))
 
 
-def _packer(turn: int, last: bool, size: int, documents: int, attention: int, group: int):
+def _packer(turn: int, last: bool, size: int, documents: int, attention: int, group: int, score: str):
     """Packs one group: rows of sequences that are final get a sequence_id, the others none."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         length, row = t.column("length").to_numpy(), t.column("_row").to_numpy()
         order = np.lexsort((row, -length))
-        bins = best_fit(length[order], size, documents, attention)
+        bins = best_fit(length[order], size, documents, attention, score=score)
         by = order[np.argsort(bins, kind="stable")]
         bins = np.sort(bins)
         ln = length[by]
@@ -117,7 +130,7 @@ def _packer(turn: int, last: bool, size: int, documents: int, attention: int, gr
     return run
 
 
-def pack(items: DataFrame, *, size: int, documents: int, attention: int, group: int = GROUP) -> DataFrame:
+def pack(items: DataFrame, *, size: int, documents: int, attention: int, group: int = GROUP, score: str = "norm") -> DataFrame:
     """Adds sequence_id and offset to ``items`` (a column ``length`` of at most ``size``; others are carried).
 
     Hash-dealt groups of about ``group`` pieces are packed by a task each. Sequences that a task leaves emptiest are
@@ -127,12 +140,12 @@ def pack(items: DataFrame, *, size: int, documents: int, attention: int, group:
     done, held = [], Table(items.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     names, turn, n = items.columns, 0, held.read().count()
     parts = max(1, ceil(n / group))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", _row long, sequence_id long, offset long"
+    schema = output(items, names, "_row long, sequence_id long, offset long")
     while True:
         last = parts == 1
-
         dealt = held.read().withColumn("_part", F.pmod(F.xxhash64("_row", F.lit(turn)), F.lit(parts)).cast("long"))
-        got = Table(dealt.groupBy("_part").applyInArrow(_packer(turn, last, size, documents, attention, group), schema), "packed")
+        packed = dealt.groupBy("_part").applyInArrow(_packer(turn, last, size, documents, attention, group, score), schema)
+        got = Table(sized(packed, dealt), "packed")
         held.drop()
         done.append(got.read().where(F.col("sequence_id").isNotNull()))
         if last:
@@ -142,15 +155,17 @@ def pack(items: DataFrame, *, size: int, documents: int, attention: int, group:
     return reduce(DataFrame.unionAll, done).drop("_row")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, end_id: int = 1, size: int = 4096, documents: int | None = None, attention: int | None = None, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, end_id: int = 1, size: int = 4096, documents: int | None = None, attention: int | None = None, score: str = "norm", with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Packs documents' tokens into sequences of at most ``size`` tokens, ``documents`` pieces and ``attention`` cost.
 
-    By default the last two can't bind (``size`` pieces, ``size`` squared). Returns one row a piece: doc_id, piece, start,
+    By default the last two can't bind (``size`` pieces, ``size`` squared): fewest sequences come from tokens alone. A piece
+    over a capacity by itself has a sequence to itself. Returns one row a piece: doc_id, piece, start,
     length, ids_crc32, sequence_id, offset (and ids, ``with_ids``). Only documents over ``size`` tokens are cut.
 
-    Null or empty texts are the end id alone. Rows that repeat a doc_id are packed each. Null doc_ids are carried. An
-    empty table gives an empty one; other columns are ignored. Tokens are made once and written; packing moves only
-    the pieces' lengths unless ``with_ids``.
+    Null or empty texts are the end id alone. Rows that repeat a doc_id are packed each. Null doc_ids are carried. A text
+    of any length is encoded whole by one task. An empty table gives an empty one; other columns are ignored. Tokens are
+    made once and written; packing moves only the pieces' lengths unless ``with_ids``.
     """
     made = pieces(docs, tokenizer, end_id=end_id, size=size, with_ids=with_ids, doc_id=doc_id, text=text)
-    return pack(made, size=size, documents=documents or size, attention=attention or size * size).withColumnRenamed("doc_id", doc_id)
+    packed = pack(sized(made, docs), size=size, documents=documents or size, attention=attention or size * size, score=score)
+    return packed.withColumnRenamed("doc_id", doc_id)

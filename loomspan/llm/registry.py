@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import sized
 from .embedding_dedup import VECTOR_SQL
 from .line_dedup import LINE_SQL
 from .mixing import MIX_SQL
@@ -22,15 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
-    judged = quality_rules(table(spark, sf_dir, "documents"), ["doc_id"])
+    docs = table(spark, sf_dir, "documents")
+    judged = sized(quality_rules(docs, ["doc_id"]), docs)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
-    mixed = mix_sources(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", "copy", "copies", "shuffle_key", "text")
+    docs = table(spark, sf_dir, "documents")
+    return sized(mix_sources(docs), docs).select("doc_id", "source", "copy", "copies", "shuffle_key", "text")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,14 +63,16 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
-    done = line_dedup(table(spark, sf_dir, "documents"), carry=["doc_id", "text"])
+    docs = table(spark, sf_dir, "documents")
+    done = sized(line_dedup(docs, carry=["doc_id", "text"]), docs)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
-    done = substring_dedup(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    docs = table(spark, sf_dir, "documents")
+    done = sized(substring_dedup(docs, carry=["doc_id"]), docs)
     return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 

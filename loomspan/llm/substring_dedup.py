@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from itertools import compress
 from math import ceil
 
@@ -11,18 +11,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, buffers, window_hashes, words_of
+from .common import _BYTE_BASE, _WORD_BASE, CHECK_BASES, Table, buffers, carried, give_back, hashable, output, quoted, restored, window_hashes, words_of
 
 
-def bucket_windows(column: pa.Array, width: int) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray, np.ndarray]]]:
-    """Hashes of all windows of a bucket's texts; and for each run of rows (i, j) its words by row and its windows' places."""
+#: The bases of a window's hash (words' bytes, then words) and of its check.
+BASES = (_BYTE_BASE, CHECK_BASES[0]), (_WORD_BASE, CHECK_BASES[1])
+Hashes = tuple[np.ndarray, np.ndarray]
+
+
+def bucket_windows(column: pa.Array, width: int) -> tuple[Hashes, list[tuple[int, int, np.ndarray, np.ndarray]]]:
+    """Of all windows of a bucket's texts the hashes (64 bits) and checks (32 bits of an independent hash); and for each run
+    of rows (i, j) its words by row and its windows' places."""
     data, off = buffers(column)
-    hashes, runs = [np.zeros(0, np.uint64)], []
-    for i, j, ids, counts in words_of(data, off):
-        h, at = window_hashes(ids, counts, width)
+    hashes, checks, runs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], []
+    for i, j, ids, counts in words_of(data, off, BASES[0]):
+        (h, at), (c, _) = (window_hashes(x, counts, width, base) for x, base in zip(ids, BASES[1], strict=True))
         hashes.append(h)
+        checks.append((c >> np.uint64(32)).astype(np.uint32))
         runs.append((i, j, counts, at))
-    return np.concatenate(hashes), runs
+    return (np.concatenate(hashes), np.concatenate(checks)), runs
 
 
 def encode_sorted(values: np.ndarray, base: int) -> tuple[int, bytes]:
@@ -40,70 +47,118 @@ def decode_sorted(size: int, raw: bytes, base: int) -> np.ndarray:
     return np.cumsum(d.view("<u8").reshape(-1), dtype=np.uint64) + np.uint64(base)
 
 
-def _bounds(bits: int) -> np.ndarray:
+def in_order(hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """The order by hash, then check. Equal hashes with different checks are rare, so the hashes alone are tried first."""
+    order = np.argsort(hashes, kind="stable")
+    h, c = hashes[order], checks[order]
+    return np.lexsort((checks, hashes)) if ((h[1:] == h[:-1]) & (c[1:] != c[:-1])).any() else order
+
+
+def _new(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.concatenate((np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
+
+
+class Distinct:
+    """A bucket's distinct windows in order: their hashes, checks, which of them it has once, where each range of hashes starts
+    and ends, and which of them each window is (``at``)."""
+
+    def __init__(self, hashes: np.ndarray, checks: np.ndarray, bits: int):
+        order = in_order(hashes, checks)
+        h, c = hashes[order], checks[order]
+        new = _new(h, c)
+        first = np.flatnonzero(new)
+        self.hashes, self.checks = h[first], c[first]
+        self.once = np.diff(np.append(first, len(h))) == 1
+        self.starts = np.searchsorted(self.hashes, bounds(bits))
+        self.ends = np.append(self.starts[1:], len(first))
+        self.at = np.zeros(len(h), np.int64)
+        self.at[order] = np.cumsum(new) - 1
+
+
+def bounds(bits: int) -> np.ndarray:
     return np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
 
 
-def _once_by_range(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes, which of them the bucket has once, and where each range of them starts and ends."""
-    values, counts = np.unique(hashes, return_counts=True)
-    starts = np.searchsorted(values, _bounds(bits))
-    return values, counts == 1, starts, np.append(starts[1:], len(values))
+MESSAGE = "bucket long, range int, once_size int, once binary, once_check binary, many_size int, many binary, many_check binary"
 
 
 def _send(width: int, bits: int) -> Callable:
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        hashes, _ = bucket_windows(t.column("t"), width)
-        values, once, starts, ends = _once_by_range(hashes, bits)
-        out = {k: [] for k in ("range", "once_size", "once", "many_size", "many")}
-        base = _bounds(bits)
-        for r in np.flatnonzero(ends > starts).tolist():
-            part, single = values[starts[r] : ends[r]], once[starts[r] : ends[r]]
-            a, b = encode_sorted(part[single], int(base[r])), encode_sorted(part[~single], int(base[r]))
-            for k, v in zip(out, (r, *a, *b), strict=True):
+        d = Distinct(*bucket_windows(t.column("t"), width)[0], bits)
+        out = {k: [] for k in ("range", "once_size", "once", "once_check", "many_size", "many", "many_check")}
+        low = bounds(bits)
+        for r in np.flatnonzero(d.ends > d.starts).tolist():
+            own = slice(d.starts[r], d.ends[r])
+            row = [r]
+            for which in (d.once[own], ~d.once[own]):
+                row += [*encode_sorted(d.hashes[own][which], int(low[r])), d.checks[own][which].astype("<u4").tobytes()]
+            for k, v in zip(out, row, strict=True):
                 out[k].append(v)
-        types = (pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
-        cols = {k: pa.array(v, kind) for (k, v), kind in zip(out.items(), types, strict=True)}
+        types = {"range": pa.int32(), "once_size": pa.int32(), "many_size": pa.int32()}
+        cols = {k: pa.array(v, types.get(k, pa.binary())) for k, v in out.items()}
+        give_back()
         return pa.table({"bucket": pa.array([key[0].as_py()] * len(out["range"]), pa.int64())} | cols)
 
     return run
 
 
+def repeated(parts: list[Hashes]) -> Hashes:
+    """The windows that occur more than once in ``parts``, in order."""
+    h, c = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    order = in_order(h, c)
+    h, c = h[order], c[order]
+    again = ~_new(h, c)
+    h, c = h[again], c[again]
+    one = _new(h, c)
+    return h[one], c[one]
+
+
+def among(own: Hashes, known: Hashes) -> np.ndarray:
+    """Which of the windows ``own`` are in ``known``, which is in order and not empty."""
+    h, c = known
+    first = np.searchsorted(h, own[0])
+    hit = np.zeros(len(own[0]), bool)
+    s = np.flatnonzero(_new(h, np.zeros(len(h), np.uint32)))
+    for k in range(int(np.diff(np.append(s, len(h))).max())):  # 1, unless hashes agree by chance
+        i = np.minimum(first + k, len(h) - 1)
+        hit |= (h[i] == own[0]) & (c[i] == own[1])
+    return hit
+
+
 def _count(bits: int) -> Callable:
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         base = key[0].as_py() << (64 - bits) if bits else 0
-        once = [decode_sorted(s, r, base) for s, r in zip(t.column("once_size").to_pylist(), t.column("once").to_pylist(), strict=True)]
-        many = [decode_sorted(s, r, base) for s, r in zip(t.column("many_size").to_pylist(), t.column("many").to_pylist(), strict=True)]
-        every = np.sort(np.concatenate([*once, *many, *many]))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        read = lambda what: [(decode_sorted(s, r, base), np.frombuffer(c, "<u4")) for s, r, c in zip(*(t.column(f"{what}{x}").to_pylist() for x in ("_size", "", "_check")), strict=True)]
+        once, many = read("once"), read("many")
+        twice = repeated([*once, *many, *many])
         out_bucket, out_flags = [], []
-        if len(twice):
+        if len(twice[0]):
             for b, own in zip(t.column("bucket").to_pylist(), once, strict=True):
-                hit = twice[np.minimum(np.searchsorted(twice, own), len(twice) - 1)] == own
+                hit = among(own, twice)
                 if hit.any():
                     out_bucket.append(b)
                     out_flags.append(np.packbits(hit).tobytes())
         n = len(out_bucket)
+        give_back()
         return pa.table({"bucket": pa.array(out_bucket, pa.int64()), "range": pa.array([key[0].as_py()] * n, pa.int32()), "flags": pa.array(out_flags, pa.binary())})
 
     return run
 
 
-def repeated_mask(hashes: np.ndarray, bits: int, flags: dict[int, bytes]) -> np.ndarray:
+def repeated_mask(d: Distinct, flags: dict[int, bytes]) -> np.ndarray:
     """Which windows of a bucket start more than once anywhere, from what the bucket has itself and the ranges' flags."""
-    values, once, starts, ends = _once_by_range(hashes, bits)
-    bad = ~once
+    bad = ~d.once
     for r, raw in flags.items():
-        at = starts[r] + np.flatnonzero(once[starts[r] : ends[r]])
+        at = d.starts[r] + np.flatnonzero(d.once[d.starts[r] : d.ends[r]])
         bad[at[np.unpackbits(np.frombuffer(raw, np.uint8), count=len(at)).astype(bool)]] = True
-    return bad[np.searchsorted(values, hashes)] if len(hashes) else np.zeros(0, bool)
+    return bad[d.at]
 
 
 def _cut(width: int, bits: int, names: list[str]) -> Callable:
     def run(key: tuple[pa.Scalar, ...], t: pa.Table, marks: pa.Table) -> pa.Table:
         column = t.column("t")
-        hashes, runs = bucket_windows(column, width)
-        bad = repeated_mask(hashes, bits, dict(zip(marks.column("range").to_pylist(), marks.column("flags").to_pylist(), strict=True)))
+        windows, runs = bucket_windows(column, width)
+        bad = repeated_mask(Distinct(*windows, bits), dict(zip(marks.column("range").to_pylist(), marks.column("flags").to_pylist(), strict=True)))
         data, off = buffers(column)
         texts, n_words, n_removed, at = [], [], [], 0
         for i, j, counts, places in runs:
@@ -122,39 +177,46 @@ def _cut(width: int, bits: int, names: list[str]) -> Callable:
                 n_words.append(len(words))
                 n_removed.append(len(words) - left)
         cols = {n: t.column(n) for n in names}
-        return pa.table(cols | {"t": pa.array(texts, pa.binary()).cast(pa.string()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())})
+        out = pa.table(cols | {"t": pa.array(texts, pa.binary()).cast(pa.string()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())})
+        del windows, runs, bad, texts
+        give_back()
+        return out
 
     return run
 
 
-def substring_dedup(docs: DataFrame, *, width: int = 35, bucket_bytes: int = 12 << 20, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, *, width: int = 35, bucket_bytes: int = 12 << 20, range_bytes: int = 24 << 20, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Removes every word that a repeated window of ``width`` words covers.
 
     Returns ``carry`` columns (all but ``text`` by default), text (the kept words joined by a space), n_words, n_removed.
-    Texts are dealt by hash into buckets of about ``bucket_bytes``. A bucket's task hashes every window (Rabin-Karp, 64 bits)
-    and sends its distinct hashes, sorted and packed, to the task of their range; that one counts and answers with one bit a
-    hash. A window in any number of texts is one entry a bucket, so no window is a hot key. Then each bucket merges its
-    repeated windows into maximal intervals. Two passes move the text; between them about six bytes a word move.
+    Texts are dealt by hash into buckets of about ``bucket_bytes``. A bucket's task hashes every window (Rabin-Karp, 96 bits:
+    64 and a check of 32 by other bases) and sends its distinct hashes, sorted and packed, to the task of their range, that of about
+    ``range_bytes`` of text; that one counts and answers with one bit a hash. A window in any number of texts is one
+    entry a bucket, so no window is a hot key. Then each bucket merges its repeated windows into maximal intervals. Two
+    passes move the text; between them about ten bytes a word move, in size^2 / (bucket_bytes * range_bytes) messages. Both
+    sizes set how many tasks there are, whatever the session's number of shuffle partitions.
 
     All copies of a repeated passage go, the first too, and windows are judged on the input. Hashes stand for word
-    sequences: with n windows about n^2 / 2^65 pairs collide by chance. Null or blank text: no words, an empty text. Rows
-    that repeat a doc_id are texts of their own (so copies remove each other). An empty table gives an empty one. Columns
-    named n_words or n_removed are replaced.
+    sequences: with n windows about n^2 / 2^97 pairs collide by chance, 0.002 in 10^13. Null or blank text: no words, an empty text. Rows
+    that repeat a doc_id are texts of their own (so copies remove each other). A very long text is hashed in pieces, in the
+    bucket's task. Rows are dealt by all that they carry; only those equal in all of it share a bucket whatever their number.
+    An empty table gives an empty one. Columns named n_words or n_removed are replaced; others may have any name.
     """
     spark = docs.sparkSession
     carry = [c for c in (docs.columns if carry is None else carry) if c not in (text, "n_words", "n_removed")]
     names = [f"c{i}" for i in range(len(carry))]
-    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parts, ceil(size / bucket_bytes))
-    bits = max(0, ceil(np.log2(max(parts, size / (6 * (4 << 20))))))
-    key = F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`"))), F.lit(buckets)).alias("bucket")
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, carry, strict=True)], F.col(f"`{text}`").alias("t"), key)
-    sent = rows.select("bucket", "t").groupBy("bucket").applyInArrow(_send(width, bits), "bucket long, range int, once_size int, once binary, many_size int, many binary")
-    marks = Table(sent.groupBy("range").applyInArrow(_count(bits), "bucket long, range int, flags binary"), "repeated").read()
-    types = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
-    done = rows.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(_cut(width, bits, names), ", ".join(x for x in (types, "t string, n_words long, n_removed long") if x))
-    return done.select(*[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)], F.col("t").alias(text), "n_words", "n_removed")
+    size = docs.agg(F.sum(F.octet_length(F.col(quoted(text))))).first()[0] or 0
+    cores = 2 * spark.sparkContext.defaultParallelism
+    buckets = max(cores, ceil(size / bucket_bytes))
+    bits = max(0, ceil(np.log2(max(cores, size / range_bytes))))
+    dealt = [F.col(quoted(c)) for c in dict.fromkeys((doc_id, *carry)) if hashable(docs.schema[c].dataType)]
+    key = F.pmod(F.xxhash64(*dealt, F.xxhash64(F.col(quoted(text)))), F.lit(buckets)).alias("bucket")
+    rows = docs.select(*carried(carry), F.col(quoted(text)).alias("t"), key)
+    sent = rows.select("bucket", "t").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_send(width, bits), MESSAGE)
+    marks = Table(sent.repartition(1 << bits, "range").groupBy("range").applyInArrow(_count(bits), "bucket long, range int, flags binary"), "repeated").read()
+    done = rows.repartition(buckets, "bucket").groupBy("bucket").cogroup(marks.repartition(buckets, "bucket").groupBy("bucket"))
+    done = done.applyInArrow(_cut(width, bits, names), output(rows, names, "t string, n_words long, n_removed long"))
+    return done.select(*restored(carry), F.col("t").alias(text), "n_words", "n_removed")
 
 
 WINDOW_SQL = r"""

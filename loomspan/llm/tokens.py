@@ -33,22 +33,27 @@ def tokenizer_path(name: str) -> str:
 
 
 class Encoder:
-    """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does, special strings as ordinary text.
+    """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
     A text is cut where the tokenizer's own splitting surely cuts: at white space, and before a full stop or comma that
     follows a letter or digit. Such units are encoded alike wherever they stand, so each distinct unit goes to the library
     once; a vectorised lookup by 64-bit hash (with length and first bytes compared) serves its repeats. ``capacity``
-    bounds the memo: beyond it, further units are encoded again each time.
+    bounds the memo: beyond so many units it is cleared and begins anew. Texts that hold one of the tokenizer's added tokens
+    (``<|endoftext|>``), which it finds before any splitting, go to the library whole.
     """
 
-    def __init__(self, path: str, capacity: int = 1 << 19):
+    def __init__(self, path: str, capacity: int = 1 << 18):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path) as f:
-            self.kind = "byte" if json.load(f)["pre_tokenizer"]["type"] == "ByteLevel" else "word"
+            parsed = json.load(f)
+        self.kind = "byte" if parsed["pre_tokenizer"]["type"] == "ByteLevel" else "word"
+        added = [t["content"] for t in parsed.get("added_tokens") or []]
+        # Without regard to case, as some normalise a text before they look for them.
+        self.added = re.compile("|".join(map(re.escape, added)).encode() or b"(?!)", re.IGNORECASE)
+        self.first = np.unique(np.frombuffer("".join(x[0] for x in added).encode(), np.uint8))
         self.separator = self._ids(_SEPARATOR[self.kind])
         if len(self.separator) != 1:
             raise ValueError(f"{path}: no single id separates units")
@@ -124,10 +129,13 @@ class Encoder:
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and how many each row has."""
         flat, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        for i, j in chunks(off, 2 << 20):
+        for i, j in chunks(off, 1 << 19):
             a, b = int(off[i]), int(off[j])
             part, own = data[a:b], off[i : j + 1] - a
-            if self.kind == "byte" and _MAYBE_ODD[part].any() and (odd := [m.start() for m in _ODD_SPACE.finditer(part.tobytes())]):
+            odd = [m.start() for m in self.added.finditer(part.tobytes())] if any((part == x).any() for x in self.first) else []
+            if self.kind == "byte" and _MAYBE_ODD[part].any():
+                odd += [m.start() for m in _ODD_SPACE.finditer(part.tobytes())]
+            if odd:
                 rows = np.unique(np.searchsorted(own, odd, "right") - 1)
                 at = 0
                 for r in rows.tolist():
@@ -176,7 +184,7 @@ class Encoder:
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str, capacity: int = 1 << 19) -> Encoder:
+def encoder(path: str, capacity: int = 1 << 18) -> Encoder:
     """One encoder a process and file, so that its memo serves all tasks of a worker."""
     key = (path, capacity)
     if key not in _encoders:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers
+from .common import buffers, carried, chunks, lean, output, quoted, restored, runs
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -95,33 +96,74 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(F.translate(host, _UPPER, _LOWER), F.lit("")), F.coalesce(path, F.lit(""))
 
 
+class RuleSet:
+    """Rules, the longest first. Few are one automaton. Many are dealt by the last two labels of their host (by its only one, if
+    it has no more): a URL can only fit rules dealt by the end of its own host, so each automaton stays small and is built when
+    a URL asks for it; the last ``held`` are kept."""
+
+    def __init__(self, rules: list[Rule], together: int = 256, held: int = 4096):
+        self.rules = sorted(rules, key=lambda r: -len(r.text))
+        self.held, self.built, self.groups = held, OrderedDict(), {}
+        for i, r in enumerate(self.rules):
+            host = r.text.partition("/")[0]
+            key = None if len(rules) <= together or "*" in host else ".".join(host.split(".")[-2:])
+            self.groups.setdefault(key, []).append(i)
+
+    def automaton(self, key: str | None) -> Globs:
+        if key in self.built:
+            self.built.move_to_end(key)
+        else:
+            self.built[key] = Globs([self.rules[i].glob() for i in self.groups[key]])
+            if len(self.built) > self.held:
+                self.built.popitem(last=False)
+        return self.built[key]
+
+    def best(self, hosts: pa.Array, canonical: pa.Array) -> np.ndarray:
+        """For each row the number of the rule that wins, or -1."""
+        none = len(self.rules)
+        out = np.full(len(canonical), none)
+        by: dict[str | None, np.ndarray] = {None: np.arange(len(canonical))} if None in self.groups else {}
+        if len(self.groups) > (None in self.groups):
+            labels = [h.split(".") for h in hosts.to_pylist()]
+            for n in (1, 2):
+                keys = np.array([".".join(x[-n:]) if len(x) >= n else "" for x in labels], object)
+                order = np.argsort(keys, kind="stable")
+                s, e = runs(keys[order])
+                by |= {k: order[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True) if (k := keys[order[x]]) in self.groups}
+        for key, rows in by.items():
+            hit = self.automaton(key).match(*buffers(canonical.take(pa.array(rows))))
+            found = np.array(self.groups[key])[hit.argmax(1)]
+            out[rows] = np.minimum(out[rows], np.where(hit.any(1), found, none))
+        return np.where(out < none, out, -1)
+
+
 def filter_urls(pages: DataFrame, rules: list[Rule], *, default: str = "allow", url: str = "url", carry: list[str] | None = None) -> DataFrame:
     """Judges each row's URL: ``carry`` columns (all by default), host, path, rule (null if none fits) and verdict.
 
     A rule fits its host and all subdomains if the path starts with its path; the longest fitting rule wins, the earlier of
     equally long ones. Without a fitting rule the verdict is ``default``. A null URL or one without ``://`` has an empty host
-    and path, which no rule fits. No shuffle; repeated rows are judged alike; an empty table gives an empty one; columns of
-    ``pages`` named as a result column are replaced. The rules are code shipped with the tasks, not data of the tables.
+    and path, which no rule fits. No shuffle; URLs of any length are stepped over in a batch, a state a URL; repeated rows are
+    judged alike; an empty table gives an empty one; columns of ``pages`` named as a result column are replaced, others may
+    have any name. The rules are a parameter shipped with the tasks, not data of the tables; memory for them is bounded (``RuleSet``).
     """
     carry = [c for c in (pages.columns if carry is None else carry) if c not in ("host", "path", "rule", "verdict")]
-    ordered = sorted(rules, key=lambda r: -len(r.text))
-    globs = Globs([r.glob() for r in ordered])
-    texts = pa.array([r.text for r in ordered] or [""], pa.string())
-    verdicts = pa.array([r.verdict for r in ordered] or [""], pa.string())
-    host, path = host_and_path(F.col(f"`{url}`"))
-    rows = pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)], host.alias("h"), path.alias("p"))
-    rows = rows.withColumn("canonical", F.concat(F.lit("."), "h", "p"))
-    types = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "canonical"]
+    rule_set = RuleSet(rules)
+    texts = pa.array([r.text for r in rule_set.rules] or [""], pa.string())
+    verdicts = pa.array([r.verdict for r in rule_set.rules] or [""], pa.string())
+    host, path = host_and_path(F.col(quoted(url)))
+    rows = pages.select(*carried(carry), host.alias("h"), path.alias("p")).withColumn("canonical", F.concat(F.lit("."), "h", "p"))
+    kept = rows.columns[:-1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hit = globs.match(*buffers(b.column(b.num_columns - 1)))
-            best = np.where(hit.any(1), hit.argmax(1), -1) if hit.shape[1] else np.full(len(hit), -1)
-            at = pa.array(best, pa.int64(), mask=best < 0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts.take(at), verdicts.take(at).fill_null(default)], names=[*b.schema.names[:-1], "rule", "verdict"])
-
-    done = rows.mapInArrow(run, ", ".join([*types, "rule string", "verdict string"]))
-    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], F.col("h").alias("host"), F.col("p").alias("path"), "rule", "verdict")
+        for whole in batches:
+            for i, j in chunks(buffers(whole.column(whole.num_columns - 1))[1], 4 << 20):
+                b = whole.slice(i, j - i)
+                best = rule_set.best(b.column(b.num_columns - 3), b.column(b.num_columns - 1))
+                at = pa.array(best, pa.int64(), mask=best < 0)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts.take(at), verdicts.take(at).fill_null(default)], names=[*kept, "rule", "verdict"])
+
+    done = rows.mapInArrow(lean(run), output(rows, kept, "rule string, verdict string"))
+    return done.select(*restored(carry), F.col("h").alias("host"), F.col("p").alias("path"), "rule", "verdict")
 
 
 #: The rules of the query.

@@ -28,6 +28,7 @@ def rows():
     texts += [texts[3], texts[3], texts[3].replace("the", "teh", 1), texts[10] + " tail", "", None, "   \n\t ", "\n".join([line.lower()] * 3), "x", "a b c d e f g h i j " * 30]
     texts.append(" ".join(words(rng, 30_000, 20_000)) + "\n" + passage)
     texts.append("\u00a0odd\u2003space\x1c here's  two\n\n\nlines   ")
+    texts += ["hello <|endoftext|> there", "<|startoftext|>A<|ENDOFTEXT|> b <|endoftext|>"]
     out = [(i * 3 + 1, t, ["en", "de", None][i % 3], ["s0", "s1", "s0", None][i % 4], len(t or "")) for i, t in enumerate(texts)]
     return [*out, out[5], out[5]]
 
@@ -47,5 +48,5 @@ def clashing(docs):
     """The same documents with further columns whose names operators use themselves."""
     from pyspark.sql import functions as F
 
-    names = ["id", "t", "c0", "fp", "cell", "bucket", "kept", "n_words", "n_lines", "copy", "length", "file", "of", "a.b", "h", "label", "drop_id", "_id"]
-    return docs.select("*", *[F.lit(7).alias(n) for n in names])
+    names = ["id", "t", "c0", "fp", "cell", "bucket", "kept", "n_words", "n_lines", "copy", "length", "file", "of", "a.b", "h", "r", "label", "drop_id", "_id", "_first", "_row_id", "_stay", "copies", "shuffle_key", "kept_", "a`b", "column_0", "row", "u_", "id_"]
+    return docs.select("*", *[F.lit(-7 - k).alias(n) for k, n in enumerate(names)])

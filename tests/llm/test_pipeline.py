@@ -11,35 +11,54 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomspan.llm import registry
-from loomspan.llm.quality import COMMON, _forms
+from loomspan.llm.quality import CLASSES, COMMON, REFERENCES, _forms
 
 from .test_text_ops import WORD, brute_fingerprint, brute_lines, brute_quality, check_packing, components, crc, ids_of
 
 DATA = "/root/testdata/sf0.001"
 
 
+IN = {"space": " \t\n\v\f\r", "digit": "0123456789", "punct": ".,;:!?'\"()-", "symbol": "#*$%&|<>@=+_/\\~^[]{}`"}
+
+
+def char_class(c):
+    for name, chars in IN.items():
+        if c in chars:
+            return name
+    if c.isascii() and c.isalpha():
+        return "lower" if c.islower() else "upper"
+    n = ord(c)
+    if 0xC0 <= n <= 0x24F or 0x1E00 <= n <= 0x1EFF:
+        return "accent"
+    letters = ((0x370, 0x1DFF), (0x1F00, 0x1FFF), (0x2C00, 0x2DFF), (0x2E80, 0xD7FF), (0xF900, 0xFDFF), (0xFE70, 0xFEFF), (0xFF66, 0xFFDC), (0x10000, 0x1EFFF), (0x20000, 0x3FFFF))
+    return "script" if any(a <= n <= b for a, b in letters) else "other"
+
+
 def brute_kept(rows):
-    """Which rows the quality rules keep, references included."""
-    def shares(t):
-        t = (t or "").strip(" \t\n\v\f\r")
-        w = WORD.findall(t)
-        counts = {lang: [sum(x in _forms(c) for x in w) for c in words] for lang, words in COMMON.items()}
-        hits = {lang: sum(x in {f for c in words for f in _forms(c)} for x in w) for lang, words in COMMON.items()}
-        lang = max(COMMON, key=lambda x: hits[x]) if max(hits.values()) else None
-        k = [len(re.findall("[A-Z]", t)), len(re.findall(r"[#*$%&|<>]", t)), len(t.encode()) - len(t), len(t) - sum(map(len, w))]
-        full = lambda a, n: np.array([*[x / n for x in a], max(0.0, 1 - sum(a) / n)])
-        return lang, full(k, max(1, len(t.encode()))), full(counts[lang], max(1, len(w))) if lang else None
+    """Which rows the quality rules keep."""
 
     def distance(p, q):
         half = lambda a, b: sum(x * np.log2(2 * x / (x + y)) for x, y in zip(a, b, strict=True) if x > 0)
         return np.sqrt(max(0.0, (half(p, q) + half(q, p)) / 2))
 
-    base = [brute_quality(r[1]) for r in rows]
-    s = [shares(r[1]) for r in rows]
-    judged = [not b[5] and b[0] >= 50 for b in base]
-    refs = {lang: [np.mean([x[k] for x, j in zip(s, judged, strict=True) if j and x[0] == lang], axis=0) for k in (1, 2)] for lang in {x[0] for x, j in zip(s, judged, strict=True) if j and x[0]}}
-    good = lambda x: x[0] is not None and (distance(x[1], refs[x[0]][0]) + distance(x[2], refs[x[0]][1])) / 2 <= 0.185
-    return [not b[5] and (not j or good(x)) for b, j, x in zip(base, judged, s, strict=True)]
+    def good(t):
+        base = brute_quality(t)
+        if base[5] or base[0] < 50:
+            return not base[5]
+        t = t.strip(" \t\n\v\f\r")
+        chars = Counter(map(char_class, t))
+        if 2 * chars["script"] > base[1]:
+            return True
+        w = WORD.findall(t)
+        bare = [x.rstrip(".,").lower() for x in w if any(x in _forms(c) for words in COMMON.values() for c in words)]
+        counts = {lang: [sum(x == c for x in bare) for c in words] for lang, words in COMMON.items()}
+        lang = max(COMMON, key=lambda x: sum(counts[x]))
+        lang = lang if 100 * sum(counts[lang]) >= 8 * len(w) else None
+        if distance([chars[c] / len(t) for c in CLASSES], REFERENCES[lang][0]) > 0.17:
+            return False
+        return lang is None or distance([*[x / len(w) for x in counts[lang]], (len(w) - sum(counts[lang])) / len(w)], REFERENCES[lang][1]) <= 0.35
+
+    return [good(r[1]) for r in rows]
 
 
 def poisson(rate, i):
@@ -83,13 +102,27 @@ def test_pipeline(spark, docs, rows, tmp_path):
     assert check_packing(out, 4096) <= -(-sum(r["length"] for r in out) // 4096) + 1
 
 
-def test_stages_keep_columns(spark, docs, no_docs):
-    wide = docs.withColumn("copy", F.lit(1))
+def test_stages_keep_columns(spark, docs, no_docs, clashing):
+    """Extra columns keep their names and values, whatever the names."""
+    extra, values = clashing.columns[5:], tuple(clashing.first()[5:])
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, wide, "").columns == wide.columns, name
+        wide, plain = stage(spark, clashing, ""), stage(spark, docs, "")
+        assert wide.columns == clashing.columns, name
+        rows = [tuple(r) for r in wide.collect()]
+        assert rows and all(r[5:] == values for r in rows), (name, extra)
+        assert Counter(r[:5] for r in rows) == Counter(map(tuple, plain.collect())), name
         assert stage(spark, no_docs, "").count() == 0, name
 
 
+def test_run_leaves_only_its_result(spark, docs, tmp_path):
+    from loomspan.llm import common
+
+    docs.limit(20).write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(common._live)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert len(set(common._live) - before) == 1 and out.count() >= 1
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the supplied tables aren't here")
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_against_sql(spark, name):

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from loomspan.llm.line_dedup import line_dedup
 from loomspan.llm.mixing import mix_sources
 from loomspan.llm.packing import best_fit, pack, pack_documents
-from loomspan.llm.quality import jensen_shannon, quality_rules
-from loomspan.llm.simhash import hamming_links, simhash_dedup, simhash_groups
+from loomspan.llm.quality import REFERENCES, fit_references, jensen_shannon, quality_rules
+from loomspan.llm.simhash import embed, embedded, hamming_links, simhash_dedup, simhash_groups
 from loomspan.llm.substring_dedup import substring_dedup
 from loomspan.llm.token_files import token_files
 from loomspan.llm.tokens import tokenizer_path
@@ -114,8 +114,24 @@ def test_simhash(docs, rows, clashing, no_docs):
     assert got(simhash_groups(docs), "doc_id", "fingerprint", "component_id") == want
     assert got(simhash_groups(clashing), "doc_id", "fingerprint", "component_id") == want
     assert simhash_groups(no_docs).count() == 0
-    kept = [r[0] for r in simhash_dedup(clashing).select("doc_id").collect()]
-    assert sorted(kept) == sorted(set(low.values()))
+    kept = simhash_dedup(clashing)
+    assert kept.columns == clashing.columns
+    kept = kept.collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(low.values()))
+    assert all(r[c] == v for r in kept for c, v in zip(clashing.columns[5:], clashing.first()[5:], strict=True))
+
+
+def test_embedding_of_segments(spark):
+    """The unary digits: their differing bits are the Manhattan distance of the segments' counts, at most the Hamming distance."""
+    fp = np.random.default_rng(2).integers(0, 1 << 63, 300).astype(np.uint64)
+    fp[1:150] = fp[0] ^ (np.uint64(1) << np.random.default_rng(3).integers(0, 63, 149).astype(np.uint64))
+    count = lambda x: np.array([(int(x) >> s & 3).bit_count() for s in range(0, 64, 2)])
+    got_ = embed(fp)
+    for a, b in [(0, 5), (1, 2), (3, 200), (250, 299), (0, 160)]:
+        manhattan = np.abs(count(fp[a]) - count(fp[b])).sum()
+        assert (int(got_[a]) ^ int(got_[b])).bit_count() == manhattan <= (int(fp[a]) ^ int(fp[b])).bit_count()
+    df = spark.createDataFrame([(int(x.view(np.int64)),) for x in fp], "fp long")
+    assert [r[0] for r in df.select(embedded(F.col("fp"))).collect()] == got_.view(np.int64).tolist()
 
 
 def test_hot_cells(spark):
@@ -126,8 +142,8 @@ def test_hot_cells(spark):
     fps = sorted(fps)
     comp = components(len(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4)
     df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
-    for most in (8, 1 << 17):
-        edges = {tuple(sorted((a % 2**64, b % 2**64))) for a, b in hamming_links(df, 4, max_cell=most).collect()}
+    for most, groups in ((8, 7), (1 << 17, None)):
+        edges = {tuple(sorted((a % 2**64, b % 2**64))) for a, b in hamming_links(df, 4, groups=groups, max_cell=most).collect()}
         assert all((a ^ b).bit_count() <= 4 or comp[fps.index(a)] == comp[fps.index(b)] for a, b in edges)
         assert components(len(fps), lambda a, b, e=edges: tuple(sorted((fps[a], fps[b]))) in e) == comp
 
@@ -152,9 +168,17 @@ def test_quality(spark, docs, rows, clashing, no_docs):
     assert got(quality_rules(clashing), *cols) == want
     assert quality_rules(no_docs).count() == 0
     good = [(i, " ".join(["The cat and the dog went to the house of a man", "in the rain that is not so bad,"][(i + k) % 2] + f" word{k} " for k in range(12)), "en") for i in range(20)]
-    bad = [(100, " ".join(f"THEN{k}!! WORDS{k}!!" for k in range(60)), "en"), (101, " ".join(f"zzz{k}### qqq{k}$$$" for k in range(60)), "en"), (102, "short but clean text of the eleven words that is kept", "en")]
-    kept = {r[0] for r in quality_rules(spark.createDataFrame(good + bad, "doc_id long, text string, lang string")).where("kept").collect()}
-    assert 102 in kept and not kept & {100, 101}
+    bad = [(100, " ".join(f"THEN{k}!! WORDS{k}!!" for k in range(60)), "en"), (101, " ".join(f"zzz{k}### qqq{k}$$$" for k in range(60)), "en"), (103, " ".join(f"the of and {'to a in is that it for was on with'.split()[k % 10]} x{k}" for k in range(60)), "en")]
+    fine = [(102, "short but clean text of the eleven words that is kept", "en"), (104, " ".join(f"każdy{chr(97 + k % 26)} człowiek ma swoje prawo{chr(97 + k // 26)}" for k in range(30)), "pl"), (105, " ".join(f"слово{chr(1072 + k % 30)} и дело{chr(1072 + k // 30)}" for k in range(60)), "ru")]
+    judged = quality_rules(spark.createDataFrame(good + bad + fine, "doc_id long, text string, lang string"))
+    kept = {r[0] for r in judged.where("kept").collect()}
+    assert kept >= {102, 104, 105} and not kept & {100, 101, 103}
+    far = {r["doc_id"]: r for r in judged.collect()}
+    assert far[101]["char_distance"] > 0.17 and far[103]["word_distance"] > 0.35 and far[104]["word_distance"] is None and far[105]["char_distance"] is None
+    own = fit_references(spark.createDataFrame(good, "doc_id long, text string, lang string"))
+    assert abs(sum(own["en"][0]) - 1) < 1e-9 and abs(sum(own["en"][1]) - 1) < 1e-9 and own["de"] == REFERENCES["de"]
+    again = quality_rules(spark.createDataFrame(good, "doc_id long, text string, lang string"), references=own, max_char_distance=0.1, max_word_distance=0.1)
+    assert again.where("kept").count() == len(good)
 
 
 def test_distance(spark):
@@ -201,7 +225,6 @@ def ids_of(name, rows, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
     return [[*t.encode(r[1] or "", add_special_tokens=False).ids, end] for r in rows]
 
 
@@ -269,7 +292,40 @@ def test_packing_rounds_and_capacities(spark):
     assert sorted(r["doc_id"] for r in out) == list(range(3000))
     assert check_packing(out, 1000) <= -(-int(sizes.sum()) // 1000) * 1.01 + 1
     order = np.sort(sizes)[::-1]
-    bins = best_fit(order, 1000, 4, 200_000)
-    for b in np.unique(bins):
-        own = order[bins == b]
-        assert own.sum() <= 1000 and len(own) <= 4 and ((own.astype(int) ** 2).sum() <= 200_000 or len(own) == 1)
+    for score in ("norm", "dot"):
+        bins = best_fit(order, 1000, 4, 200_000, score=score)
+        for b in np.unique(bins):
+            own = order[bins == b]
+            assert own.sum() <= 1000 and len(own) <= 4 and ((own.astype(int) ** 2).sum() <= 200_000 or len(own) == 1)
+        out = pack(df, size=1000, documents=3, attention=120_000, group=300, score=score).collect()
+        assert sorted(r["doc_id"] for r in out) == list(range(3000))
+        check_packing(out, 1000)
+        by = defaultdict(list)
+        for r in out:
+            by[r["sequence_id"]].append(r["length"])
+        assert all(len(x) <= 3 and (sum(n * n for n in x) <= 120_000 or len(x) == 1) for x in by.values())
+        assert len(by) <= 1.15 * max(1000, (order.astype(int) ** 2).sum() / 120_000)
+
+
+def brute_best_fit(lengths, size, weights):
+    """The least weighted norm over all bins that fit, by its definition."""
+    bins, out = [], []
+    for n in lengths:
+        need = (n, 1, n * n)
+        fits = [b for b, left in enumerate(bins) if all(x >= y for x, y in zip(left, need, strict=True))]
+        if not fits:
+            bins.append(list(size))
+            fits = [len(bins) - 1]
+        norm = lambda b, need=need: sum(w * ((x - y) / s) ** 2 for w, x, y, s in zip(weights, bins[b], need, size, strict=True))
+        best = min(fits, key=norm)
+        bins[best] = [x - y for x, y in zip(bins[best], need, strict=True)]
+        out.append(best)
+    return out
+
+
+def test_best_fit_is_the_least_norm():
+    rng = np.random.default_rng(8)
+    order = np.sort(rng.integers(1, 300, 400))[::-1]
+    assert best_fit(order, 1000, 6, 150_000).tolist() == brute_best_fit(order.tolist(), (1000, 6, 150_000), (1.0, 0.25, 0.25))
+    loose = best_fit(order, 1000, 1000, 10**6)
+    assert len(np.unique(loose)) == len(set(brute_best_fit(order.tolist(), (1000, 1000, 10**6), (1.0, 0.0, 0.0))))

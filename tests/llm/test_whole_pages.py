@@ -1,9 +1,17 @@
-"""HTML regions: no text above the threshold is left out."""
+"""HTML regions: no text above the threshold is left out; the article stays whole, and what is beside it goes."""
+
+import html
+import os
+import re
+import time
 
 import pytest
 
+from loomspan.llm import html_text as module
 from loomspan.llm.html_text import extract_text
 
+PAGES = "/root/testdata/sf0.01/pages.parquet"
+
 BODY, REST = "Long body text goes on and on. " * 30, "The rest of the text follows here. " * 8
 
 
@@ -25,3 +33,58 @@ def test_every_cluster_stays(page):
 
 def test_marked_text_goes():
     assert extract_text(f"<body><nav>{REST}</nav><div><p>{BODY}</p></div><div class=comments><p>{REST}</p></div></body>") == BODY.strip()
+
+
+P = "This is a long paragraph of the article, with a good many words in it, and more of them. " * 4
+LONG = P.strip()
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<div class="search-results-page"><article><p>{P}</p></article></div>', LONG),
+        (f'<article><p>{P}</p><p class="notice-of-meeting">Meeting at nine.</p><p id="tags-explained">Tags are these.</p></article>', f"{LONG}\nMeeting at nine.\nTags are these."),
+        (f"<article><p>{P}</p><button>Push <p>After it.</p></article>", f"{LONG}\nPush\nAfter it."),
+        (f"<article><p>{P}</p><button>Push</button><p>After it.</p></article>", f"{LONG}\nAfter it."),
+        (f"<article><p>{P}</p><object data=x><p>After it.</p></article>", f"{LONG}\nAfter it."),
+        (f"<article><p>{P}</p><canvas><p>After it.</p></article>", f"{LONG}\nAfter it."),
+        (f"<article><p>{P}</p><select><option>a<option>b</select><p>After it.</p></article>", f"{LONG}\nAfter it."),
+        (f'<article><p>{P}</p><p>One <span class="advert">Buy now</span>two <a class="share-button" href=x>Share</a>three.</p></article>', f"{LONG}\nOne two three."),
+        (f'<body><div id="content-sidebar-wrap"><p>{P}</p><p>Short.</p></div><footer>x</footer></body>', f"{LONG}\nShort."),
+        (f'<form id="page"><div><p>{P}</p></div></form>', LONG),
+        (f'<article><p>{P}</p></article><section id="comments"><article class="comment"><p>{P * 5}</p></article></section>', LONG),
+        (f'<article><p>{P}</p></article><aside><article><h2><a href=x>{P}</a></h2></article></aside>', LONG),
+        (f'<div class="cookieBanner"><p>{P}</p></div><div><h1>Title</h1><p>{P}</p><div style="display: none">{P}</div></div>', f"Title\n{LONG}"),
+        (f"<div><ul><li><a href=a>Home</a><li><a href=b>News of the day</a></ul><p>{P}</p><ul><li>One</li><li>Two</li></ul><p>{P}</p></div><div>Page made by machine</div>" + "<div>and more</div>" * 4, f"{LONG}\nOne\nTwo\n{LONG}"),
+        ("<nav>Home</nav><footer>Us</footer>", ""),
+        ("", ""),
+    ],
+)
+def test_articles(page, text):
+    got = extract_text(page)
+    assert got.startswith(text) if "made by machine" in page else got == text
+
+
+def written_out(page):
+    """What the article element of the supplied pages holds, by patterns instead of a parser."""
+    inner = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S)[1]
+    blocks = (html.unescape(re.sub(r"</?b>", "", re.sub("<br>", " ", x))) for x in re.split(r"</?(?:p|h1)>", inner))
+    return "\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)
+
+
+@pytest.mark.skipif(not os.path.isfile(PAGES), reason="the supplied tables aren't here")
+def test_all_pages(monkeypatch):
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(PAGES, columns=["html"]).column(0).to_pylist()
+    got = [extract_text(x) for x in pages]
+    assert got == [written_out(x) for x in pages]
+    monkeypatch.setattr(module, "clusters", lambda smooth: [True] * len(smooth))
+    assert all(extract_text(x) != g for x, g in zip(pages, got, strict=True))  # the clusters choose
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 50_000, "<article>" + "<div><p>some text" * 50_000, "<b>" * 50_000 + "</i>" * 50_000 + "<p>a", "<p>" + "<span class=ad>" * 50_000 + "x"])
+def test_deep_pages(page):
+    began = time.time()
+    extract_text(page)
+    assert time.time() - began < 20
