@@ -205,10 +205,10 @@ def smoothed(ratios: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
-def clusters(smooth: list[float]) -> list[bool]:
-    """The lines at or above the threshold, the ratios' standard deviation."""
+def clusters(smooth: list[float], share: float = 0.5) -> list[bool]:
+    """The lines at or above the threshold, a share of the ratios' standard deviation."""
     mean = sum(smooth) / len(smooth)
-    threshold = min(max(smooth), sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)))
+    threshold = min(max(smooth), share * sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)))
     return [0 < x >= threshold for x in smooth]
 
 
@@ -249,7 +249,7 @@ def extract_text(html: str | None, *, sigma: float = 1.0) -> str:
 
     A line's ratio is its characters outside of links over its tags; lines of elements that are, or mark themselves as,
     something beside the article have ratio 0. Ratios are smoothed with a Gaussian within sections, and lines at or above
-    their standard deviation form the clusters. These select the regions: the innermost article or main element around a
+    half their standard deviation form the clusters. These select the regions: the innermost article or main element around a
     cluster's line; for lines in none their container; without any such element all that lies from the first cluster to the
     last in their common container, but for containers of mostly links. All lines of a region belong to the article, short ones too, except
     those of ratio 0 for their element's sake that are in no cluster.
@@ -276,10 +276,11 @@ def extract_text(html: str | None, *, sigma: float = 1.0) -> str:
     by: dict[int, list[int]] = {}
     for i, (_, _, _, node, _) in enumerate(lines):
         by.setdefault(section[node], []).append(i)
+    ratios = [w * n / max(1, tags) for w, n, (_, tags, _, _, _) in zip(weight, plain, lines, strict=True)]
     smooth = [0.0] * len(lines)
     for own in by.values():
-        for i, x in zip(own, smoothed([weight[i] * plain[i] / max(1, lines[i][1]) for i in own], sigma), strict=True):
-            smooth[i] = x
+        for i, x in zip(own, smoothed([ratios[i] for i in own], sigma), strict=True):
+            smooth[i] = x if ratios[i] else 0.0  # neighbours don't make text of links
     high = clusters(smooth)
     if not any(high):
         return ""

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, quoted
+from .common import ASCII_SPACE, Table, quoted
 
 #: Frequent words of each language that has a reference, the most frequent first.
 COMMON = {
@@ -132,6 +132,8 @@ def fit_references(accepted: DataFrame, *, min_words: int = 50, text: str = "tex
     """References of accepted texts, to be given to ``quality_rules``: the mean histograms by language of those that pass the
     base rules and have ``min_words`` words. All of ``accepted`` count; the driver gets one row a language of COMMON."""
     df = histograms(base_counts(accepted.select(F.col(quoted(text)).alias("_text")), "_text"))
+    # Written, as a filter would otherwise be moved below the projections and count everything again.
+    df = Table(df.select("base_failed", "n_words", "_lang", "_chars", "_common"), "histograms").read()
     df = df.where(~F.col("base_failed") & (F.col("n_words") >= min_words) & F.col("_lang").isNotNull())
     mean = lambda c, n: F.array(*[F.avg(F.col(c)[i]) for i in range(n)])
     sizes = len(CLASSES), max(map(len, COMMON.values())) + 1
