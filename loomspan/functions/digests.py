@@ -20,10 +20,16 @@ def row_digest(df: DataFrame, cols: list[str]) -> Column:
 
 
 def frame_digest(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """(rows, digest) of a frame, whatever its order and partitions. Rows' digests are folded by their first 16 bits, so no
-    task sorts more than 1/65,536 of them, and then those at most 65,536 folds."""
+    """(rows, digest) of a frame, whatever its order and partitions. Rows' digests are folded in two steps by the beginning of
+    the digests, in order within a fold: as many first letters as leave some 4,096 rows a fold, so that no task
+    sorts more however many rows there are, then folds of folds."""
     cols = cols or df.columns
-    rows = df.select(row_digest(df, cols).alias("d"))
-    fold = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ""), 256)
-    parts = rows.groupBy(F.substring("d", 1, 4).alias("p")).agg(F.count("*").alias("n"), fold("d").alias("d"))
-    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rows"), fold(F.concat("p", "d")).alias("digest"))
+    rows = df.select(row_digest(df, cols).alias("d")).withColumn("n", F.lit(1).cast("long"))
+    n, length = df.count(), 0
+    while n > 4096 * 16**length:
+        length += 1
+    fold = F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d")
+    total = F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n")
+    for k in range(length, 0, -3):
+        rows = rows.groupBy(F.substring("d", 1, k).alias("p")).agg(fold, total).select(F.concat("p", "d").alias("d"), "n")
+    return rows.agg(total, fold).select(F.col("n").alias("rows"), F.col("d").alias("digest"))

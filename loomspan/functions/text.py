@@ -112,25 +112,29 @@ def container_of(qualified: Column) -> Column:
 
 
 def strip_turbofish(target: Column) -> Column:
-    """``f::<T>`` as ``f``: a terminal generic argument list is no part of the name."""
-    return F.regexp_replace(target, r"::<.*>$", "")
+    """``f::<T>`` as ``f``: a generic argument list at the end, from the last ``::<`` on and with its brackets in balance, is no part of the name."""
+    name, rest = (F.regexp_extract(target, r"(?s)\A(.+)::(<.*>)\z", k) for k in (1, 2))
+    depth = F.aggregate(F.split(rest, ""), F.lit(0), lambda d, c: F.when(d < 0, d).when(c == "<", d + 1).when(c == ">", d - 1).otherwise(d))
+    return F.when((rest != "") & (depth == 0), name).otherwise(target)
 
 
-IDENTIFIER = r"(?:r#)?[\p{L}_][\p{L}\p{N}_]*"
+IDENTIFIER = r"(?:r#)?[A-Za-z_][A-Za-z0-9_]*"
 
 
 def path_parts(target: Column) -> Column:
-    """struct(path, same_slot, bare) of a path of identifiers, else null. ``crate::`` in front restricts to the same slot."""
-    inner = F.regexp_replace(target, r"^crate::", "")
-    ok = inner.rlike(rf"^{IDENTIFIER}(?:::{IDENTIFIER})*$") & ~inner.rlike(r"^(?:self|super)(?:::|$)")
-    same = target.startswith("crate::")
-    return F.when(ok, F.struct(inner.alias("path"), same.alias("same_slot"), (~same & (F.instr(inner, "::") == 0)).alias("bare")))
+    """struct(path, same_slot, bare) of a path of ASCII identifiers, else null. ``crate::`` in front restricts to the same
+    slot, ``::`` says nothing more; what is left is bare if it is one identifier. Paths from ``self`` and ``super`` are not told."""
+    inner = F.regexp_replace(target, r"\A(?:crate)?::", "")
+    ok = inner.rlike(rf"\A{IDENTIFIER}(?:::{IDENTIFIER})*\z") & ~target.rlike(r"\A(?:self|super)::")
+    return F.when(ok, F.struct(inner.alias("path"), target.startswith("crate::").alias("same_slot"), (F.instr(inner, "::") == 0).alias("bare")))
 
 
 def import_parts(raw: Column) -> Column:
-    """struct(target, alias, same_slot) of ``path [as alias]``, else null."""
-    path = F.regexp_replace(F.trim(raw), r"\s+as\s+\S+$", "")
-    alias = F.regexp_extract(F.trim(raw), rf"\s+as\s+({IDENTIFIER})$", 1)
-    p = path_parts(path)
+    """struct(target, alias, same_slot) of ``path [as alias]``, else null. The alias is null where nothing is bound: for
+    ``as _``, and for a path that ends in ``self``."""
+    words = F.split(F.regexp_replace(raw, r"\A[ \t\n\f\r]+|[ \t\n\f\r]+\z", ""), r"[ \t\n\f\r]+")
+    p, n, given = path_parts(words[0]), F.size(words), F.get(words, F.lit(2))
     last = F.element_at(F.split(p["path"], "::"), -1)
-    return F.when(p.isNotNull(), F.struct(p["path"].alias("target"), F.when(alias != "", alias).otherwise(last).alias("alias"), p["same_slot"].alias("same_slot")))
+    named = (n == 3) & (F.get(words, F.lit(1)) == "as") & given.rlike(rf"\A{IDENTIFIER}\z")
+    alias = F.when(n == 3, F.when(given != "_", given)).otherwise(F.when(last != "self", last))
+    return F.when(p.isNotNull() & ((n == 1) | named), F.struct(p["path"].alias("target"), alias.alias("alias"), p["same_slot"].alias("same_slot")))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import in_packages, top_directory, topology_category
-from .results import Bounded, bounded
+from .results import Bounded, bounded, within_bytes
+from .spans import contained
 
 LANGUAGE_ORDER = ("rust", "go", "typescript", "tsx", "python")
 
@@ -47,9 +48,29 @@ def entry_points(facts: DataFrame, limit: int = 100) -> Bounded:
     return bounded(facts.where((F.col("kind") == "function") & (F.col("name") == "main")), ["path", "ordinal"], limit)
 
 
-def architecture_overview(files: DataFrame, facts: DataFrame, roots: int = 100, entries: int = 100) -> dict[str, DataFrame | Bounded]:
+def architecture_overview(files: DataFrame, facts: DataFrame, roots: int = 100, entries: int = 100, max_bytes: int | None = None) -> dict[str, DataFrame | Bounded]:
+    """Totals, counts by language and by kind, source roots and entry points. Roots and entry points share ``max_bytes``:
+    roots come first, each list in its order; what no longer fits is left out and counted as omitted."""
     totals, languages, _ = architecture_map(files)
-    return {"totals": totals, "languages": languages, "kinds": kind_counts(facts), "roots": source_roots(files, roots), "entry_points": entry_points(facts, entries)}
+    r, e = source_roots(files, roots), entry_points(facts, entries)
+    if max_bytes is not None:
+        sizes = lambda b, cols: sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c in cols), F.lit(ITEM_BYTES)).cast("long")
+        first = within_bytes(r.rows, sizes(r, ["root"]), max_bytes, [F.asc_nulls_first("root")])
+        used = first.agg(F.coalesce(F.sum(sizes(r, ["root"])), F.lit(0))).first()[0]
+        cut = first.count() < r.receipt.first()["returned"]
+        second = within_bytes(e.rows, sizes(e, ["path", "name"]), 0 if cut else max_bytes - used, ["path", "ordinal"])
+        r, e = (Bounded(rows, _shorter(b.receipt, rows)) for b, rows in ((r, first), (e, second)))
+        r, e = Bounded(r.rows.orderBy(F.asc_nulls_first("root")), r.receipt), Bounded(e.rows.orderBy("path", "ordinal"), e.receipt)
+    return {"totals": totals, "languages": languages, "kinds": kind_counts(facts), "roots": r, "entry_points": e}
+
+
+#: Fixed value: bytes that an item of a list takes beside its texts.
+ITEM_BYTES = 64
+
+
+def _shorter(receipt: DataFrame, rows: DataFrame) -> DataFrame:
+    n = rows.agg(F.count("*").alias("n"))
+    return receipt.crossJoin(n).select("total", F.col("n").alias("returned"), (F.col("total") - F.col("n")).alias("omitted"), "availability")
 
 
 def topology(paths: DataFrame, packages: list[str] | None = None) -> DataFrame:
@@ -68,10 +89,10 @@ def outbound_sites(sites: DataFrame, declaration: dict[str, object], limit: int
 
 
 def sites_by_declaration(sites: DataFrame, facts: DataFrame) -> DataFrame:
-    """Every (declaration, site inside it): an equi join on the artifact, with the span beside it."""
+    """Every (declaration, site inside it), by a join on the artifact and cells of spans."""
     f = facts.select("artifact_digest", F.col("ordinal").alias("fact_ordinal"), "decl_start", "decl_end")
     s = sites.select("artifact_digest", F.col("ordinal").alias("site_ordinal"), "site_kind", "raw_target", "start", "end")
-    return f.join(s, "artifact_digest").where((F.col("start") >= F.col("decl_start")) & (F.col("end") <= F.col("decl_end")))
+    return contained(s, f, ["artifact_digest"], outer=("decl_start", "decl_end"))
 
 
 def syntax_site_search(sites: DataFrame, raw_target: str, limit: int = 100) -> Bounded:

@@ -7,6 +7,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The tiers in their order, the limit of candidates, and the constant of reciprocal ranks.
 TIERS = ("precise_overlay", "syntax", "structural", "references", "memory", "history", "unresolved")
 MAX_CANDIDATES, RRF = 10_000, 60
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import import_parts, path_parts, strip_turbofish
 from .results import Bounded, bounded, not_produced
+from .trace import written
 
 SITE = ["slot", "path", "site_ordinal"]
 TARGET = ["target_slot", "target_path", "target_ordinal"]
@@ -34,18 +35,32 @@ def _module_scope(sites: DataFrame, definitions: DataFrame) -> DataFrame:
     return sites.join(near, SITE, "left")
 
 
+def _targets(definitions: DataFrame, most: int) -> DataFrame:
+    """(tag, key, place, called, targets): for every qualified name (tag q), in its slot and in any, and every name (tag n), in any, the
+    first ``most`` + 1 definitions, for calls only functions. So a name that is defined a million times is one row with
+    a bounded list, whatever refers to it. Written, so that joins with it have an exchange on both sides."""
+    at = F.struct(F.col("slot").alias("target_slot"), F.col("path").alias("target_path"), F.col("ordinal").alias("target_ordinal"))
+    own = F.concat(F.lit("="), F.col("slot").cast("string"))
+    row = lambda tag, key, place: F.struct(F.lit(tag).alias("tag"), F.col(key).alias("key"), place.alias("place"))
+    keys = F.array(row("q", "qualified_name", own), row("q", "qualified_name", F.lit("*")), row("n", "name", F.lit("*")))
+    called = F.array(F.lit(False), F.when(F.col("kind") == "function", F.lit(True)))
+    d = definitions.select(at.alias("t"), F.explode(keys).alias("k"), called.alias("c")).select("t", "k.*", F.explode("c").alias("called")).where(F.col("called").isNotNull())
+    first = Window.partitionBy("tag", "key", "place", "called").orderBy("t")
+    d = d.withColumn("n", F.row_number().over(first)).where(F.col("n") <= most + 1)
+    return written(d.groupBy("tag", "key", "place", "called").agg(F.array_sort(F.collect_list("t")).alias("targets")), "targets")
+
+
 def resolve_sites(definitions: DataFrame, sites: DataFrame, max_candidates: int = MAX_CANDIDATES) -> tuple[DataFrame, DataFrame]:
     """Resolves graph sites: (resolutions, candidates).
 
     ``definitions``: slot, path, ordinal, kind, name, qualified_name. ``sites``: slot, path, site_ordinal, kind (import,
     reference, call, macro_call, test_marker), raw_target, enclosing (qualified name or null), enclosing_kind.
     Macro and test sites are unsupported. An import matches by qualified name. A call with a dot, bracket or leading ``<``
-    is dynamic; otherwise only functions are eligible, and if none is found but a method has the name, it is dynamic too.
+    is dynamic; otherwise only functions are eligible, and if none is found but a method has exactly the name, it is dynamic too.
     A qualified path matches exactly, in its own slot after ``crate::``. A bare name takes the innermost enclosing scope
     that has it, else the top level, plus imports of that alias in the same file and module; only if all that finds none,
-    definitions of that name in any slot. Each tier is an equi join over all sites at once.
+    definitions of that name in any slot. All tiers are keys of one frame, which is joined once with the targets by key.
     """
-    d = definitions.select(F.col("slot").alias("target_slot"), F.col("path").alias("target_path"), F.col("ordinal").alias("target_ordinal"), F.col("kind").alias("target_kind"), F.col("name").alias("d_name"), F.col("qualified_name").alias("d_qualified"))
     raw = F.col("raw_target")
     s = _module_scope(sites, definitions)
     call, imp = F.col("kind") == "call", F.col("kind") == "import"
@@ -58,41 +73,41 @@ def resolve_sites(definitions: DataFrame, sites: DataFrame, max_candidates: int
         .when(F.col("dynamic"), "dynamic_or_method_call")
         .when(~imp & F.col("named").isNull(), "unsupported_qualified_syntax")
     )
-    s = s.withColumn("early", early)
+    s = written(s.withColumn("early", early), "sites")
     live = s.where(F.col("early").isNull())
-    eligible = lambda df: df.where((F.col("kind") != "call") | (F.col("target_kind") == "function"))
-    out = [*SITE, *TARGET, "evidence", "depth"]
-
-    def qualified(df: DataFrame, target: Column, same: Column, evidence: str) -> DataFrame:
-        hit = df.withColumn("_t", target).withColumn("_same", same).join(d, F.col("_t") == F.col("d_qualified"))
-        return eligible(hit.where(~F.col("_same") | (F.col("slot") == F.col("target_slot")))).withColumn("evidence", F.lit(evidence)).withColumn("depth", F.lit(0)).select(*out)
-
-    imports = live.where(imp)
-    named_sites = live.where(~imp)
-    bare = named_sites.where(F.col("named.bare"))
-    tiers = [
-        qualified(imports, F.col("imported.target"), F.col("imported.same_slot"), "import_syntax"),
-        qualified(named_sites.where(~F.col("named.bare")), F.col("named.path"), F.col("named.same_slot"), "qualified_syntax"),
-    ]
-    walk = bare.withColumn("p", F.col("named.path")).select(*SITE, "kind", "p", F.posexplode(_scopes(F.col("enclosing"))).alias("depth", "scope"))
-    walk = walk.withColumn("_t", F.when(F.col("scope") == "", F.col("p")).otherwise(F.concat("scope", F.lit("::"), "p")))
-    lexical = eligible(walk.join(d, (F.col("_t") == F.col("d_qualified")) & (F.col("slot") == F.col("target_slot")))).withColumn("evidence", F.lit("lexical_syntax")).select(*out)
-    near = lexical.groupBy(*SITE).agg(F.min("depth").alias("depth"))
-    tiers.append(lexical.join(near, [*SITE, "depth"]).select(*out))
-    bound = imports.select(F.col("slot").alias("b_slot"), F.col("path").alias("b_path"), F.col("module").alias("b_module"), F.col("imported.alias").alias("alias"), F.col("imported.target").alias("b_target"), F.col("imported.same_slot").alias("b_same")).distinct()
-    through = bare.join(bound, (F.col("slot") == F.col("b_slot")) & (F.col("path") == F.col("b_path")) & (F.col("named.path") == F.col("alias")) & F.col("module").eqNullSafe(F.col("b_module")))
-    tiers.append(qualified(through, F.col("b_target"), F.col("b_same"), "import_syntax"))
-    first = reduce(DataFrame.unionAll, tiers)
-    rest = bare.join(first.select(*SITE).distinct(), SITE, "left_anti")
-    by_name = eligible(rest.join(d, F.col("named.path") == F.col("d_name"))).withColumn("evidence", F.lit("exact_name_heuristic")).withColumn("depth", F.lit(0)).select(*out)
-    rank = F.array_position(F.array(*map(F.lit, EVIDENCE)), F.col("evidence"))
-    found = first.unionAll(by_name).groupBy(*SITE, *TARGET).agg(F.min_by("evidence", rank).alias("evidence"))
-    n = found.groupBy(*SITE).agg(F.count("*").alias("candidate_count"))
-    order = Window.partitionBy(*SITE).orderBy(*TARGET)
-    candidates = found.withColumn("candidate_ordinal", F.row_number().over(order) - 1).where(F.col("candidate_ordinal") < max_candidates)
-    methods = d.where(F.col("target_kind") == "method").select(F.col("d_name").alias("m_name"), F.lit(True).alias("has_method")).distinct()
-    last = F.element_at(F.split(F.col("named.path"), "::"), -1)
-    res = s.join(n, SITE, "left").withColumn("_last", F.when(call & F.col("early").isNull(), last)).join(methods, F.col("_last") == F.col("m_name"), "left")
+    own = F.concat(F.lit("="), F.col("slot").cast("string"))
+    place = lambda same: F.when(same, own).otherwise(F.lit("*"))
+    key = lambda tier, depth, tag, k, p: F.struct(F.lit(tier).alias("tier"), depth.cast("int").alias("depth"), F.lit(tag).alias("tag"), k.alias("key"), p.alias("place"))
+    bare, path, none = F.col("named.bare"), F.col("named.path"), F.lit(0)
+    scopes = _scopes(F.col("enclosing"))
+    lexical = F.transform(scopes, lambda scope, i: key("lexical_syntax", i, "q", F.when(scope == "", path).otherwise(F.concat(scope, F.lit("::"), path)), own))
+    tiers = (
+        F.when(imp, F.array(key("import_syntax", none, "q", F.col("imported.target"), place(F.col("imported.same_slot")))))
+        .when(~bare, F.array(key("qualified_syntax", none, "q", path, place(F.col("named.same_slot")))))
+        .otherwise(F.concat(lexical, F.array(key("exact_name_heuristic", none, "n", path, F.lit("*")))))
+    )
+    keys = live.select(*SITE, call.alias("called"), F.explode(tiers).alias("k")).select(*SITE, "called", "k.*")
+    bound = live.where(imp).select(F.col("slot").alias("b_slot"), F.col("path").alias("b_path"), F.col("module").alias("b_module"), F.col("imported.alias").alias("alias"), F.col("imported.target").alias("key"), place(F.col("imported.same_slot")).alias("place")).distinct()
+    through = live.where(~imp & bare).join(bound, (F.col("slot") == F.col("b_slot")) & (F.col("path") == F.col("b_path")) & (path == F.col("alias")) & F.col("module").eqNullSafe(F.col("b_module")))
+    keys = keys.unionAll(through.select(*SITE, call.alias("called"), F.lit("import_syntax").alias("tier"), none.alias("depth"), F.lit("q").alias("tag"), "key", "place"))
+    found = keys.join(_targets(definitions, max_candidates), ["tag", "key", "place", "called"])
+    of = lambda *names: F.col("tier").isin(*names)
+    near = F.min_by(F.when(of("lexical_syntax"), F.col("targets")), F.when(of("lexical_syntax"), F.col("depth"))).alias("near")
+    lists = lambda name: F.flatten(F.collect_list(F.when(of(name), F.col("targets"))))
+    by = found.groupBy(*SITE).agg(near, lists("qualified_syntax").alias("qualified"), lists("import_syntax").alias("imports"), lists("exact_name_heuristic").alias("heuristic"))
+    ranked = lambda c, k: F.transform(c, lambda t: F.struct(t["target_slot"].alias("target_slot"), t["target_path"].alias("target_path"), t["target_ordinal"].alias("target_ordinal"), F.lit(k).alias("rank")))
+    sure = F.concat(ranked(F.col("qualified"), 0), ranked(F.coalesce("near", F.slice("qualified", 1, 0)), 1), ranked(F.col("imports"), 2))
+    by = by.select(*SITE, F.when(F.size(sure) > 0, sure).otherwise(ranked(F.col("heuristic"), 3)).alias("c"))
+    evidence = F.element_at(F.array(*map(F.lit, EVIDENCE)), F.col("rank") + 1)
+    all_ = by.select(*SITE, F.explode("c").alias("c")).select(*SITE, "c.*").groupBy(*SITE, *TARGET).agg(F.min("rank").alias("rank"))
+    all_ = written(all_.select(*SITE, *TARGET, evidence.alias("evidence")), "candidates")
+    n = all_.groupBy(*SITE).agg(F.count("*").alias("candidate_count"))
+    candidates = all_.withColumn("candidate_ordinal", F.row_number().over(Window.partitionBy(*SITE).orderBy(*TARGET)) - 1).where(F.col("candidate_ordinal") < max_candidates)
+    slot = F.concat(F.lit("="), F.col("slot").cast("string"))
+    method = F.array(F.struct(F.lit("n").alias("m_tag"), F.col("name").alias("m_key")), F.struct(F.lit("q").alias("m_tag"), F.col("qualified_name").alias("m_key")))
+    methods = definitions.where(F.col("kind") == "method").select(F.explode(method).alias("m"), slot.alias("slot")).select("m.*", F.explode(F.array(F.col("slot"), F.lit("*"))).alias("m_place")).distinct().withColumn("has_method", F.lit(True))
+    asked = F.when(call & F.col("early").isNull(), F.struct(F.when(bare, F.lit("n")).otherwise(F.lit("q")).alias("tag"), path.alias("key"), place(F.col("named.same_slot")).alias("place")))
+    res = s.withColumn("_a", asked).join(n, SITE, "left").join(methods, (F.col("_a.tag") == F.col("m_tag")) & (F.col("_a.key") == F.col("m_key")) & (F.col("_a.place") == F.col("m_place")), "left")
     count = F.coalesce("candidate_count", F.lit(0))
     reason = F.coalesce("early", F.when(F.col("has_method") & call, "dynamic_or_method_call").otherwise("no_candidate"))
     res = res.select(

@@ -50,7 +50,18 @@ def change_manifest(base: DataFrame, work: DataFrame, tracked: DataFrame) -> Dat
     return j.select("path", change.alias("change")).where(F.col("change").isNotNull()).orderBy("path")
 
 
-def change_review(changes: DataFrame, index_digest: str, worktree_digest: str) -> DataFrame:
-    """Counts by change, and whether the index matches the work tree."""
-    by = changes.groupBy("change").agg(F.count("*").alias("paths"))
-    return by.withColumn("aligned", F.lit(index_digest == worktree_digest))
+def change_review(changes: DataFrame, index_digest: str | None, worktree_digest: str) -> tuple[DataFrame, DataFrame]:
+    """(changes, status): a change manifest, and one row of counts by change with the index's state: aligned if it was made from
+    this work tree, stale if not, absent if there is none."""
+    kinds = ("added", "modified", "deleted", "type_changed", "untracked")
+    counts = changes.agg(F.count("*").alias("paths"), *[F.sum(F.when(F.col("change") == k, 1).otherwise(0)).alias(k) for k in kinds]).fillna(0)
+    state = "absent" if index_digest is None else "aligned" if index_digest == worktree_digest else "stale"
+    return changes, counts.withColumn("index_state", F.lit(state))
+
+
+def hint_batch(hints: DataFrame, max_paths: int = 10_000, max_bytes: int = 1 << 20) -> DataFrame:
+    """One row (paths, hints, bytes, full): a micro-batch's distinct paths. ``full``: more paths or bytes than the limits, so that
+    only a full reconciliation will do and the paths themselves say nothing."""
+    by = hints.groupBy("path").agg(F.count("*").alias("n"))
+    row = by.agg(F.count("*").alias("paths"), F.coalesce(F.sum("n"), F.lit(0)).alias("hints"), F.coalesce(F.sum(F.octet_length("path")), F.lit(0)).alias("bytes"))
+    return row.withColumn("full", (F.col("paths") > max_paths) | (F.col("bytes") > max_bytes))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, query_terms
 from .results import Bounded, bounded
+from .trace import written
 
 MAX_CANDIDATES = 16
-#: From strongest to weakest claim on the result: (outcome, effective state, evidence state).
+#: Fixed values. From strongest to weakest claim on the result: (outcome, effective state, evidence state).
 EVIDENCE_ORDER = (
     ("indeterminate", "indeterminate", "indeterminate"),
     ("needs_review", "needs_review", "ambiguous"),
@@ -38,6 +39,13 @@ def select_heads(versions: DataFrame, approvals: DataFrame, parents: DataFrame)
     return every.select("record_id", outcome.alias("outcome"), F.when(~bad & (F.col("heads") == 1), F.col("revision")).alias("revision"), F.coalesce("heads", F.lit(0)).alias("heads"))
 
 
+def open_heads(versions: DataFrame, approvals: DataFrame, parents: DataFrame) -> DataFrame:
+    """(record_id, head): approved versions that no approved version refers to as its parent."""
+    approved = versions.join(approvals.select("record_id", "revision").distinct(), ["record_id", "revision"], "left_semi")
+    named = parents.join(approved, ["record_id", "revision"], "left_semi").select("record_id", F.col("parent").alias("revision")).distinct()
+    return approved.join(named, ["record_id", "revision"], "left_anti").select("record_id", F.col("revision").alias("head"))
+
+
 def ancestry_checks(commits: DataFrame, ancestors: DataFrame, known: DataFrame) -> DataFrame:
     """Adds ``ancestry``: ancestor, not_ancestor, or indeterminate for commits that history doesn't hold."""
     c = commits.join(ancestors.select(F.col("ancestor").alias("commit"), F.lit(True).alias("_a")).distinct(), "commit", "left")
@@ -135,19 +143,24 @@ def fold_evidence(records: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def revalidate(versions, approvals, parents, records, checks, subjects, facts, moves, snapshot=None) -> DataFrame:
-    """The whole projection: heads, validity, correspondence, many-to-one, folding; one row a record."""
-    heads = select_heads(versions, approvals, parents)
+    """The whole projection: heads, validity, correspondence, many-to-one, folding; one row a record. What several steps read
+    is written in between, so that no step is planned twice."""
+    heads = written(select_heads(versions, approvals, parents), "heads")
     selected = heads.where(F.col("outcome") == "selected").select("record_id", "revision")
     live = records.join(selected, ["record_id", "revision"], "left_semi")
-    live = live.join(project_validity(live, checks, snapshot), "record_id")
-    items = reject_many_to_one(correspondence(subjects.join(live.where((F.col("validity") == "valid") & (F.col("lifecycle") == "active")), "record_id", "left_semi"), facts, moves))
+    live = written(live.join(project_validity(live, checks, snapshot), "record_id"), "live")
+    judged = written(subjects.join(live.where((F.col("validity") == "valid") & (F.col("lifecycle") == "active")), "record_id", "left_semi"), "subjects")
+    items = written(reject_many_to_one(written(correspondence(judged, facts, moves), "items")), "items")
     folded = fold_evidence(live, items)
     state = F.coalesce("effective_state", F.col("outcome"))
     return heads.join(folded, "record_id", "left").select("record_id", "revision", state.alias("effective_state"), F.coalesce("evidence_state", F.lit("not_evaluated")).alias("evidence_state"), "resolved", "review", "indeterminate")
 
 
-def memory_recall(projection: DataFrame, query: str | None = None, limit: int = 50) -> tuple[Bounded, DataFrame]:
-    """Records whose title or body holds every term (A-Z folded only), in record order; and counts by state."""
+def memory_recall(projection: DataFrame, query: str | None = None, limit: int = 50, *, made_for: object = None, active: object = None) -> tuple[Bounded, DataFrame]:
+    """Records whose title or body holds every term (A-Z folded only), in record order; and counts by state. A projection
+    ``made_for`` another generation than the ``active`` one is an error: it may not tell what is current."""
+    if made_for != active:
+        raise LookupError("the projection was made for another generation")
     rows = projection
     for t in query_terms(query) if query else []:
         rows = rows.where(F.instr(ascii_lower(F.concat_ws("\n", "title", "body")), "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)) > 0)

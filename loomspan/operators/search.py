@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms, tokens
-from .results import Bounded, bounded
+from .results import Bounded, bounded, within_bytes
 
 #: Ranking parameters and the columns' weights.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -40,11 +42,20 @@ def phrase_hits(index: DataFrame, phrase: list[str], key: list[str] = KEY) -> Da
     return hits.groupBy(*key).agg(F.sum(weight).alias("weighted"))
 
 
-def code_search(facts: DataFrame, query: str, limit: int = 20, *, index: DataFrame | None = None, stats: DataFrame | None = None, key: list[str] = KEY) -> Bounded:
+#: Fixed value: bytes that a hit takes beside its texts.
+HIT_BYTES = 136
+
+
+def hit_size(*texts: str) -> Column:
+    return sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c in texts), F.lit(HIT_BYTES)).cast("long")
+
+
+def code_search(facts: DataFrame, query: str, limit: int = 20, *, max_bytes: int | None = None, index: DataFrame | None = None, stats: DataFrame | None = None, key: list[str] = KEY) -> Bounded:
     """Facts that hold every term (each a phrase of adjacent tokens), best first: bm25 with weighted fields, then by key.
 
     ``index`` and ``stats`` are the materialised projections; ranks take their statistics from ``stats``. A term without any
-    token matches nothing. Returns key, kind, name, qualified_name and rank (lower is better).
+    token matches nothing. Returns key, kind, name, qualified_name and rank (lower is better). Over ``max_bytes`` of them
+    are an error, never a shorter result.
     """
     if not 1 <= limit <= 100:
         raise ValueError("1 to 100 results")
@@ -63,7 +74,11 @@ def code_search(facts: DataFrame, query: str, limit: int = 20, *, index: DataFra
     scored = hits.join(F.broadcast(terms), "term_no").join(stats, key)
     ranked = scored.groupBy(*key).agg(F.count("*").alias("terms"), F.sum(F.col("idf") * tf).alias("score")).where(F.col("terms") == len(phrases))
     out = ranked.join(facts.select(*key, *WEIGHTS), key).select(*key, *WEIGHTS, (-F.col("score")).alias("rank"))
-    return bounded(out, [F.col("rank"), *[F.col(k) for k in key]], limit)
+    order = [F.col("rank"), *[F.col(k) for k in key]]
+    found = bounded(out, order, limit)
+    if max_bytes is None:
+        return found
+    return Bounded(within_bytes(found.rows, hit_size(key[0], *WEIGHTS), max_bytes, order, fail=True).orderBy(*order), found.receipt)
 
 
 def _tokens_of(term: str) -> list[str]:
@@ -119,14 +134,46 @@ def relevant_paths(hits: DataFrame, max_paths: int = 12, per_path: int = 4) -> D
     return by.select("path", sound.alias("matches"), "first_ordinal").orderBy(F.desc("matches"), "path").limit(max_paths)
 
 
-def cross_repository_search(facts: DataFrame, query: str, limit: int = 20, **kwargs) -> DataFrame:
-    """The search in each repository (column repository_id), then one shared limit over results in id and rank order."""
-    ids = [r[0] for r in facts.select("repository_id").distinct().orderBy("repository_id").limit(64).collect()]
-    each = [code_search(facts.where(F.col("repository_id") == i), query, limit, **kwargs).rows.withColumn("repository_id", F.lit(i)) for i in ids]
-    every = reduce(DataFrame.unionByName, each)
-    order = Window.orderBy("repository_id", "rank", "path", "ordinal")  # at most 64 times the limit
-    return every.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
-
-
-def rank_column(rank: Column, digits: int = 6) -> Column:
-    return F.round(rank, digits)
+@dataclass(frozen=True)
+class CrossSearch:
+    """``rows``: results in repository and rank order. ``receipts``: a row a repository asked for, with outcome (complete, partial, empty,
+    failed, skipped: its turn came when the limit was used up), total, returned and reason."""
+
+    rows: DataFrame
+    receipts: DataFrame
+
+
+MAX_REPOSITORIES = 64
+
+
+def cross_repository_search(facts: DataFrame | dict[str, DataFrame], query: str, limit: int = 20, **kwargs) -> CrossSearch:
+    """The search in each repository, then one shared limit over results in id and rank order.
+
+    ``facts`` has a column repository_id, or is a frame by repository. A repository that fails is reported and doesn't hold up the
+    others; over MAX_REPOSITORIES are an error."""
+    if not isinstance(facts, dict):
+        ids = sorted(r[0] for r in facts.select("repository_id").distinct().limit(MAX_REPOSITORIES + 1).collect())
+        facts = {i: facts.where(F.col("repository_id") == i) for i in ids}
+    if len(facts) > MAX_REPOSITORIES:
+        raise ValueError(f"over {MAX_REPOSITORIES} repositories")
+    out, receipts, left, spark = None, [], limit, None
+    for i in sorted(facts):
+        if not left:
+            receipts.append((i, "skipped", None, 0, "the limit is used up"))
+            continue
+        try:
+            spark = facts[i].sparkSession
+            found = code_search(facts[i], query, limit, **kwargs)
+            total = found.receipt.first()["total"]
+            rows = found.rows.limit(left).withColumn("repository_id", F.lit(i))
+            n = min(total, left, limit)
+        except PySparkException as e:
+            receipts.append((i, "failed", None, 0, str(e).split("\n")[0][:200]))
+            continue
+        receipts.append((i, "empty" if not total else "complete" if n == total else "partial", total, n, None))
+        out, left = rows if out is None else out.unionByName(rows), left - n
+    if out is None:
+        if spark is None:
+            raise ValueError("no repositories")
+        out = spark.createDataFrame([], "path string, ordinal long, kind string, name string, qualified_name string, rank double, repository_id string")
+    return CrossSearch(out.orderBy("repository_id", "rank", "path", "ordinal"), spark.createDataFrame(receipts, "repository_id string, outcome string, total long, returned long, reason string"))

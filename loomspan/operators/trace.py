@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ORDER = ["edge_kind", "resolution_evidence", "extraction_evidence", "source", "site", "target"]
@@ -32,14 +33,19 @@ class Limits:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that every machine sees: in ``spark.checkpoint.dir``; only where it is unset (tests) a local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    """A new folder that every machine sees: in ``spark.checkpoint.dir``. Where it is unset, a temporary one if the whole session
+    runs on this machine (as in tests); on a cluster that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = "file://" + tempfile.gettempdir()
     return f"{folder.rstrip('/')}/loomspan/{name}-{uuid.uuid4().hex}"
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a level by writing it to the shared folder."""
-    path = scratch(df.sparkSession, "trace")
+def written(df: DataFrame, name: str = "trace") -> DataFrame:
+    """``df`` written to the shared folder and read from there, which cuts its lineage."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -48,8 +54,8 @@ def graph_trace(edges: DataFrame, start: list, direction: str = "outbound", kind
     """Level by level from ``start``: ``edges`` has source, target, site and the columns of ORDER (missing ones are constant).
 
     A node is expanded once. A level's edges are those of its frontier, in ORDER; back edges to seen nodes are in the result
-    too. The limits cut in that order: edges looked at, new nodes, frontier, results, and each sets its flag. A level is two
-    joins with the frontier; the driver holds counts only.
+    too. The limits cut in that order: edges looked at, new nodes, frontier, results, and each sets its flag. A level is one
+    pass over the edges, joined with the frontier and written; what follows reads only the level. The driver holds counts.
     """
     spark = edges.sparkSession
     e = edges
@@ -61,8 +67,13 @@ def graph_trace(edges: DataFrame, start: list, direction: str = "outbound", kind
     kind = e.schema[origin].dataType
     seen = spark.createDataFrame([(s, 0) for s in start], f"node {kind.simpleString()}, depth int")
     frontier, out, flags, looked, results, nodes, done = seen.select("node"), None, set(), 0, 0, len(start), 0
-    for depth in range(1, limits.depth + 1):
+    for depth in range(1, limits.depth + 2):
         level = e.join(frontier, e[origin] == frontier["node"], "left_semi")
+        if depth > limits.depth:
+            if not level.isEmpty():
+                flags.add("depth")
+            break
+        level = written(level)
         total = level.count()
         if not total:
             break
@@ -72,37 +83,38 @@ def graph_trace(edges: DataFrame, start: list, direction: str = "outbound", kind
             level = level.orderBy(origin, *ORDER).limit(limits.edges - looked)
         looked += min(total, limits.edges - looked)
         fresh = level.join(seen, level[end] == seen["node"], "left_anti")
-        w = Window.orderBy(*ORDER, end)
-        first = fresh.groupBy(F.col(end).alias("node")).agg(F.min(F.struct(*ORDER)).alias("at"))
-        n_new = first.count()
+        admitted = written(fresh.groupBy(F.col(end).alias("node")).agg(F.min(F.struct(*ORDER)).alias("at")))
+        n_new = admitted.count()
         room = limits.nodes - nodes
-        admitted = first
+        shown = level
         if n_new > room:
             flags.add("nodes")
-            admitted = first.orderBy("at", "node").limit(room)
-        admitted = _cut(admitted.select("node", "at"))
-        nodes += min(n_new, room)
-        known = seen.select("node").unionAll(admitted.select("node"))
-        shown = level.join(known, level[end] == known["node"], "left_semi").withColumn("depth", F.lit(depth))
-        n_shown = shown.count()
+            admitted = written(admitted.orderBy("at", "node").limit(room))
+            known = seen.select("node").unionAll(admitted.select("node"))
+            shown = level.join(known, level[end] == known["node"], "left_semi")
+        n_new = min(n_new, room)
+        nodes += n_new
+        shown = shown.withColumn("depth", F.lit(depth))
+        n_shown = total if shown is level else shown.count()
         if results + n_shown > limits.results:
             flags.add("results")
-            shown = shown.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limits.results - results).drop("_n")
+            shown = shown.orderBy(*ORDER, end).limit(limits.results - results)
             stop = True
         results = min(limits.results, results + n_shown)
-        shown = _cut(shown)
         out = shown if out is None else out.unionByName(shown)
         seen = seen.unionAll(admitted.select("node", F.lit(depth).alias("depth")))
+        if depth % 16 == 0:
+            seen = written(seen)
         frontier = admitted
-        if min(n_new, room) > limits.frontier:
+        if n_new > limits.frontier:
             flags.add("frontier")
-            frontier = admitted.orderBy("at", "node").limit(limits.frontier)
+            frontier = written(admitted.orderBy("at", "node").limit(limits.frontier))
         frontier = frontier.select("node")
         if stop:
             break
         done = depth
-        if depth == limits.depth and e.join(frontier, e[origin] == frontier["node"], "left_semi").limit(1).count():
-            flags.add("depth")
+        if not n_new:
+            break
     out = e.limit(0).withColumn("depth", F.lit(0)) if out is None else out
     return Trace(out.orderBy("depth", *ORDER), seen, done, flags)
 
@@ -122,7 +134,7 @@ def impact_analyze(edges: DataFrame, start: object, limits: Limits = Limits(), k
         parent = best.select(F.col("node").alias("target"), F.col("class").alias("parent"))
         weak = F.col("ambiguous") | F.col("heuristic") | (F.col("parent") != 0)
         got = level.join(parent, "target").select(F.col("source").alias("node"), F.when(weak, 1).otherwise(0).alias("class"), F.lit(depth).alias("depth"))
-        best = _cut(best.unionAll(got).groupBy("node").agg(F.min("class").alias("class"), F.min("depth").alias("depth")))
+        best = written(best.unionAll(got).groupBy("node").agg(F.min("class").alias("class"), F.min("depth").alias("depth")))
     rows = best.where(F.col("node") != F.lit(start)).select("node", F.when(F.col("class") == 0, "directly_connected").otherwise("possible").alias("class"), "depth")
     return rows.orderBy("depth", "class", "node"), bool(trace.flags)
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.digests import artifact_digest, frame_digest
-from ..operators import architecture, graph, manifests, retention, search, trace
+from ..operators import architecture, context, graph, manifests, overlay, retention, search, trace
 from ..operators.results import Bounded
-from ..sources import extract, files
+from ..sources import extract, files, scip
 from .catalog import Catalog
+from .memory_store import MemoryStore
 
 PRODUCER, CONFIGURATION, SCHEMA = "loomspan.extract", "default", "2"
 
@@ -20,82 +22,95 @@ class Engine:
     """One catalog. ``index`` publishes a generation of a slot; every query reads the generation that is active when it starts."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.catalog = spark, Catalog(spark, root)
+        self.spark, self.catalog, self.root = spark, Catalog(spark, root), root.rstrip("/")
 
     # -- indexing
 
-    def index(self, slot: str, root: str, *, packages: list[str] | None = None, max_bytes: int = 8 << 20, max_attempts: int = 3) -> dict:
+    def index(self, slot: str, root: str, *, packages: list[str] | None = None, max_bytes: int = 8 << 20, max_attempts: int = 3, revision: str | None = None, ref: str | None = None) -> dict:
         """Reads a tree and publishes it: "published", or "unchanged" if its manifest is the active one's. Analyses are keyed by
         content, so only contents that no earlier generation analysed are parsed; equal files are parsed once. If the source
-        changes meanwhile, the fence refuses and it starts again."""
+        changes meanwhile, its manifest or its repository's state, the fence refuses and it starts again. ``revision`` or
+        ``ref`` name the commit that must be checked out, before and, by the fence, after. ``omitted``: files over ``max_bytes``,
+        which the generation lists in its table omitted."""
+        local = "://" not in root
+        wanted = files.resolve_selector(root, revision=revision, ref=ref) if local else None
+        if wanted is not None and files.source_state(root)["head"] != wanted:
+            raise ValueError("another commit is checked out")
         for _ in range(max_attempts):
+            now, state = self.catalog.pointer(slot), files.source_state(root) if local else None
             tree = files.read_tree(self.spark, root, packages=packages, max_bytes=max_bytes)
             key = artifact_digest(F.concat_ws("/", "content_digest", F.coalesce("language", F.lit("-"))), PRODUCER, CONFIGURATION, SCHEMA)
             tree = tree.withColumn("artifact_digest", key)
             manifest = tree.select("path", "content_digest", "artifact_digest", "language", "size")
-            digest = frame_digest(manifest).first()["digest"]
+            omitted = files.omitted_files(self.spark, root, packages=packages, max_bytes=max_bytes)
+            digest = self._digest(manifest, omitted)
             old = self.catalog.read(slot, "snapshot")
             if old is not None and old.first()["digest"] == digest:
                 return {"outcome": "unchanged", "digest": digest}
             gen = uuid.uuid4().hex
-            counts = self._stage(slot, gen, tree, manifest, digest)
-            again = lambda d=digest, p=packages: frame_digest(files.read_tree(self.spark, root, packages=p, max_bytes=max_bytes).withColumn("artifact_digest", key).select("path", "content_digest", "artifact_digest", "language", "size")).first()["digest"] == d
-            outcome = self.catalog.publish(slot, gen, fence=again, validators=self._validate)
+            counts = self._stage(slot, gen, tree, manifest, omitted, digest)
+
+            def again() -> bool:
+                if local and (files.source_state(root) != state or files.resolve_selector(root, revision=revision, ref=ref) != wanted):  # noqa: B023
+                    return False
+                tree = files.read_tree(self.spark, root, packages=packages, max_bytes=max_bytes).withColumn("artifact_digest", key)  # noqa: B023
+                return self._digest(tree.select(*manifest.columns), omitted) == digest  # noqa: B023
+
+            outcome = self.catalog.publish(slot, gen, base=now["epoch"] if now else 0, fence=again, validators=self._validate)
             if outcome != "changed":
-                return {"outcome": outcome, "generation": gen, "digest": digest} | counts
+                return {"outcome": outcome, "generation": gen, "digest": digest, "omitted": self.catalog.staged(slot, gen)["omitted"].count()} | counts
         return {"outcome": "changed"}
 
-    def _stage(self, slot: str, gen: str, tree: DataFrame, manifest: DataFrame, digest: str) -> dict:
+    @staticmethod
+    def _digest(manifest: DataFrame, omitted: DataFrame) -> str:
+        """Of what a generation is made from: its files, and those left out."""
+        found, out = frame_digest(manifest).first()["digest"], frame_digest(omitted).first()
+        return found if not out["rows"] else hashlib.sha256((found + out["digest"]).encode()).hexdigest()
+
+    def _stage(self, slot: str, gen: str, tree: DataFrame, manifest: DataFrame, omitted: DataFrame, digest: str) -> dict:
+        self.catalog.stage(slot, gen, {"files": manifest})
+        manifest = self.catalog.staged(slot, gen)["files"]
         known = self.catalog.read(slot, "artifacts")
         plan = manifests.reuse_plan(manifest, known if known is not None else manifest.limit(0).withColumn("lifecycle_state", F.lit("complete")))
         todo = manifest.join(plan.where("action = 'analyze'").select("artifact_digest").distinct(), "artifact_digest", "left_semi")
         first = todo.groupBy("artifact_digest").agg(F.min("path").alias("path"))
         source = tree.select("path", "content", "content_digest", "language", "artifact_digest").join(first, ["artifact_digest", "path"], "left_semi")
         digest_of = source.select("path", "artifact_digest")
-        parsed = extract.facts(source)
-        parsed = extract.name_elided_digests(parsed, source) if self._any(source) else parsed.withColumns({"declaration": F.lit(None).cast("string"), "name_elided": F.lit(None).cast("string")})
-        new_facts = parsed.join(digest_of, "path").drop("path")
-        new_sites = extract.sites(source).join(digest_of, "path").drop("path")
-        new_errors = extract.errors(source).join(digest_of, "path").select("artifact_digest", F.col("errors").alias("syntax_error_nodes"))
-        stage = lambda name, df: self.catalog.stage(slot, gen, {name: df})
+        done = lambda **tables: self.catalog.stage(slot, gen, tables)
+        done(analyses=extract.analyses(source))
+        analysed = self.catalog.staged(slot, gen)["analyses"]
+        parsed = extract.name_elided_digests(extract.facts(analysed), source)
+        new = {
+            "artifact_facts": parsed.join(digest_of, "path").drop("path"),
+            "artifact_sites": extract.sites(analysed).join(digest_of, "path").drop("path"),
+            "artifact_errors": extract.errors(analysed).join(digest_of, "path").select("artifact_digest", F.col("errors").alias("syntax_error_nodes")),
+        }
         live = manifest.select("artifact_digest").distinct()
-        for name, new in (("artifact_facts", new_facts), ("artifact_sites", new_sites), ("artifact_errors", new_errors)):
-            before = self.catalog.read(slot, name)
-            kept = new if before is None else before.join(live, "artifact_digest", "left_semi").unionByName(new)
-            stage(name, kept)
+        before = {name: self.catalog.read(slot, name) for name in new}
+        done(**{name: df if before[name] is None else before[name].join(live, "artifact_digest", "left_semi").unionByName(df) for name, df in new.items()})
         t = self.catalog.staged(slot, gen)
         counts = t["artifact_facts"].groupBy("artifact_digest").agg(F.count("*").alias("fact_count"))
         markers = t["artifact_sites"].where("site_kind = 'test_marker'").groupBy("artifact_digest").agg(F.count("*").alias("test_marker_emitted"))
         supported = F.when(F.col("language") == "rust", "supported").otherwise("unsupported")
         arts = manifest.groupBy("artifact_digest").agg(F.min("content_digest").alias("content_digest"), F.min("language").alias("language")).join(counts, "artifact_digest", "left").join(markers, "artifact_digest", "left").join(t["artifact_errors"], "artifact_digest", "left")
-        stage("artifacts", arts.fillna(0, ["fact_count", "test_marker_emitted", "syntax_error_nodes"]).withColumns({"lifecycle_state": F.lit("complete"), "test_marker_support": supported}))
-        stage("files", manifest)
-        stage("topology", architecture.topology(manifest))
+        arts = arts.fillna(0, ["fact_count", "test_marker_emitted", "syntax_error_nodes"]).withColumns({"lifecycle_state": F.lit("complete"), "test_marker_support": supported})
         m = manifest.select("path", "artifact_digest")
-        stage("facts", t["artifact_facts"].join(m, "artifact_digest"))
-        stage("sites", t["artifact_sites"].join(m, "artifact_digest"))
+        done(artifacts=arts, topology=architecture.topology(manifest), facts=t["artifact_facts"].join(m, "artifact_digest"), sites=t["artifact_sites"].join(m, "artifact_digest"))
         t = self.catalog.staged(slot, gen)
-        stage("postings", search.postings(t["facts"]).orderBy("term"))
-        stage("document_stats", search.document_stats(t["facts"]))
         defs = t["facts"].where("language = 'rust'").select(F.lit(slot).alias("slot"), "path", "ordinal", "kind", "name", "qualified_name")
-        sites = t["sites"].where("language = 'rust'").select(F.lit(slot).alias("slot"), "path", F.col("ordinal").alias("site_ordinal"), F.col("site_kind").alias("kind"), "raw_target", "enclosing", "enclosing_kind")
+        sites = t["sites"].where("language = 'rust'").select(F.lit(slot).alias("slot"), "path", F.col("ordinal").alias("site_ordinal"), F.col("site_kind").alias("kind"), "raw_target", "enclosing", "enclosing_kind", "evidence")
         res, cand = graph.resolve_sites(defs, sites)
-        stage("definitions", defs)
-        stage("resolutions", res)
-        stage("candidates", cand)
+        done(definitions=defs, resolutions=res, candidates=cand, postings=search.postings(t["facts"]).orderBy("term"), document_stats=search.document_stats(t["facts"]))
         t = self.catalog.staged(slot, gen)
         edges, open_ = graph.edges_of(sites, t["resolutions"], t["candidates"], defs)
+        edges = edges.join(sites.select(*graph.SITE, F.col("evidence").alias("extraction")), graph.SITE)
         text = lambda *c: F.concat_ws("#", *c)
-        stage("edges", edges.select(text("path", "source_ordinal").alias("source"), text("target_path", "target_ordinal").alias("target"), text("path", "site_ordinal").alias("site"), "edge_kind", F.col("evidence").alias("resolution_evidence"), F.lit("syntax").alias("extraction_evidence"), (F.col("outcome") == "ambiguous").alias("ambiguous"), (F.col("evidence") == "exact_name_heuristic").alias("heuristic")))
-        stage("uncovered", open_)
-        stage("snapshot", self.spark.createDataFrame([(digest, PRODUCER, CONFIGURATION, SCHEMA)], "digest string, producer string, configuration string, schema string"))
+        edges = edges.select(text("path", "source_ordinal").alias("source"), text("target_path", "target_ordinal").alias("target"), text("path", "site_ordinal").alias("site"), "edge_kind", F.col("evidence").alias("resolution_evidence"), F.col("extraction").alias("extraction_evidence"), (F.col("outcome") == "ambiguous").alias("ambiguous"), (F.col("evidence") == "exact_name_heuristic").alias("heuristic"))
+        snapshot = self.spark.createDataFrame([(digest, PRODUCER, CONFIGURATION, SCHEMA)], "digest string, producer string, configuration string, schema string")
+        done(edges=edges, uncovered=open_, snapshot=snapshot, omitted=omitted)
         by = {r["action"]: r["n"] for r in plan.groupBy("action").agg(F.count("*").alias("n")).collect()}
         return {"reused": by.get("reuse", 0), "analyzed": by.get("analyze", 0)}
 
-    @staticmethod
-    def _any(df: DataFrame) -> bool:
-        return not df.isEmpty()
-
     @staticmethod
     def _validate(t: dict[str, DataFrame]) -> DataFrame:
         return retention.violations(
@@ -171,10 +186,143 @@ class Engine:
         return retention.diagnostics(g, self.table(slot, "files").select("path", "artifact_digest").crossJoin(g), self.table(slot, "artifacts"))
 
     def changes(self, slot: str, root: str) -> DataFrame:
-        """The work tree against the active generation."""
+        """The work tree against the active generation; a new path is added if the repository's index has it, else untracked."""
         now = files.read_tree(self.spark, root).select("path", "content_digest", F.lit("file").alias("file_kind"))
         base = self.table(slot, "files").select("path", "content_digest", F.lit("file").alias("file_kind"))
-        return manifests.change_manifest(base, now, now.select("path").limit(0))
+        tracked = files.git_paths(self.spark, root, cached=True).select("path") if files.is_repository(root) else now.select("path").limit(0)
+        return manifests.change_manifest(base, now, tracked)
+
+    def verify(self, slot: str, root: str) -> tuple[DataFrame, DataFrame]:
+        """(changes, status) of the work tree against the active generation."""
+        of = lambda df: frame_digest(df.select("path", "content_digest")).first()["digest"]
+        index = self.catalog.read(slot, "files")
+        changes = self.changes(slot, root) if index is not None else files.read_tree(self.spark, root).select("path", F.lit("added").alias("change"))
+        return manifests.change_review(changes, index and of(index), of(files.read_tree(self.spark, root)))
+
+    def symbol_get(self, slot: str, root: str, path: str, ordinal: int, **pins) -> DataFrame:
+        """One declaration with its source, re-read from the tree; ``pins`` are further columns that must hold, as its
+        content_digest."""
+        one = self.table(slot, "facts").where(F.col("path") == path).join(self.table(slot, "files").select("path", "content_digest"), "path", "left_semi")
+        held = files.read_tree(self.spark, root, glob=path.rsplit("/", 1)[-1]).where(F.col("path") == path)
+        return search.symbol_get(one, held, {"path": path, "ordinal": ordinal} | pins)
+
+    def cross_repository_search(self, slots: list[str], query: str, limit: int = 20) -> search.CrossSearch:
+        return search.cross_repository_search({s: self.table(s, "facts") for s in slots}, query, limit)
+
+    def code_graph_query(self, slot: str, request: dict):
+        return architecture.code_graph_query(request, files=self._complete(slot), facts=self.table(slot, "facts"), sites=self.table(slot, "sites"))
+
+    def uncovered(self, slot: str) -> DataFrame:
+        """Candidate edges whose site lies in no declaration: what traces can't cover."""
+        return self.table(slot, "uncovered")
+
+    # -- precise indexes
+
+    def scip_import(self, slot: str, index: str, root: str) -> dict:
+        """Takes a precise index in for the active generation: its documents must be files of it with the same content, their
+        ranges must lie in them; otherwise nothing is published. Derives the enclosed references, stages and activates."""
+        p, overlay_slot, gen = self.catalog.pointer(slot), f"{slot}.overlay", uuid.uuid4().hex
+        if p is None:
+            raise LookupError(f"{slot}: no generation to import for")
+        base = self.catalog.pointer(overlay_slot)
+        raw, declared = scip.read_index(self.spark, index)
+        tree = files.read_tree(self.spark, root).select("path", "content", "content_digest")
+        occ = scip.with_spans(raw, tree)
+        self.catalog.stage(overlay_slot, gen, {"all_occurrences": occ})
+        occ = self.catalog.staged(overlay_slot, gen)["all_occurrences"]
+        if bad := occ.where("problem is not null").select("path", "occurrence_ordinal", "problem").limit(5).collect():
+            raise ValueError(f"occurrences without a place: {[tuple(b) for b in bad]}")
+        docs = occ.select("path", "document_ordinal").unionAll(declared.select("path", "document_ordinal")).distinct().join(tree.select("path", "content_digest"), "path", "left")
+        docs = docs.withColumn("overlay_digest", F.lit(gen))
+        if bad := overlay.validate_import(docs, self.table(slot, "files")).select("path").limit(5).collect():
+            raise ValueError(f"documents that the generation doesn't hold: {[b[0] for b in bad]}")
+        key = F.lit(gen).alias("overlay_digest")
+        occ = occ.drop("problem").withColumn("overlay_digest", key)
+        declared = declared.withColumn("overlay_digest", key)
+        derived = overlay.enclosed_reference_edges(occ, overlay.enclosing_functions(occ, self.table(slot, "facts")), declared)
+        self.catalog.stage(overlay_slot, gen, {"documents": docs, "occurrences": occ, "relationships": overlay.all_relationships(declared, derived), "made_for": self.spark.createDataFrame([(p["generation"],)], "generation string")})
+        outcome = self.catalog.publish(overlay_slot, gen, base=base["epoch"] if base else 0, fence=lambda: self.catalog.pointer(slot)["generation"] == p["generation"])
+        t = self.catalog.staged(overlay_slot, gen)
+        return {"outcome": outcome, "documents": t["documents"].count(), "occurrences": t["occurrences"].count(), "relationships": t["relationships"].count()}
+
+    def overlay(self, slot: str, name: str) -> DataFrame:
+        """A table of the active overlay, which must have been made for the active generation."""
+        made_for = self.catalog.read(f"{slot}.overlay", "made_for")
+        if made_for is None or made_for.first()["generation"] != self.catalog.pointer(slot)["generation"]:
+            raise LookupError(f"{slot}: no overlay for the active generation")
+        return self.catalog.read(f"{slot}.overlay", name)
+
+    def scip_evidence(self, slot: str, symbol: str, limit: int = 100) -> tuple[Bounded, Bounded]:
+        return overlay.scip_evidence(self.overlay(slot, "occurrences"), self.overlay(slot, "relationships"), symbol, limit)
+
+    def scip_symbol_resolve(self, slot: str, path: str, start: int, end: int) -> DataFrame:
+        return overlay.scip_symbol_resolve(self.overlay(slot, "occurrences"), path, start, end)
+
+    def scip_relationship_trace(self, slot: str, symbol: str, **options):
+        return overlay.scip_relationship_trace(self.overlay(slot, "relationships"), symbol, **options)
+
+    # -- memory, context, retention, views
+
+    def memory(self, workspace: str = "default") -> MemoryStore:
+        return MemoryStore(self.spark, f"{self.root}/memory/{workspace}")
+
+    def memory_revalidate(self, slot: str, checks: DataFrame, moves: DataFrame | None = None, snapshot: str | None = None, workspace: str = "default") -> str:
+        """The memory's projection against the active generation's declarations."""
+        p = self.catalog.pointer(slot)
+        facts = self.table(slot, "facts").withColumn("container", F.regexp_extract("qualified_name", "^(.*)::[^:]*$", 1))
+        moves = self.spark.createDataFrame([], "old_path string, new_path string") if moves is None else moves
+        return self.memory(workspace).revalidate(facts, moves, checks, p["generation"], snapshot, fence=lambda: self.catalog.pointer(slot)["generation"] == p["generation"])
+
+    def memory_recall(self, slot: str, query: str | None = None, limit: int = 50, workspace: str = "default") -> tuple[Bounded, DataFrame]:
+        return self.memory(workspace).recall(self.catalog.pointer(slot)["generation"], query, limit)
+
+    def context(self, slot: str, query: str, budget: int, *, anchor: dict | None = None, max_paths: int = 48, workspace: str = "default") -> tuple[list[dict], dict[str, int], int]:
+        """A context for a query within a budget of units (256 bytes of a declaration each): search hits, what their declarations
+        are connected with in the graph, and current memory."""
+        hits = self.code_search(slot, query, min(100, max_paths)).rows
+        span = self.table(slot, "facts").select("path", "ordinal", (F.ceil((F.col("decl_end") - F.col("decl_start")) / 256)).cast("long").alias("units"))
+        name = lambda: F.concat_ws("#", "path", "ordinal").alias("identity")
+        from pyspark.sql import Window
+
+        order = Window.orderBy("rank", "path", "ordinal")  # at most 100 hits
+        syntax = hits.withColumn("place", F.row_number().over(order)).join(span, ["path", "ordinal"]).select(name(), F.col("place").alias("rank"), "units")
+        edges = self.table(slot, "edges").join(syntax.select(F.col("identity").alias("source"), "rank"), "source")
+        graph_ = edges.select(F.col("target").alias("identity"), "edge_kind", "rank").join(span.select(name(), "units"), "identity").groupBy("identity", "edge_kind", "units").agg(F.min("rank").alias("rank"))
+        providers = {"syntax": syntax, "graph": graph_}
+        try:
+            rows, _ = self.memory_recall(slot, query, workspace=workspace)
+            memory = rows.rows.select(F.col("record_id").alias("identity"), F.col("effective_state").alias("state"), F.ceil(F.octet_length("body") / 256).cast("long").alias("units"))
+            providers["memory"] = memory.withColumn("rank", F.row_number().over(Window.orderBy("identity")))  # at most 50
+        except LookupError:
+            pass
+        return context.evidence_context(context.fan_in(**providers), budget, anchor)
+
+    def retention_plan(self, slots: list[str], keep: int = 2, pins: list[str] | None = None, budget: int | None = None) -> tuple[DataFrame, str]:
+        """(plan, digest): what may go of the slots' retained generations, and the digest by which the plan is approved."""
+        g = None
+        for s in slots:
+            own = self.catalog.generations(s)
+            g = own if g is None else g.unionAll(own)
+        held = self.spark.createDataFrame([(x,) for x in pins or []], "generation_id string")
+        plan = retention.retention_plan(g, [self.catalog.pinned()], held, keep, budget)
+        return plan, self.catalog.plan_digest(plan)
+
+    def retention_apply(self, plan: DataFrame, digest: str) -> int:
+        return self.catalog.apply_retention(plan, digest)
+
+    def publish_view(self, view: str, slots: list[str], expected: dict[str, int] | None = None) -> str:
+        return self.catalog.publish_view(view, slots, expected)
+
+    def view(self, view: str, name: str) -> DataFrame:
+        df = self.catalog.read_view(view, name)
+        if df is None:
+            raise LookupError(f"{view} was not published")
+        return df
+
+    def doctor(self, slot: str) -> DataFrame:
+        """(check, rows): what is wrong with a slot, its catalog and the tables of its active generation."""
+        found = self.spark.createDataFrame(sorted(self.catalog.doctor(slot).items()), "check string, rows long")
+        return found.unionAll(self._validate({n: self.table(slot, n) for n in ("files", "artifacts", "facts", "candidates", "resolutions")}))
 
     def rebuild_search(self, slot: str) -> str:
         """A new generation with the search projection made again from the same facts, checked against the old, then switched."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Fixed values of the record format.
 KINDS = ("decision", "constraint", "convention", "procedure", "finding")
 LIFECYCLES = ("active", "draft", "archived", "superseded")
 RECORD = T.StructType(
@@ -21,13 +22,18 @@ RECORD = T.StructType(
         T.StructField("invalidated_by", T.ArrayType(T.StringType())),
     ]
 )
+#: Limits in bytes, and of lists.
 MAX_TITLE, MAX_BODY, MAX_PARENTS, MAX_COMMITS = 256, 16_384, 8, 16
 
 
 def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records, rejected): records with canonical_json and its digest as revision; lists are sorted and distinct in it, so
     equal content has one revision however it was written. Rejected lines keep their text and the first reason."""
-    raw = spark.read.text(path).where(F.trim("value") != "")
+    return checked(spark.read.text(path).where(F.trim("value") != ""))
+
+
+def checked(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, rejected) of JSON texts (value)."""
     parsed = raw.withColumn("r", F.from_json("value", RECORD, {"mode": "PERMISSIVE"}))
     r = lambda c: F.col(f"r.{c}")
     n = lambda c: F.coalesce(F.size(r(c)), F.lit(0))
@@ -57,8 +63,8 @@ def validity_commits(records: DataFrame) -> DataFrame:
     return side("introduced_by").unionAll(side("invalidated_by"))
 
 
-def import_history(commits: DataFrame, trees: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Observations of records in reachable history, one per (record, revision), at its first commit; never approvals."""
+def import_history(commits: DataFrame, trees: DataFrame) -> DataFrame:
+    """Observations of records in reachable history, one per (record, revision), at its first commit; all of them, never approvals."""
     seen = trees.join(commits.select("commit", "at_ms").distinct(), "commit")
     first = seen.groupBy("record_id", "revision").agg(F.min(F.struct("at_ms", "commit")).alias("f"))
-    return first.select("record_id", "revision", F.lit("observed").alias("operation"), F.col("f.at_ms").alias("recorded_at"), F.col("f.commit").alias("source_revision")).orderBy("recorded_at", "record_id").limit(limit)
+    return first.select("record_id", "revision", F.lit("observed").alias("operation"), F.col("f.at_ms").alias("recorded_at"), F.col("f.commit").alias("source_revision")).orderBy("recorded_at", "record_id", "revision")

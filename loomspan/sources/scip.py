@@ -90,39 +90,88 @@ def documents(index: bytes) -> Iterator[dict]:
         yield doc
 
 
-def span_of(content: bytes, range_: list[int], encoding: int = 1) -> tuple[int, int]:
-    """Byte span of a range [line, start, (end line,) end]; ``encoding``: 1 UTF-8 bytes, 2 UTF-16 units, 3 code points."""
-    if len(range_) not in (3, 4):
-        raise ValueError("a range has 3 or 4 numbers")
-    a, b, c, d = range_ if len(range_) == 4 else (range_[0], range_[1], range_[0], range_[2])
-    lines = content.split(b"\n")
-
-    def place(line: int, column: int) -> int:
-        before = sum(len(x) + 1 for x in lines[:line])
-        if encoding == 1:
+class Lines:
+    """A document's lines, for ranges [line, start, (end line,) end] as byte spans. ``encoding`` says in what columns count: 1 UTF-8
+    bytes, 2 UTF-16 units, 3 code points (0, unspecified, is an error). Each line is decoded once."""
+
+    def __init__(self, content: bytes, encoding: int):
+        if encoding not in (1, 2, 3):
+            raise ValueError("unknown position encoding")
+        self.lines, self.encoding, self.columns = content.split(b"\n"), encoding, {}
+        self.starts = [0]
+        for x in self.lines:
+            self.starts.append(self.starts[-1] + len(x) + 1)
+
+    def place(self, line: int, column: int) -> int:
+        if not 0 <= line < len(self.lines) or column < 0:
+            raise ValueError("a line or column outside of the document")
+        if self.encoding == 1:
             used = column
-        else:
-            text, used, units = lines[line].decode(), 0, 0
-            for ch in text:
-                if units >= column:
-                    break
-                units += 2 if encoding == 2 and ord(ch) > 0xFFFF else 1
+            if used > len(self.lines[line]):
+                raise ValueError("a column outside its line")
+            if self.lines[line][used : used + 1] and self.lines[line][used] & 0xC0 == 0x80:
+                raise ValueError("a column inside a character")
+            return self.starts[line] + used
+        if line not in self.columns:
+            at, used, units = {0: 0}, 0, 0
+            for ch in self.lines[line].decode():
+                units += 2 if self.encoding == 2 and ord(ch) > 0xFFFF else 1
                 used += len(ch.encode())
-            if units != column:
-                raise ValueError("a column outside its line or inside a character")
-        if used > len(lines[line]):
-            raise ValueError("a column outside its line")
-        return before + used
+                at[units] = used
+            self.columns[line] = at
+        if column not in self.columns[line]:
+            raise ValueError("a column outside its line or inside a character")
+        return self.starts[line] + self.columns[line][column]
+
+    def span(self, range_: list[int]) -> tuple[int, int]:
+        if len(range_) not in (3, 4):
+            raise ValueError("a range has 3 or 4 numbers")
+        a, b, c, d = range_ if len(range_) == 4 else (range_[0], range_[1], range_[0], range_[2])
+        s, e = self.place(a, b), self.place(c, d)
+        if e < s:
+            raise ValueError("a range ends before it starts")
+        return s, e
+
+
+def span_of(content: bytes, range_: list[int], encoding: int = 1) -> tuple[int, int]:
+    """The byte span of one range."""
+    return Lines(content, encoding).span(range_)
+
 
-    s, e = place(a, b), place(c, d)
-    if e < s:
-        raise ValueError("a range ends before it starts")
-    return s, e
+SPANS = "path string, document_ordinal int, occurrence_ordinal int, symbol string, roles int, start long, end long, problem string"
+
+
+def with_spans(occurrences: DataFrame, contents: DataFrame) -> DataFrame:
+    """Occurrences with byte spans in place of ranges, by the documents' contents (path, content); ``problem`` says why one has none.
+    A document is decoded once, in the task that gets all its occurrences."""
+    both = occurrences.groupBy("path").cogroup(contents.select("path", "content").groupBy("path"))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows, by = [], {}
+        for r in left.itertuples(index=False):
+            start = end = problem = None
+            try:
+                if len(right) != 1:
+                    raise ValueError("no content of the document")
+                if r.position_encoding not in by:
+                    by[r.position_encoding] = Lines(bytes(right["content"].iloc[0]), r.position_encoding)
+                start, end = by[r.position_encoding].span(list(r.range))
+            except ValueError as e:
+                problem = str(e)[:200]
+            rows.append((r.path, r.document_ordinal, r.occurrence_ordinal, r.symbol, r.roles, start, end, problem))
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in SPANS.split(", ")])
+        return out.astype({"start": "Int64", "end": "Int64"})
+
+    return both.applyInPandas(run, SPANS)
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(occurrences, relationships) of index files; decoded where they are read, a file a row."""
-    raw = spark.read.format("binaryFile").load(path).select("content")
+    return decode(spark.read.format("binaryFile").load(path).select("content"))
+
+
+def decode(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(occurrences, relationships) of the bytes of index files (content)."""
 
     def occurrences(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

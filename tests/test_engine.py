@@ -42,6 +42,15 @@ def test_index_and_queries(spark, tree, tmp_path):
     assert e.graph_status("s").receipt.first()["availability"] == "available" and e.graph_architecture("s").count() == 3
     assert e.diagnostics("s").first()["incomplete"] == 0
 
+    one = e.symbol_get("s", str(tree), main["path"], main["ordinal"]).first()
+    assert bytes(one["source"]).decode() == "fn main() { net::parse_url(); }"
+    assert e.symbol_get("s", str(tree), main["path"], main["ordinal"], content_digest="0").count() == 0
+    assert e.code_graph_query("s", {"kind": "symbol_search", "name": "helper"}).rows.count() == 1
+    assert e.verify("s", str(tree))[1].first()["index_state"] == "aligned" and e.uncovered("s").count() == 0
+    assert {r["rows"] for r in e.doctor("s").collect()} == {0}
+    items, _, used = e.context("s", "parse_url", 10)
+    assert [(i["identity"], i["tier"]) for i in items] == [(f"{main['path']}#1", "syntax"), (f"{main['path']}#2", "references")] and used == 2
+
     (tree / "src" / "copy.py").write_text("def other():\n    pass\n")
     (tree / "new.go").write_text("package n\nfunc main() {}\n")
     assert [tuple(r) for r in e.changes("s", str(tree)).collect()] == [("new.go", "untracked"), ("src/copy.py", "modified")]
@@ -54,7 +63,104 @@ def test_index_and_queries(spark, tree, tmp_path):
         rows = lambda x, n=name, c=cols: sorted(map(str, x.table("s", n).select(*c).collect()))
         assert rows(e) == rows(clean), name
     assert e.rebuild_search("s") == "published" and e.code_search("s", "other").rows.count() == 1
-    assert len(e.catalog.history("s")) == 3
+    assert len(e.catalog.history("s")) == 3 and e.verify("s", str(tree))[1].first()["index_state"] == "aligned"
+    (tree / "big.py").write_text("x = 1\n" * 50)
+    third = e.index("s", str(tree), max_bytes=200)
+    assert third["omitted"] == 1 and e.table("s", "omitted").first()["path"] == "big.py" and e.symbol_search("s", "main").receipt.first()["total"] == 3
+    assert e.publish_view("v", ["s"]) == "published" and e.view("v", "files").count() == 5
+    plan, digest = e.retention_plan(["s"], keep=1)
+    assert e.retention_apply(plan, digest) == 2 and e.catalog.generations("s").count() == 2
+    with pytest.raises(ValueError):
+        e.retention_apply(plan.limit(1), digest)
+    found = e.cross_repository_search(["s", "s"], "main", 2)
+    assert found.rows.count() == 2 and [tuple(r)[1:] for r in found.receipts.collect()] == [("partial", 3, 2, None)]
+
+
+def test_precise_index(spark, tmp_path):
+    """An index file for a generation: spans, derived edges, reads, and what is refused."""
+    from .test_sources_and_catalog import _field, _varint
+
+    root = tmp_path / "tree"
+    root.mkdir()
+    text = "fn outer() {\n    inner();\n}\nfn inner() {}\n"
+    (root / "a.rs").write_text(text)
+    occ = lambda r, symbol, roles: _field(2, _field(1, b"".join(map(_varint, r))) + _field(2, symbol) + _field(3, roles))
+    rel = _field(3, _field(1, b"outer()") + _field(4, _field(1, b"Trait") + _field(3, 1)))
+    doc = lambda path, *more: _field(2, _field(1, path) + occ((0, 3, 8), b"outer()", 1) + occ((1, 4, 9), b"inner()", 0) + occ((3, 3, 8), b"inner()", 1) + rel + b"".join(more) + _field(6, 1))
+    (tmp_path / "good.scip").write_bytes(doc(b"a.rs"))
+    (tmp_path / "other.scip").write_bytes(doc(b"b.rs"))
+    (tmp_path / "outside.scip").write_bytes(doc(b"a.rs", occ((9, 0, 1), b"x", 0)))
+    e = Engine(spark, f"file://{tmp_path}/catalog")
+    with pytest.raises(LookupError):
+        e.scip_import("s", str(tmp_path / "good.scip"), str(root))
+    e.index("s", str(root))
+    for bad in ("other", "outside"):
+        with pytest.raises(ValueError):
+            e.scip_import("s", str(tmp_path / f"{bad}.scip"), str(root))
+    with pytest.raises(LookupError):
+        e.scip_evidence("s", "inner()")
+    assert e.scip_import("s", str(tmp_path / "good.scip"), str(root)) == {"outcome": "published", "documents": 1, "occurrences": 3, "relationships": 2}
+    o, r = e.scip_evidence("s", "inner()")
+    assert [(x["start"], x["end"]) for x in o.rows.collect()] == [(17, 22), (31, 36)] and text[17:22] == text[31:36] == "inner"
+    assert [(x["source_symbol"], x["evidence"], x["direction"]) for x in r.rows.collect()] == [("outer()", "enclosed_reference", "incoming")]
+    assert e.scip_symbol_resolve("s", "a.rs", 17, 22).first()["symbol"] == "inner()"
+    t, state, open_ = e.scip_relationship_trace("s", "outer()")
+    assert sorted(x["target"] for x in t.edges.collect()) == ["Trait", "inner()"] and state == "available" and not open_
+    (root / "a.rs").write_text(text + "fn more() {}\n")
+    e.index("s", str(root))
+    with pytest.raises(LookupError):  # made for the generation before
+        e.scip_evidence("s", "inner()")
+
+
+def test_memory_store(spark, tmp_path):
+    from loomspan.plans.memory_store import MemoryStore
+
+    store = MemoryStore(spark, f"file://{tmp_path}/memory")
+    line = lambda title, parents=(), kind="decision": json.dumps({"record_id": "a" * 32, "schema_version": 1, "kind": kind, "title": title, "body": "why", "lifecycle": "active", "parents": list(parents), "introduced_by": ["c1"], "invalidated_by": []})
+
+    def read(*lines):
+        (tmp_path / "m.jsonl").write_text("\n".join(lines))
+        got = read_records(spark, str(tmp_path / "m.jsonl"))[0]
+        return spark.createDataFrame(got.collect(), got.schema)
+
+    first = read(line("one"))
+    a = first.first()["revision"]
+    ev = spark.createDataFrame([("a" * 32, a, 0, "f", "function", "go", "m::go", "m", "d1", "e1")], "record_id string, revision string, evidence_ordinal int, path string, kind string, name string, qualified_name string, container string, declaration string, name_elided string")
+    assert store.write(first, ev, at=1) == {"written": 1, "known": 0} and store.write(first, at=2) == {"written": 0, "known": 1}
+    assert store.heads().count() == 0  # not approved yet
+    assert store.approve(first, at=3) == {"approved": 1, "known": 0} and store.approve(first, at=4) == {"approved": 0, "known": 1}
+    with pytest.raises(ValueError, match="unknown"):
+        store.approve(spark.createDataFrame([("a" * 32, "zz")], "record_id string, revision string"))
+    with pytest.raises(ValueError, match="head"):
+        store.sync(read(line("fork")))
+    second = read(line("two", [a]))
+    assert store.sync(second, at=5)["written"] == 1
+    store.approve(second, at=6)
+    assert store.heads().first()["revision"] == second.first()["revision"] and [r["display_revision"] for r in store.read("audit").where("operation = 'locally_approved'").orderBy("event_id").collect()] == [1, 2]
+    facts = spark.createDataFrame([("f", 0, "function", "go", "m::go", "m", "d1", "e1")], "path string, ordinal int, kind string, name string, qualified_name string, container string, declaration string, name_elided string")
+    checks = spark.createDataFrame([("a" * 32, "introduced_by", "ancestor")], "record_id string, side string, ancestry string")
+    moves = spark.createDataFrame([], "old_path string, new_path string")
+    with pytest.raises(LookupError):
+        store.recall("g1")
+    late = lambda: store.approve(read(line("three")), at=9) and True
+    store.write(read(line("three")), at=8)
+    assert store.revalidate(facts, moves, checks, "g1", fence=lambda: False) == "changed"
+    assert store.revalidate(facts, moves, checks, "g1") == "published"
+    rows, states = store.recall("g1", "TWO")
+    assert [r["effective_state"] for r in rows.rows.collect()] == ["current"] == [r["effective_state"] for r in states.collect()]
+    with pytest.raises(LookupError):
+        store.recall("g2")
+    inner = []
+    assert store.revalidate(facts, moves, checks, "g1", fence=lambda: bool(inner.append(store.revalidate(facts, moves, checks, "g1"))) or True) == "lost" and inner == ["published"]
+    assert late() and store.heads().first()["outcome"] == "conflicted"
+    store.review("a" * 32, a, 0, "confirmed", ("f", 0), at=10)
+    with pytest.raises(ValueError):
+        store.review("a" * 32, a, 7, "confirmed")
+    assert {r["entry"] for r in store.history().collect()} == {"observation", "correspondence"}
+    assert [store.checkpoint("t", s, at=1) for s in ("open", "done")] == [1, 2] and store.verify("t", "x", "passed", at=2) == 2
+    assert store.task("t") == {"task_id": "t", "sequence": 2, "status": "done", "verifications": 1} and store.task("u") is None
+    assert [store.note("me", "r", "n", x, "", at=i) for i, x in enumerate("ab")] == [1, 2] and [r["title"] for r in store.notes("me", "r").collect()] == ["b"] and store.notes("you", "r").count() == 0
+    assert {r["rows"] for r in store.problems().collect()} == {0}
 
 
 def test_diagnostics_count_parse_errors(spark, tree, tmp_path):

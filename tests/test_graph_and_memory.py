@@ -46,6 +46,58 @@ def test_resolution_tiers(spark):
     assert cand[17] == [("f", 2, "lexical_syntax")]
 
 
+def test_path_grammar(spark):
+    from loomspan.functions.text import import_parts, path_parts, strip_turbofish
+
+    paths = {
+        "a::b": ("a::b", False, False), "::a::b": ("a::b", False, False), "crate::f": ("f", True, True), "f": ("f", False, True), "r#type": ("r#type", False, True), "self": ("self", False, True),
+        "self::a": None, "super::a": None, "crate::": None, "é": None, "a::é": None, "a:b": None, "a::": None, "": None, "a b": None, "a.b": None, "a\n": None, "1a": None, "::crate::a": ("crate::a", False, False),
+    }
+    imports = {
+        "a::b": ("a::b", "b", False), "crate::a as c": ("a", "c", True), "a as _": ("a", None, False), "a::self": ("a::self", None, False), "  a::b   as\tc ": ("a::b", "c", False),
+        "a as 1": None, "a as b c": None, "a::{b}": None, "a in b": None, "a::*": None,
+    }
+    generic = {"f::<T>": "f", "a::<T>::b::<U>": "a::<T>::b", "f::<Vec<u8>>": "f", "f::<T>x": "f::<T>x", "::<T>": "::<T>", "f": "f", "f::<a>>b<c>": "f::<a>>b<c>"}
+    at = lambda x, f: {r[0]: r[1] and tuple(r[1]) if not isinstance(r[1], str) else r[1] for r in spark.createDataFrame([(k,) for k in x], "p string").select("p", f(F.col("p"))).collect()}
+    assert at(paths, path_parts) == paths and at(imports, import_parts) == imports and at(generic, strip_turbofish) == generic
+
+
+def test_methods_by_exact_name(spark):
+    defs = [("s", "f", 0, "method", "run", "m::W::run"), ("t", "g", 0, "method", "stop", "q::stop")]
+    out, _ = resolve(spark, defs, [("call", "m::W::run", None, None), ("call", "other::run", None, None), ("call", "crate::stop", None, None), ("call", "stop", None, None), ("call", "crate::run::<u8>", None, None)])
+    assert [out[k][1] for k in range(5)] == ["dynamic_or_method_call", "no_candidate", "no_candidate", "dynamic_or_method_call", "dynamic_or_method_call"]
+
+
+def test_hot_names(spark):
+    """A name that everything defines and everything calls costs a row a site and a bounded list."""
+    d = spark.range(3000).selectExpr("'t' AS slot", "CAST(id AS STRING) AS path", "0 AS ordinal", "'function' AS kind", "'new' AS name", "concat('m', id, '::new') AS qualified_name")
+    s = spark.range(3000).selectExpr("'s' AS slot", "'f' AS path", "CAST(id AS INT) AS site_ordinal", "'call' AS kind", "'new' AS raw_target", "CAST(NULL AS STRING) AS enclosing", "CAST(NULL AS STRING) AS enclosing_kind")
+    res, cand = graph.resolve_sites(d, s)
+    assert {tuple(r) for r in res.select("outcome", "candidate_count", "candidates_truncated").distinct().collect()} == {("ambiguous", 64, True)}
+    assert cand.count() == 64 * 3000
+
+
+def test_contained_spans(spark):
+    import random
+
+    from loomspan.operators.spans import contained, innermost
+
+    rng = random.Random(1)
+    spans = [(rng.randrange(3), a := rng.randrange(1000), a + rng.choice([0, 1, 5, 40, 500]), f"f{i}") for i in range(120)]
+    points = [(rng.randrange(3), i, s := rng.randrange(1100), s + rng.randrange(4)) for i in range(150)]
+    p = spark.createDataFrame(points, "doc int, n int, start int, end int")
+    s = spark.createDataFrame(spans, "doc int, o_start int, o_end int, name string")
+    want = {(d, n, name) for d, n, a, b in points for e, x, y, name in spans if d == e and x <= a and b <= y}
+    assert {(r["doc"], r["n"], r["name"]) for r in contained(p, s, ["doc"]).collect()} == want and len(want) > 100
+    best = {}
+    for d, n, a, b in points:
+        hit = [(x, -y, name) for e, x, y, name in spans if d == e and x <= a and b <= y]
+        if hit:
+            best[n] = max(hit)[2]
+    assert {r["n"]: r["name"] for r in innermost(p, s, ["doc"], ["n"], "name").collect()} == best
+    assert contained(p, s.limit(0), ["doc"]).count() == 0
+
+
 def test_candidate_limit(spark):
     defs = [("t", f"p{i:03d}", 0, "function", "f", f"m{i}::f") for i in range(70)]
     out, cand = resolve(spark, defs, [("call", "f", None, None)])
@@ -103,8 +155,12 @@ def test_overlay(spark):
     rel = overlay.all_relationships(declared, derived)
     o, r = overlay.scip_evidence(occ, rel, "U")
     assert o.rows.count() == 1 and {(x["direction"], tuple(x["kind_names"])) for x in r.rows.collect()} == {("incoming", ("reference", "implementation")), ("outgoing", ("reference",))}
-    t, state = overlay.scip_relationship_trace(rel, "F")
-    assert [(x["source"], x["target"]) for x in t.edges.collect()] == [("F", "U"), ("U", "W")] and state == "available"
+    t, state, open_ = overlay.scip_relationship_trace(rel, "F")
+    assert [(x["source"], x["target"]) for x in t.edges.collect()] == [("F", "U"), ("U", "W")] and state == "available" and not open_ and not t.flags
+    t, _, open_ = overlay.scip_relationship_trace(rel, "F", depth=1)
+    assert t.edges.count() == 1 and open_ == 1 and t.flags == {"depth"}
+    t, _, open_ = overlay.scip_relationship_trace(rel, "F", max_bytes=70)
+    assert t.edges.count() == 1 and open_ == 1 and "bytes" in t.flags
     assert overlay.scip_relationship_trace(rel, "none")[1] == "no_relationships"
     at = occ.withColumn("path", F.lit("p"))
     assert [overlay.scip_symbol_resolve(at.unionAll(at.where("symbol = 'U'").withColumn("symbol", F.lit("U2"))), "p", *s).first()[0] for s in ((5, 6), (30, 31), (1, 2))] == ["exact", "ambiguous", "none"]
@@ -170,7 +226,10 @@ def test_manifests(spark):
     k = lambda df, kind="file": df.withColumn("file_kind", F.lit(kind))
     out = manifests.change_manifest(k(m(a="1", b="2", c="3", l="5")), k(m(a="1", b="9", d="4", e="5")).unionAll(k(m(l="5"), "link")), m(d="").select("path"))
     assert [tuple(r) for r in out.collect()] == [("b", "modified"), ("c", "deleted"), ("d", "added"), ("e", "untracked"), ("l", "type_changed")]
-    assert manifests.change_review(out, "x", "x").where("aligned").count() == 5
+    for index, state in (("x", "aligned"), ("y", "stale"), (None, "absent")):
+        assert tuple(manifests.change_review(out, index, "x")[1].first()) == (5, 1, 1, 1, 1, 1, state)
+    hints = spark.createDataFrame([("a",), ("a",), ("bcd",)], "path string")
+    assert [tuple(manifests.hint_batch(hints, *x).first()) for x in ((2, 4), (1, 9), (9, 3))] == [(2, 3, 4, False), (2, 3, 4, True), (2, 3, 4, True)]
 
 
 def test_retention(spark):

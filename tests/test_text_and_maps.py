@@ -24,7 +24,7 @@ def test_topology_precedence(spark):
 def test_identifiers(spark):
     assert one(spark, tx.container_of, "a::b::c", "c") == ["a::b", ""]
     assert one(spark, tx.strip_turbofish, "f::<T>", "f", "a::f::<A, B<C>>") == ["f", "f", "a::f"]
-    assert one(spark, lambda c: tx.path_parts(c)["bare"], "x", "a::b", "crate::x", "a.b", "<T as U>::f", "self::x") == [True, False, False, None, None, None]
+    assert one(spark, lambda c: tx.path_parts(c)["bare"], "x", "a::b", "crate::x", "a.b", "<T as U>::f", "self::x") == [True, False, True, None, None, None]
     assert one(spark, lambda c: tx.import_parts(c)["alias"], "a::b as c", "a::b", "a::{b, c}") == ["c", "b", None]
     assert one(spark, tx.ascii_lower, "ÀB") == ["Àb"]
     assert one(spark, lambda c: tx.decode_path(tx.encode_path(c)).cast("string"), "a/ü") == ["a/ü"]
@@ -58,6 +58,9 @@ def test_overview(spark):
     o = arch.architecture_overview(files(spark), facts)
     assert o["entry_points"].rows.count() == 5 and o["roots"].receipt.first()["omitted"] == 0
     assert [tuple(r) for r in o["roots"].rows.collect()] == [(None, 1, 0), ("a", 2, 3), ("b", 1, 2), ("c", 1, 1), ("d", 1, 1)]
+    for most, roots, entries in ((400, 5, 1), (323, 4, 0), (10, 0, 0), (10_000, 5, 5)):
+        o2 = arch.architecture_overview(files(spark), facts, max_bytes=most)
+        assert [(o2[k].rows.count(), *o2[k].receipt.first()[:3]) for k in ("roots", "entry_points")] == [(roots, 5, roots, 5 - roots), (entries, 5, entries, 5 - entries)]
     assert {r["language"]: r["files"] for r in o["languages"].collect()} == {"go": 1, "python": 2, "rust": 1, "tsx": 1, "typescript": 1}
     assert [r["path"] for r in arch.architecture_map(files(spark), 2)[2].rows.collect()] == ["a/x.rs", "a/y.go"]
     arts = files(spark).selectExpr("artifact_digest", "content_digest", "IF(language = 'go', 'staging', 'complete') AS lifecycle_state", "fact_count", "language")
@@ -122,3 +125,17 @@ def test_sites(spark):
     assert arch.code_graph_query({"kind": "test_markers", "language": "rust"}, sites=sites).rows.count() == 1
     with pytest.raises(ValueError):
         arch.code_graph_query({"kind": "other"})
+
+
+def test_search_over_repositories(spark):
+    facts = lambda *names: spark.createDataFrame([(f"{n}.rs", i, "function", n, n) for i, n in enumerate(names)], "path string, ordinal long, kind string, name string, qualified_name string")
+    broken = facts("go").withColumn("name", F.raise_error(F.lit("unreadable")).cast("string"))
+    got = search.cross_repository_search({"d": facts("go"), "a": facts("go", "stop"), "b": broken, "c": facts("halt"), "e": facts("go")}, "go", 2)
+    assert [(r["repository_id"], r["path"]) for r in got.rows.collect()] == [("a", "go.rs"), ("d", "go.rs")]
+    assert [(r["repository_id"], r["outcome"], r["total"], r["returned"]) for r in got.receipts.collect()] == [("a", "complete", 1, 1), ("b", "failed", None, 0), ("c", "empty", 0, 0), ("d", "complete", 1, 1), ("e", "skipped", None, 0)]
+    many = spark.range(search.MAX_REPOSITORIES + 1).selectExpr("concat('r', id) AS repository_id", "'f' AS path", "id AS ordinal", "'function' AS kind", "'go' AS name", "'go' AS qualified_name")
+    with pytest.raises(ValueError, match="repositories"):
+        search.cross_repository_search(many, "go")
+    with pytest.raises(Exception, match="byte budget"):
+        search.code_search(facts("go", "stop"), "go", max_bytes=10).rows.collect()
+    assert search.code_search(facts("go", "stop"), "go", max_bytes=1000).rows.count() == 1
