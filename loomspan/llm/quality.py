@@ -29,6 +29,8 @@ _IN = {
 }
 PATTERNS = {name: f"[{chars}]" for name, chars in _IN.items()} | {"other": r"[^a-z\x20\x09-\x0D" + "".join(_IN.values()) + "]"}
 CLASSES = ("lower", "space", *PATTERNS)
+#: What of ``other`` is ASCII.
+CONTROL = r"[\x00-\x08\x0E-\x1F\x7F]"
 #: Shares of a language's characters in the order of CLASSES, as plain prose has them.
 CHARS = {
     "en": (0.785, 0.166, 0.020, 0.004, 0.024, 0.001, 0.0, 0.0, 0.0),
@@ -59,9 +61,10 @@ def _forms(word: str) -> list[str]:
 
 
 def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the base counts of the contract, ``base_failed`` and what later steps count from (``_t``, ``_words``)."""
+    """Adds the base counts of the contract, ``base_failed`` and what later steps count from (``_t``, ``_rest``, ``_words``)."""
     t = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn("_t", F.btrim(t, F.lit(ASCII_SPACE)))
+    df = df.withColumn("_rest", F.regexp_replace("_t", "[a-z ]+", ""))  # all other characters, which are counted in it
     df = df.withColumn("_lines", F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.withColumn("_words", F.when(F.col("_t") == "", F.array().cast("array<string>")).otherwise(F.split("_t", SPACES, -1)))
     n = F.size("_words")
@@ -85,7 +88,7 @@ def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
         {
             "n_words": n.cast("long"),
             "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-            "n_symbols": F.regexp_count("_t", F.lit("[#*$%&|<>]")).cast("long"),
+            "n_symbols": F.regexp_count("_rest", F.lit("[#*$%&|<>]")).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": F.coalesce(covered, F.lit(0).cast("long")),
         }
@@ -109,14 +112,17 @@ def histograms(df: DataFrame) -> DataFrame:
     for lang, words in COMMON.items():
         bins = bins.when(F.col("_lang") == lang, F.array(*[count(w) for w in words]))
     size = F.length("_t")
-    found = {name: F.regexp_count("_t", F.lit(p)) for name, p in PATTERNS.items()}
+    df = df.withColumn("_wide", F.regexp_replace("_rest", r"[\x00-\x7F]+", ""))
+    wide = ("accent", "script")
+    found = {name: F.regexp_count("_wide" if name in wide else "_rest", F.lit(PATTERNS[name])) for name in _IN}
+    found["other"] = F.length("_wide") - found["accent"] - found["script"] + F.regexp_count("_rest", F.lit(CONTROL))
     df = df.withColumns({"_bins": bins, "_found": F.array(*[(size - F.col("word_chars")).cast("long"), *[c.cast("long") for c in found.values()]])})
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
     df = df.withColumn("_counts", F.concat(F.array(size - total(F.col("_found"))), F.col("_found")))
     n, size = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.length("_t"), F.lit(1))
     shares = F.transform("_counts", lambda x: x / size)
     common = F.concat(F.transform("_bins", lambda x: x / n), F.array((F.col("n_words") - total(F.col("_bins"))) / n))
-    return df.withColumns({"_chars": shares, "_common": common}).drop("_some", "_bins", "_found", *[f"_n_{lang}" for lang in COMMON])
+    return df.withColumns({"_chars": shares, "_common": common}).drop("_some", "_bins", "_found", "_wide", *[f"_n_{lang}" for lang in COMMON])
 
 
 def jensen_shannon(p: Column, q: Column) -> Column:
