@@ -150,7 +150,7 @@ def restored(names: list[str]) -> list:
 # --- sizes ---------------------------------------------------------------------------------------
 
 
-def sized(df: DataFrame, source: DataFrame, part_bytes: int = 16 << 20) -> DataFrame:
+def sized(df: DataFrame, source: DataFrame, part_bytes: int = 4 << 20) -> DataFrame:
     """``df`` in no more partitions than leave ``part_bytes`` of ``source`` for each on average, and two a core at least: a small
     table becomes a few files and not one a shuffle partition. Where partitions are larger nothing changes."""
     size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
