@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE_BASE, _WORD_BASE, CHECK_BASES, Table, buffers, carried, give_back, hashable, output, quoted, restored, window_hashes, words_of
+from .common import _BYTE_BASE, _WORD_BASE, CHECK_BASES, Table, buffers, carried, give_back, hashable, output, quoted, restored, sized, window_hashes, words_of
 
 
 #: The bases of a window's hash (words' bytes, then words) and of its check.
@@ -79,7 +79,7 @@ def bounds(bits: int) -> np.ndarray:
     return np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
 
 
-MESSAGE = "bucket long, range int, once_size int, once binary, once_check binary, many_size int, many binary, many_check binary"
+MESSAGE = "bucket int, range int, once_size int, once binary, once_check binary, many_size int, many binary, many_check binary"
 
 
 def _send(width: int, bits: int) -> Callable:
@@ -97,7 +97,7 @@ def _send(width: int, bits: int) -> Callable:
         types = {"range": pa.int32(), "once_size": pa.int32(), "many_size": pa.int32()}
         cols = {k: pa.array(v, types.get(k, pa.binary())) for k, v in out.items()}
         give_back()
-        return pa.table({"bucket": pa.array([key[0].as_py()] * len(out["range"]), pa.int64())} | cols)
+        return pa.table({"bucket": pa.array([key[0].as_py()] * len(out["range"]), pa.int32())} | cols)
 
     return run
 
@@ -140,7 +140,7 @@ def _count(bits: int) -> Callable:
                     out_flags.append(np.packbits(hit).tobytes())
         n = len(out_bucket)
         give_back()
-        return pa.table({"bucket": pa.array(out_bucket, pa.int64()), "range": pa.array([key[0].as_py()] * n, pa.int32()), "flags": pa.array(out_flags, pa.binary())})
+        return pa.table({"bucket": pa.array(out_bucket, pa.int32()), "range": pa.array([key[0].as_py()] * n, pa.int32()), "flags": pa.array(out_flags, pa.binary())})
 
     return run
 
@@ -194,7 +194,7 @@ def substring_dedup(docs: DataFrame, *, width: int = 35, bucket_bytes: int = 12
     ``range_bytes`` of text; that one counts and answers with one bit a hash. A window in any number of texts is one
     entry a bucket, so no window is a hot key. Then each bucket merges its repeated windows into maximal intervals. Two
     passes move the text; between them about ten bytes a word move, in size^2 / (bucket_bytes * range_bytes) messages. Both
-    sizes set how many tasks there are, whatever the session's number of shuffle partitions.
+    sizes set how many tasks there are, a bucket or range each, whatever the session's number of shuffle partitions.
 
     All copies of a repeated passage go, the first too, and windows are judged on the input. Hashes stand for word
     sequences: with n windows about n^2 / 2^97 pairs collide by chance, 0.002 in 10^13. Null or blank text: no words, an empty text. Rows
@@ -210,11 +210,12 @@ def substring_dedup(docs: DataFrame, *, width: int = 35, bucket_bytes: int = 12
     buckets = max(cores, ceil(size / bucket_bytes))
     bits = max(0, ceil(np.log2(max(cores, size / range_bytes))))
     dealt = [F.col(quoted(c)) for c in dict.fromkeys((doc_id, *carry)) if hashable(docs.schema[c].dataType)]
-    key = F.pmod(F.xxhash64(*dealt, F.xxhash64(F.col(quoted(text)))), F.lit(buckets)).alias("bucket")
+    key = F.pmod(F.xxhash64(*dealt, F.xxhash64(F.col(quoted(text)))), F.lit(buckets)).cast("int").alias("bucket")
     rows = docs.select(*carried(carry), F.col(quoted(text)).alias("t"), key)
-    sent = rows.select("bucket", "t").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_send(width, bits), MESSAGE)
-    marks = Table(sent.repartition(1 << bits, "range").groupBy("range").applyInArrow(_count(bits), "bucket long, range int, flags binary"), "repeated").read()
-    done = rows.repartition(buckets, "bucket").groupBy("bucket").cogroup(marks.repartition(buckets, "bucket").groupBy("bucket"))
+    sent = rows.select("bucket", "t").repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(_send(width, bits), MESSAGE)
+    marks = sent.repartitionById(1 << bits, F.col("range")).groupBy("range").applyInArrow(_count(bits), "bucket int, range int, flags binary")
+    marks = Table(sized(marks, docs), "repeated").read()
+    done = rows.repartitionById(buckets, F.col("bucket")).groupBy("bucket").cogroup(marks.repartitionById(buckets, F.col("bucket")).groupBy("bucket"))
     done = done.applyInArrow(_cut(width, bits, names), output(rows, names, "t string, n_words long, n_removed long"))
     return done.select(*restored(carry), F.col("t").alias(text), "n_words", "n_removed")
 
