@@ -465,22 +465,22 @@ def memory_revalidate(spark, d):
     return projection.where("title = 'even'").select("record_id", "effective_state")
 
 
-@query("SELECT 'g' || CAST(n_regionkey AS VARCHAR) AS task_id, count(*) AS sequence, count(*) AS verifications FROM nation GROUP BY n_regionkey")
+@query("SELECT 'g' || CAST(r_regionkey % 2 AS VARCHAR) AS task_id, count(*) AS sequence, count(*) AS verifications FROM region GROUP BY r_regionkey % 2")
 def task_journal(spark, d):
-    """A checkpoint and a verification a nation, of its region's task."""
+    """A checkpoint and a verification a region, of two tasks."""
     store = MemoryStore(spark, scratch(spark, "tasks"))
-    for (r,) in table(spark, d, "nation").select("n_regionkey").orderBy("n_nationkey").collect():
-        store.checkpoint(f"g{r}", "open", at=1)
-        store.verify(f"g{r}", "test", "passed", at=1)
+    for (r,) in table(spark, d, "region").select("r_regionkey").orderBy("r_regionkey").collect():
+        store.checkpoint(f"g{r % 2}", "open", at=1)
+        store.verify(f"g{r % 2}", "test", "passed", at=1)
     return store.tasks().rows.select("task_id", "sequence", "verifications")
 
 
-@query("SELECT 'r' || CAST(n_regionkey AS VARCHAR) AS record_id, count(*) AS revision, arg_max(n_name, n_nationkey) AS title FROM nation GROUP BY n_regionkey")
+@query("SELECT 'r' || CAST(r_regionkey % 2 AS VARCHAR) AS record_id, count(*) AS revision, arg_max(r_name, r_regionkey) AS title FROM region GROUP BY r_regionkey % 2")
 def personal_notes(spark, d):
     store = MemoryStore(spark, scratch(spark, "notes"))
-    for r, n in table(spark, d, "nation").select("n_regionkey", "n_name").orderBy("n_nationkey").collect():
-        store.note("me", "repo", f"r{r}", n, "", at=1)
-        store.note("you", "repo", f"r{r}", n, "", at=1)
+    for r, n in table(spark, d, "region").select("r_regionkey", "r_name").orderBy("r_regionkey").collect():
+        store.note("me", "repo", f"r{r % 2}", n, "", at=1)
+    store.note("you", "repo", "r0", "another", "", at=1)
     return store.notes("me", "repo").select("record_id", "revision", "title")
 
 
