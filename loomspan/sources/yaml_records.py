@@ -31,13 +31,15 @@ def _scalar(text: str) -> object:
         if len(text) < 2 or text[-1] != "'" or re.search(r"(?<!')(?:'')*'(?!')", text[1:-1]):
             raise ValueError("an unbalanced quote")
         return text[1:-1].replace("''", "'")
+    if re.fullmatch(r"-?(?:0|[1-9][0-9]{0,17})", text):
+        return int(text)
     if text[:1] in "&*!|>%@`{}[],?-#" or ": " in text or " #" in text or text.endswith(":"):
         raise ValueError(f"not a plain scalar: {text[:40]}")
     if text in ("null", "~"):
         return None
     if text in ("true", "false"):
         return text == "true"
-    return int(text) if re.fullmatch(r"-?(?:0|[1-9][0-9]{0,17})", text) else text
+    return text
 
 
 def parse(text: str) -> dict:
@@ -124,4 +126,4 @@ def parsed(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_yaml_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records, rejected) of files, a record a file."""
-    return parsed(spark.read.option("wholetext", "true").text(path))
+    return parsed(spark.read.text(path, wholetext=True))
