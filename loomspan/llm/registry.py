@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import centroid_sql
 from .common import sized
 from .embedding_dedup import VECTOR_SQL
 from .line_dedup import LINE_SQL
@@ -89,6 +90,19 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import centroid_clusters
+
+    return centroid_clusters(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import bpe_digests
+    from .tokens import tokenizer_path
+
+    return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -106,6 +120,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_pack": op10_pack,
+    "op12_centroids": op12_centroids,
+    "op13_bpe": op13_bpe,
     "pipeline": pipeline,
 }
 
@@ -116,4 +132,5 @@ ORACLES: dict[str, str] = {
     "op6_line_dedup": LINE_SQL,
     "op7_substring_dedup": WINDOW_SQL,
     "op9_quality_rules": quality_sql(),
+    "op12_centroids": centroid_sql(),
 }
