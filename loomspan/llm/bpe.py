@@ -53,11 +53,17 @@ class Gadgets:
         self.pairs, self.taken = np.append(pairs[:, 0], np.iinfo(np.int64).max), np.append(pairs[:, 1], 0)
         self.table, self.most = {}, most
         self.lists = self.turn.tolist(), self.u.tolist(), self.v.tolist(), dict(pairs.tolist())
-
-    def arcs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether the finished automaton has an arc b from the state of a."""
+        # Tokens that some text has: at its turn a merge needs an arc v from the state of u, and both need to be such tokens.
+        self.alive = self.turn == 0
+        if merges:
+            u, v, uv = np.array(merges, np.int64).T
+            for x, y, z, met in zip(u.tolist(), v.tolist(), uv.tolist(), self.arcs(u, v, self.turn[uv]).tolist(), strict=True):
+                self.alive[z] = met and self.alive[x] and self.alive[y]
+
+    def arcs(self, a: np.ndarray, b: np.ndarray, now: np.ndarray | None = None) -> np.ndarray:
+        """Whether the automaton has an arc b from the state of a: the finished one, or as it is before turn ``now``."""
         ok, at = np.ones(len(a), bool), np.arange(len(a))
-        a, b, now = a.copy(), b.copy(), np.full(len(a), np.iinfo(np.int64).max)
+        a, b, now = a.copy(), b.copy(), np.full(len(a), np.iinfo(np.int64).max) if now is None else now
         while len(at):
             key = a << 32 | b
             k = np.searchsorted(self.pairs, key)
@@ -110,7 +116,7 @@ class Automaton:
 
     def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]]):
         self.gadgets = Gadgets([t for t, x in labels.items() if len(x) == 1], merges)
-        known = {t: x for t, x in labels.items() if t < len(self.gadgets.turn) and self.gadgets.turn[t] >= 0}
+        known = {t: x for t, x in labels.items() if t < len(self.gadgets.turn) and self.gadgets.alive[t]}
         if {x[0] for x in known.values() if len(x) == 1} != set(range(256)):
             raise ValueError("every byte must be a token")
         n = 1 + max(labels)

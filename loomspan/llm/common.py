@@ -82,11 +82,11 @@ EAGER = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true",
 class Table:
     """A written intermediate result. Reading it needs no executor's local files, so lost executors do no harm."""
 
-    def __init__(self, df: DataFrame, name: str, **options):
+    def __init__(self, df: DataFrame, name: str, records: int = 2000, **options):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, name)
         _live[self.path] = self.spark
-        with session_conf(self.spark, **EAGER):
+        with session_conf(self.spark, **(EAGER | {"spark__sql__execution__arrow__maxRecordsPerBatch": str(records)})):
             df.write.options(**({"compression": "zstd"} | options)).parquet(self.path)
         self.schema = df.schema
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .centroids import centroid_sql
 from .common import sized
 from .embedding_dedup import VECTOR_SQL
+from .hard_negatives import NEGATIVE_SQL
 from .line_dedup import LINE_SQL
 from .mixing import MIX_SQL
 from .quality import quality_sql
@@ -90,6 +91,13 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)").alias("label"))
+    return hard_negatives(vectors, F.expr("vec_id % 100 = 0"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .centroids import centroid_clusters
 
@@ -120,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_pack": op10_pack,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_centroids": op12_centroids,
     "op13_bpe": op13_bpe,
     "pipeline": pipeline,
@@ -132,5 +141,6 @@ ORACLES: dict[str, str] = {
     "op6_line_dedup": LINE_SQL,
     "op7_substring_dedup": WINDOW_SQL,
     "op9_quality_rules": quality_sql(),
+    "op11_hard_negatives": NEGATIVE_SQL,
     "op12_centroids": centroid_sql(),
 }
