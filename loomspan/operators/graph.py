@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import import_parts, path_parts, strip_turbofish
 from .results import Bounded, bounded, not_produced
-from .trace import written
+from .shared import written
 
 SITE = ["slot", "path", "site_ordinal"]
 TARGET = ["target_slot", "target_path", "target_ordinal"]

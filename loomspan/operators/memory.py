@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, query_terms
 from .results import Bounded, bounded
-from .trace import written
+from .shared import written
 
 MAX_CANDIDATES = 16
 #: Fixed values. From strongest to weakest claim on the result: (outcome, effective state, evidence state).

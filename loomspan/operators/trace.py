@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 ORDER = ["edge_kind", "resolution_evidence", "extraction_evidence", "source", "site", "target"]
 
 
@@ -32,24 +31,6 @@ class Limits:
     frontier: int = 100_000
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that every machine sees: in ``spark.checkpoint.dir``. Where it is unset, a temporary one if the whole session
-    runs on this machine (as in tests); on a cluster that is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.conf.get("spark.master", "")):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        folder = "file://" + tempfile.gettempdir()
-    return f"{folder.rstrip('/')}/loomspan/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str = "trace") -> DataFrame:
-    """``df`` written to the shared folder and read from there, which cuts its lineage."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def graph_trace(edges: DataFrame, start: list, direction: str = "outbound", kinds: list[str] | None = None, limits: Limits = Limits()) -> Trace:
     """Level by level from ``start``: ``edges`` has source, target, site and the columns of ORDER (missing ones are constant).
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.digests import artifact_digest, frame_digest
 from ..operators import architecture, context, graph, manifests, overlay, retention, search, trace
+from ..operators.shared import released
 from ..operators.results import Bounded
 from ..sources import extract, files, scip
 from .catalog import Catalog
@@ -99,8 +100,10 @@ class Engine:
         t = self.catalog.staged(slot, gen)
         defs = t["facts"].where("language = 'rust'").select(F.lit(slot).alias("slot"), "path", "ordinal", "kind", "name", "qualified_name")
         sites = t["sites"].where("language = 'rust'").select(F.lit(slot).alias("slot"), "path", F.col("ordinal").alias("site_ordinal"), F.col("site_kind").alias("kind"), "raw_target", "enclosing", "enclosing_kind", "evidence")
-        res, cand = graph.resolve_sites(defs, sites)
-        done(definitions=defs, resolutions=res, candidates=cand, postings=search.postings(t["facts"]).orderBy("term"), document_stats=search.document_stats(t["facts"]))
+        with released():
+            res, cand = graph.resolve_sites(defs, sites)
+            done(resolutions=res, candidates=cand)
+        done(definitions=defs, postings=search.postings(t["facts"]).orderBy("term"), document_stats=search.document_stats(t["facts"]))
         t = self.catalog.staged(slot, gen)
         edges, open_ = graph.edges_of(sites, t["resolutions"], t["candidates"], defs)
         edges = edges.join(sites.select(*graph.SITE, F.col("evidence").alias("extraction")), graph.SITE)

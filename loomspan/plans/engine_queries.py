@@ -15,7 +15,7 @@ from ..functions.text import language_of
 from ..operators import architecture as arch
 from ..operators import context, graph, manifests, memory, overlay, retention, search, trace
 from ..operators.results import within_bytes
-from ..operators.trace import scratch
+from ..operators.shared import scratch
 from ..sources import extract, files, scip
 from ..sources import memory as records
 from ..sources import yaml_records as yaml
@@ -291,15 +291,16 @@ def publish_generation(spark, d):
     return c.read("s", "files").select("path", "language", "fact_count")
 
 
-@query(with_views("files", then="SELECT language AS slot, path FROM files WHERE language IN ('rust', 'go')"))
+@query(with_views("files", then="SELECT CASE WHEN language IN ('rust', 'go') THEN 'systems' ELSE 'scripts' END AS slot, path FROM files"))
 def publish_view(spark, d):
     c, f = _catalog(spark, "view"), frame(spark, d, "files").drop("doc_id")
-    for s in ("rust", "go"):
-        c.stage(s, "g1", {"files": f.where(F.col("language") == s)})
+    systems = F.coalesce(F.col("language").isin("rust", "go"), F.lit(False))
+    for s, of in (("systems", systems), ("scripts", ~systems)):
+        c.stage(s, "g1", {"files": f.where(of)})
         c.publish(s, "g1")
-    c.publish_view("v", ["rust", "go"])
-    c.stage("rust", "g2", {"files": f.limit(1)})
-    c.publish("rust", "g2")  # the view keeps what it has pinned
+    c.publish_view("v", ["systems", "scripts"])
+    c.stage("systems", "g2", {"files": f.limit(1)})
+    c.publish("systems", "g2")  # the view keeps what it has pinned
     return c.read_view("v", "files").select("slot", "path")
 
 
@@ -369,14 +370,14 @@ def reconciliation_schedule(spark, d):
     return spark.createDataFrame([(runs + bool(at),)], "runs long")
 
 
-_TREES = "WITH b AS (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 5 <> 0), w AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'x' ELSE c_name END AS v FROM customer WHERE c_custkey % 7 <> 0), j AS (SELECT coalesce(b.k, w.k) AS k, b.v AS bv, w.v AS wv FROM b FULL JOIN w ON b.k = w.k), c AS (SELECT CASE WHEN wv IS NULL THEN 'deleted' WHEN bv IS NULL THEN 'untracked' WHEN bv <> wv THEN 'modified' END AS change FROM j)"
+_TREES = "WITH b AS (SELECT c_custkey AS k, c_name AS v FROM customer), w AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN c_custkey + 1000000 ELSE c_custkey END AS k, CASE WHEN c_custkey % 3 = 0 THEN 'x' ELSE c_name END AS v FROM customer), j AS (SELECT coalesce(b.k, w.k) AS k, b.v AS bv, w.v AS wv FROM b FULL JOIN w ON b.k = w.k), c AS (SELECT CASE WHEN wv IS NULL THEN 'deleted' WHEN bv IS NULL THEN 'untracked' WHEN bv <> wv THEN 'modified' END AS change FROM j)"
 
 
 @query(f"{_TREES} SELECT count(change) AS paths, CAST(0 AS BIGINT) AS added, count(*) FILTER (change = 'modified') AS modified, count(*) FILTER (change = 'deleted') AS deleted, CAST(0 AS BIGINT) AS type_changed, count(*) FILTER (change = 'untracked') AS untracked, 'stale' AS index_state FROM c")
 def change_review(spark, d):
     c = table(spark, d, "customer")
-    base = c.where("c_custkey % 5 <> 0").selectExpr("c_custkey AS path", "c_name AS content_digest", "'file' AS file_kind")
-    work = c.where("c_custkey % 7 <> 0").selectExpr("c_custkey AS path", "IF(c_custkey % 3 = 0, 'x', c_name) AS content_digest", "'file' AS file_kind")
+    base = c.selectExpr("c_custkey AS path", "c_name AS content_digest", "'file' AS file_kind")
+    work = c.selectExpr("IF(c_custkey % 7 = 0, c_custkey + 1000000, c_custkey) AS path", "IF(c_custkey % 3 = 0, 'x', c_name) AS content_digest", "'file' AS file_kind")
     digest = lambda f: frame_digest(f, ["path", "content_digest"]).first()["digest"]
     return manifests.change_review(manifests.change_manifest(base, work, base.select("path").limit(0)), digest(base), digest(work))[1]
 
@@ -465,22 +466,55 @@ def memory_revalidate(spark, d):
     return projection.where("title = 'even'").select("record_id", "effective_state")
 
 
-@query("SELECT 'g' || CAST(r_regionkey % 2 AS VARCHAR) AS task_id, count(*) AS sequence, count(*) AS verifications FROM region GROUP BY r_regionkey % 2")
+@query("SELECT CAST(conv_id AS VARCHAR) AS record_id, CAST(turn AS VARCHAR) AS revision, CASE WHEN turn > 0 THEN CAST(turn - 1 AS VARCHAR) END AS parent, 'c' || CAST(turn % 5 AS VARCHAR) AS \"commit\", 'observed' AS operation FROM conversations")
+def memory_transaction(spark, d):
+    """Turns as versions with parents, commits and audit events, written by one commit. A writer that stops between any two
+    parts leaves nothing to be seen; the next one writes all."""
+    store = MemoryStore(spark, scratch(spark, "memory"))
+    r = table(spark, d, "conversations").selectExpr("CAST(conv_id AS STRING) AS record_id", "CAST(turn AS STRING) AS revision", "1 AS schema_version", "'finding' AS kind", "role AS title", "text AS body", "'active' AS lifecycle", "'{}' AS canonical_json", "IF(turn > 0, array(CAST(turn - 1 AS STRING)), CAST(array() AS array<string>)) AS parents", "array(concat('c', turn % 5)) AS introduced_by", "CAST(array() AS array<string>) AS invalidated_by")
+    write = store.log._write
+
+    def stops(journal, rows):
+        if journal == "audit":
+            raise InterruptedError(journal)
+        return write(journal, rows)
+
+    store.log._write = stops
+    try:
+        store.write(r, at=1)
+    except InterruptedError:
+        pass
+    if any(store.state().values()):
+        raise AssertionError("a part of an unfinished write is visible")
+    store.log._write = write
+    store.write(r, at=1)
+    if store.log.version() != 1 or not store.log.vacuum(older_than_s=0):
+        raise AssertionError("one commit makes all parts visible, and the unfinished write's folders go")
+    now, key = store.log.snapshot(), ["record_id", "revision"]
+    got = now.read("versions").select(*key).join(now.read("parents"), key, "left").join(now.read("commits").select(*key, "commit"), key).join(now.read("audit").select(*key, "operation"), key)
+    return got.select(*key, "parent", "commit", "operation")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS task_id, count(*) AS sequence, arg_max(role, turn) AS status FROM conversations GROUP BY conv_id")
 def task_journal(spark, d):
-    """A checkpoint and a verification a region, of two tasks."""
+    """Conversations as tasks, their turns as checkpoints: all in one commit, each task's numbered on without gaps."""
     store = MemoryStore(spark, scratch(spark, "tasks"))
-    for (r,) in table(spark, d, "region").select("r_regionkey").orderBy("r_regionkey").collect():
-        store.checkpoint(f"g{r % 2}", "open", at=1)
-        store.verify(f"g{r % 2}", "test", "passed", at=1)
-    return store.tasks().rows.select("task_id", "sequence", "verifications")
+    c = table(spark, d, "conversations").selectExpr("CAST(conv_id AS STRING) AS task_id", "role AS status", "CAST('' AS STRING) AS note", "CAST(turn AS BIGINT) AS recorded_at", "turn")
+    store.checkpoints(c.where("turn % 2 = 0").drop("turn"))
+    store.checkpoints(c.where("turn % 2 = 1").drop("turn").withColumn("recorded_at", F.col("recorded_at") + 1_000_000))
+    store.checkpoints(c.limit(0).drop("turn"))
+    last = store.read("checkpoints").groupBy("task_id").agg(F.max("sequence").alias("sequence"), F.max_by("note", "recorded_at").alias("note"))
+    turns = table(spark, d, "conversations").groupBy(F.col("conv_id").cast("string").alias("task_id")).agg(F.max_by("role", "turn").alias("status"))
+    return last.join(turns, "task_id").select("task_id", "sequence", "status")
 
 
-@query("SELECT 'r' || CAST(r_regionkey % 2 AS VARCHAR) AS record_id, count(*) AS revision, arg_max(r_name, r_regionkey) AS title FROM region GROUP BY r_regionkey % 2")
+@query("SELECT CAST(c_nationkey AS VARCHAR) AS record_id, count(*) AS revision, arg_max(c_name, c_custkey) AS title FROM customer GROUP BY 1")
 def personal_notes(spark, d):
+    """Customers as revisions of a note a nation, taken in one commit."""
     store = MemoryStore(spark, scratch(spark, "notes"))
-    for r, n in table(spark, d, "region").select("r_regionkey", "r_name").orderBy("r_regionkey").collect():
-        store.note("me", "repo", f"r{r % 2}", n, "", at=1)
-    store.note("you", "repo", "r0", "another", "", at=1)
+    n = table(spark, d, "customer").selectExpr("CAST(c_nationkey AS STRING) AS record_id", "c_name AS title", "'' AS body", "CAST(c_custkey AS BIGINT) AS recorded_at")
+    store.take_notes("me", "repo", n)
+    store.note("you", "repo", "1", "another", "", at=1)
     return store.notes("me", "repo").select("record_id", "revision", "title")
 
 

@@ -187,13 +187,16 @@ def marker_support(spark, d):
 
 # --- manifests and reuse
 
-_MANIFEST = "SELECT CAST(o_custkey AS VARCHAR) AS path, CAST(max(o_orderkey) AS VARCHAR) AS content_digest FROM orders WHERE {0} GROUP BY 1"
-_BEFORE, _AFTER = _MANIFEST.format("o_orderdate < TIMESTAMP '1996-06-01'"), _MANIFEST.format("o_orderdate >= TIMESTAMP '1995-03-01' AND o_orderdate < TIMESTAMP '1996-09-01'")
+#: All orders on both sides. After: every ninth customer has another path, and orders from 1998 on change what is at theirs.
+_BEFORE = "SELECT CAST(o_custkey AS VARCHAR) AS path, CAST(max(o_orderkey) AS VARCHAR) AS content_digest FROM orders GROUP BY 1"
+_AFTER = "SELECT CAST(CASE WHEN o_custkey % 9 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS VARCHAR) AS path, CAST(max(CASE WHEN o_orderdate >= TIMESTAMP '1998-01-01' THEN 2 * o_orderkey ELSE o_orderkey END) AS VARCHAR) AS content_digest FROM orders GROUP BY 1"
 
 
-def _manifest(spark, d, low, high):
-    o = table(spark, d, "orders").where((F.col("o_orderdate") >= F.to_timestamp_ntz(F.lit(low))) & (F.col("o_orderdate") < F.to_timestamp_ntz(F.lit(high))))
-    return o.groupBy(F.col("o_custkey").cast("string").alias("path")).agg(F.max("o_orderkey").cast("string").alias("content_digest"))
+def _manifests(spark, d):
+    o = table(spark, d, "orders")
+    before = o.groupBy(F.col("o_custkey").cast("string").alias("path")).agg(F.max("o_orderkey").cast("string").alias("content_digest"))
+    after = o.groupBy(F.expr("CAST(IF(o_custkey % 9 = 0, o_custkey + 1000000, o_custkey) AS STRING)").alias("path"))
+    return before, after.agg(F.max(F.expr("IF(o_orderdate >= TIMESTAMP_NTZ '1998-01-01', 2 * o_orderkey, o_orderkey)")).cast("string").alias("content_digest"))
 
 
 _DIFF = f"WITH b AS ({_BEFORE}), a AS ({_AFTER}), j AS (SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' WHEN b.content_digest <> a.content_digest THEN 'changed' ELSE 'unchanged' END AS change, b.content_digest AS before_digest, a.content_digest AS after_digest FROM b FULL JOIN a ON a.path = b.path)"
@@ -201,22 +204,22 @@ _DIFF = f"WITH b AS ({_BEFORE}), a AS ({_AFTER}), j AS (SELECT coalesce(b.path,
 
 @query(f"{_DIFF} SELECT * FROM j")
 def manifest_diff(spark, d):
-    return manifests.manifest_diff(_manifest(spark, d, "1900-01-01", "1996-06-01"), _manifest(spark, d, "1995-03-01", "1996-09-01"))
+    return manifests.manifest_diff(*_manifests(spark, d))
 
 
 @query(f"{_DIFF}, h AS (SELECT CAST(user_id AS VARCHAR) AS path, count(*) AS n FROM events GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS hints, CAST(sum(n - 1) AS BIGINT) AS duplicates, CAST(sum((j.path IS NULL)::INT) AS BIGINT) AS unmatched FROM h LEFT JOIN (SELECT * FROM j WHERE change <> 'unchanged') j USING (path)")
 def reconcile_hints(spark, d):
     hints = table(spark, d, "events").select(F.col("user_id").cast("string").alias("path"))
-    return manifests.reconcile(_manifest(spark, d, "1900-01-01", "1996-06-01"), _manifest(spark, d, "1995-03-01", "1996-09-01"), hints)[1]
+    return manifests.reconcile(*_manifests(spark, d), hints)[1]
 
 
 @query(f"{_DIFF} SELECT path, change, before_digest, after_digest FROM j WHERE change <> 'unchanged'")
 def streaming_reconciliation(spark, d):
     """The events as a stream of hints; what its micro-batches publish."""
-    from ..operators.trace import scratch
+    from ..operators.shared import scratch
     from ..streaming.reconciliation import Reconciler
 
-    before, after = _manifest(spark, d, "1900-01-01", "1996-06-01"), _manifest(spark, d, "1995-03-01", "1996-09-01")
+    before, after = _manifests(spark, d)
     out = scratch(spark, "reconciled")
     hints = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*").select(F.col("user_id").cast("string").alias("path"))
     run = Reconciler(lambda: before, lambda: after, lambda diff, batch: diff.write.mode("overwrite").parquet(f"{out}/batch={batch}"))
@@ -238,15 +241,15 @@ def content_addressed_insert(spark, d):
     return manifests.new_artifacts(docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 <> 0")).agg(F.count("*").alias("inserted"))
 
 
-@query("""WITH b AS (SELECT c_custkey AS path, c_mktsegment AS k, c_nationkey AS g FROM customer WHERE c_custkey % 4 <> 0), w AS (SELECT c_custkey AS path, CASE WHEN c_custkey % 5 = 0 THEN 'link' ELSE c_mktsegment END AS k, CASE WHEN c_custkey % 7 = 0 THEN -1 ELSE c_nationkey END AS g FROM customer WHERE c_custkey % 6 <> 0),
+@query("""WITH b AS (SELECT c_custkey AS path, c_mktsegment AS k, c_nationkey AS g FROM customer), w AS (SELECT CASE WHEN c_custkey % 6 = 0 THEN c_custkey + 1000000 ELSE c_custkey END AS path, CASE WHEN c_custkey % 5 = 0 THEN 'link' ELSE c_mktsegment END AS k, CASE WHEN c_custkey % 7 = 0 THEN -1 ELSE c_nationkey END AS g FROM customer),
 j AS (SELECT coalesce(b.path, w.path) AS path, b.k AS bk, w.k AS wk, b.g AS bg, w.g AS wg FROM b FULL JOIN w ON b.path = w.path),
 c AS (SELECT path, CASE WHEN wk IS NULL THEN 'deleted' WHEN bk IS NULL THEN CASE WHEN path % 8 = 0 THEN 'added' ELSE 'untracked' END WHEN bk <> wk THEN 'type_changed' WHEN bg <> wg THEN 'modified' END AS change FROM j)
 SELECT path, change FROM c WHERE change IS NOT NULL""")
 def change_manifest(spark, d):
     c = table(spark, d, "customer")
-    base = c.where("c_custkey % 4 <> 0").selectExpr("c_custkey AS path", "c_nationkey AS content_digest", "c_mktsegment AS file_kind")
-    work = c.where("c_custkey % 6 <> 0").selectExpr("c_custkey AS path", "IF(c_custkey % 7 = 0, -1, c_nationkey) AS content_digest", "IF(c_custkey % 5 = 0, 'link', c_mktsegment) AS file_kind")
-    return manifests.change_manifest(base, work, c.where("c_custkey % 8 = 0").selectExpr("c_custkey AS path"))
+    base = c.selectExpr("c_custkey AS path", "c_nationkey AS content_digest", "c_mktsegment AS file_kind")
+    work = c.selectExpr("IF(c_custkey % 6 = 0, c_custkey + 1000000, c_custkey) AS path", "IF(c_custkey % 7 = 0, -1, c_nationkey) AS content_digest", "IF(c_custkey % 5 = 0, 'link', c_mktsegment) AS file_kind")
+    return manifests.change_manifest(base, work, work.where("path % 8 = 0").select("path"))
 
 
 # --- retention and integrity
@@ -425,23 +428,25 @@ _SITES = f"""SELECT 'Brand#' || CAST(c_custkey % 25 + 1 AS VARCHAR) AS slot, 'Br
  WHEN 9 THEN 'self::' || {_TARGET} WHEN 10 THEN 'alias' || CAST(c_nationkey % 3 AS VARCHAR) WHEN 11 THEN 'outer::' || {_TARGET} || ' as alias' || CAST(c_nationkey % 3 AS VARCHAR) WHEN 12 THEN 'crate::outer::inner::' || {_TARGET} || ' as _' WHEN 13 THEN 'a::{{b}}' WHEN 15 THEN 'outer::' || {_TARGET} WHEN 16 THEN 'outer::' || {_TARGET} ELSE {_TARGET} END AS raw_target,
  CASE c_custkey // 17 % 4 WHEN 1 THEN 'outer' WHEN 2 THEN 'outer::f' WHEN 3 THEN 'outer::inner::g' END AS enclosing, CASE c_custkey // 17 % 4 WHEN 1 THEN 'module' WHEN 2 THEN 'function' WHEN 3 THEN 'function' END AS enclosing_kind
  FROM customer JOIN part ON p_partkey = c_custkey""".replace("{{b}}", "{b}")
-_RESOLVED = f"""WITH d AS ({_DEFS}), s0 AS ({_SITES}),
-s1 AS (SELECT *, CASE WHEN enclosing_kind = 'module' THEN enclosing WHEN enclosing = 'outer::inner::g' AND EXISTS (SELECT 1 FROM d WHERE d.slot = s0.slot AND d.path = s0.path AND d.qualified_name = 'outer::inner') THEN 'outer::inner' WHEN enclosing IS NOT NULL AND EXISTS (SELECT 1 FROM d WHERE d.slot = s0.slot AND d.path = s0.path AND d.qualified_name = 'outer' AND d.kind = 'module') THEN 'outer' END AS module,
- split_part(CASE WHEN ends_with(raw_target, '::<u8>') THEN left(raw_target, strlen(raw_target) - 6) ELSE raw_target END, ' as ', 1) AS p FROM s0),
-s AS (SELECT *, starts_with(p, 'crate::') AS same, regexp_replace(p, '^(crate)?::', '') AS said, CASE WHEN contains(raw_target, ' as ') THEN nullif(split_part(raw_target, ' as ', 2), '_') ELSE string_split(p, '::')[-1] END AS alias,
+_RESOLVED = f"""WITH d AS MATERIALIZED ({_DEFS}), s0 AS ({_SITES}),
+around AS (SELECT slot, path, max((qualified_name = 'outer::inner')::INT) AS inner_, max((qualified_name = 'outer' AND kind = 'module')::INT) AS outer_ FROM d GROUP BY 1, 2),
+s1 AS (SELECT s0.*, CASE WHEN enclosing_kind = 'module' THEN enclosing WHEN enclosing = 'outer::inner::g' AND inner_ = 1 THEN 'outer::inner' WHEN enclosing IS NOT NULL AND outer_ = 1 THEN 'outer' END AS module,
+ split_part(CASE WHEN ends_with(raw_target, '::<u8>') THEN left(raw_target, strlen(raw_target) - 6) ELSE raw_target END, ' as ', 1) AS p FROM s0 LEFT JOIN around USING (slot, path)),
+s AS MATERIALIZED (SELECT *, starts_with(p, 'crate::') AS same, regexp_replace(p, '^(crate)?::', '') AS said, CASE WHEN contains(raw_target, ' as ') THEN nullif(split_part(raw_target, ' as ', 2), '_') ELSE string_split(p, '::')[-1] END AS alias,
  CASE WHEN kind = 'macro_call' THEN 'unsupported_site_kind' WHEN raw_target = 'a::{{b}}' THEN 'unsupported_import_shape' WHEN raw_target = 'a.b' THEN 'dynamic_or_method_call' WHEN starts_with(raw_target, 'self::') THEN 'unsupported_qualified_syntax' END AS early FROM s1),
 live AS (SELECT *, NOT contains(said, '::') AS bare FROM s WHERE early IS NULL),
 scoped AS (SELECT *, unnest(CASE enclosing WHEN 'outer' THEN ['outer::', ''] WHEN 'outer::f' THEN ['outer::f::', 'outer::', ''] WHEN 'outer::inner::g' THEN ['outer::inner::g::', 'outer::inner::', 'outer::', ''] ELSE [''] END) AS scope FROM live WHERE kind <> 'import' AND bare),
 lex AS (SELECT x.site_ordinal, d.slot AS ts, d.path AS tp, d.ordinal AS t, strlen(scope) AS size, max(strlen(scope)) OVER (PARTITION BY x.site_ordinal) AS most FROM scoped x JOIN d ON d.slot = x.slot AND d.qualified_name = x.scope || x.said WHERE x.kind <> 'call' OR d.kind = 'function'),
-hits AS (SELECT site_ordinal, ts, tp, t, 'lexical_syntax' AS evidence FROM lex WHERE size = most
+hits AS MATERIALIZED (SELECT site_ordinal, ts, tp, t, 'lexical_syntax' AS evidence FROM lex WHERE size = most
  UNION ALL SELECT l.site_ordinal, d.slot, d.path, d.ordinal, CASE l.kind WHEN 'import' THEN 'import_syntax' ELSE 'qualified_syntax' END FROM live l JOIN d ON d.qualified_name = l.said AND (NOT l.same OR d.slot = l.slot) WHERE (l.kind = 'import' OR NOT l.bare) AND (l.kind <> 'call' OR d.kind = 'function')
  UNION ALL SELECT l.site_ordinal, d.slot, d.path, d.ordinal, 'import_syntax' FROM live l JOIN (SELECT DISTINCT slot, path, module, alias, said, same FROM live WHERE kind = 'import') b ON l.slot = b.slot AND l.path = b.path AND l.module IS NOT DISTINCT FROM b.module AND l.said = b.alias JOIN d ON d.qualified_name = b.said AND (NOT b.same OR d.slot = l.slot) WHERE l.kind <> 'import' AND l.bare AND (l.kind <> 'call' OR d.kind = 'function')),
-hit AS (SELECT * FROM hits UNION ALL SELECT l.site_ordinal, d.slot, d.path, d.ordinal, 'exact_name_heuristic' FROM live l JOIN d ON d.name = l.said WHERE l.kind <> 'import' AND l.bare AND (l.kind <> 'call' OR d.kind = 'function') AND l.site_ordinal NOT IN (SELECT site_ordinal FROM hits)),
-found AS (SELECT site_ordinal, ts, tp, t, ['qualified_syntax', 'lexical_syntax', 'import_syntax', 'exact_name_heuristic'][min(list_position(['qualified_syntax', 'lexical_syntax', 'import_syntax', 'exact_name_heuristic'], evidence))] AS evidence FROM hit GROUP BY 1, 2, 3, 4),
+hit AS (SELECT * FROM hits UNION ALL SELECT l.site_ordinal, d.slot, d.path, d.ordinal, 'exact_name_heuristic' FROM live l JOIN d ON d.name = l.said ANTI JOIN hits h ON h.site_ordinal = l.site_ordinal WHERE l.kind <> 'import' AND l.bare AND (l.kind <> 'call' OR d.kind = 'function')),
+found AS MATERIALIZED (SELECT site_ordinal, ts, tp, t, ['qualified_syntax', 'lexical_syntax', 'import_syntax', 'exact_name_heuristic'][min(list_position(['qualified_syntax', 'lexical_syntax', 'import_syntax', 'exact_name_heuristic'], evidence))] AS evidence FROM hit GROUP BY 1, 2, 3, 4),
 n AS (SELECT site_ordinal, count(*) AS n FROM found GROUP BY 1),
-res AS (SELECT s.*, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END AS outcome,
- CASE WHEN n IS NULL THEN coalesce(early, CASE WHEN s.kind = 'call' AND EXISTS (SELECT 1 FROM d WHERE d.kind = 'method' AND (NOT same OR d.slot = s.slot) AND CASE WHEN contains(said, '::') THEN d.qualified_name ELSE d.name END = said) THEN 'dynamic_or_method_call' ELSE 'no_candidate' END) END AS unresolved_reason FROM s LEFT JOIN n USING (site_ordinal)),
-cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_ordinal ORDER BY ts, tp, t) AS k FROM found) WHERE k <= 64)"""
+methods AS (SELECT called, long, list(DISTINCT slot) AS slots FROM (SELECT slot, unnest([name, qualified_name]) AS called, unnest([false, true]) AS long FROM d WHERE kind = 'method') GROUP BY 1, 2),
+res AS MATERIALIZED (SELECT s.*, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END AS outcome,
+ CASE WHEN n IS NULL THEN coalesce(early, CASE WHEN s.kind = 'call' AND (methods.slots IS NOT NULL AND (NOT same OR list_contains(methods.slots, s.slot))) THEN 'dynamic_or_method_call' ELSE 'no_candidate' END) END AS unresolved_reason FROM s LEFT JOIN n USING (site_ordinal) LEFT JOIN methods ON methods.called = said AND methods.long = contains(said, '::')),
+cand AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_ordinal ORDER BY ts, tp, t) AS k FROM found) WHERE k <= 64)"""
 
 
 def _resolved(spark, d):
@@ -471,7 +476,7 @@ def graph_edges(spark, d):
     return e.select("site_ordinal", F.lit("module").alias("around"), "edge_kind", "target_ordinal", "evidence", "outcome")
 
 
-@query(f"{_RESOLVED} SELECT count(*) AS edges, count(DISTINCT site_ordinal) AS sites FROM cand c JOIN res USING (site_ordinal) WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.slot = res.slot AND d.path = res.path AND d.qualified_name = res.enclosing)")
+@query(f"{_RESOLVED} SELECT count(*) AS edges, count(DISTINCT site_ordinal) AS sites FROM cand c JOIN res USING (site_ordinal) ANTI JOIN d ON d.slot = res.slot AND d.path = res.path AND d.qualified_name = res.enclosing")
 def graph_uncovered(spark, d):
     defs, sites, res, cand = _resolved(spark, d)
     return graph.edges_of(sites, res, cand, defs)[1].agg(F.count("*").alias("edges"), F.countDistinct("site_ordinal").alias("sites"))
