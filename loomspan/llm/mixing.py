@@ -56,14 +56,16 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, alp
     broadcast only if its Poisson steps take at most BROADCAST_BYTES, else joined by key with adaptive splitting. Null sources are
     one source of their own (``weights`` can't name it). Null or empty texts have no size; where a source has no characters
     at all, its documents appear once a document on average (never, if ``weights`` are given). Rows that repeat a doc_id get
-    the same count. Null doc_ids hash as an empty string. Texts of any length are moved whole, one row at a time; an empty
+    the same count; null doc_ids are told apart by their texts. Where a row lies depends on its row number too, so that neither
+    null nor repeated ids fill a partition. Texts of any length are moved whole, one row at a time; an empty
     table gives an empty one. Columns named copy, copies or shuffle_key are replaced; others may have any name.
     """
     rates = Table(source_rates(docs, weights, alpha, epochs, source, text), "rates").read()
     bytes_ = rates.agg(F.sum(8 * (last_step(F.col("rate")).cast("long") + 1) + 64 + F.coalesce(F.octet_length(F.col("of").cast("string")), F.lit(0)))).first()[0] or 0
     steps = Table(poisson_steps(rates), "steps").read()
     keep = [c for c in docs.columns if c not in ("copy", "copies", "shuffle_key")]
-    rows = docs.select(*carried(keep), F.col(quoted(source)).alias("source_"), F.coalesce(F.col(quoted(doc_id)).cast("string"), F.lit("")).alias("id_"))
+    id_ = F.coalesce(F.col(quoted(doc_id)).cast("string"), F.concat(F.lit("|"), F.md5(F.coalesce(F.col(quoted(text)), F.lit("")))))
+    rows = docs.select(*carried(keep), F.col(quoted(source)).alias("source_"), id_.alias("id_"), F.monotonically_increasing_id().alias("row_"))
     key = F.concat(F.lit(f"{seed}|"), F.col("id_"))
     u = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     rows = rows.withColumn("u_", u)
@@ -71,8 +73,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, alp
     counted = joined.withColumn("copies", F.size(F.filter("steps", lambda c: c <= F.col("u_"))))
     spread = counted.where(F.col("copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     spread = spread.withColumn("shuffle_key", F.md5(F.concat(key, F.lit("|"), F.col("copy").cast("string"))))
-    out = spread.select(*restored(keep), "copy", "copies", "shuffle_key")
-    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    dealt = spread.repartition("shuffle_key", "row_").sortWithinPartitions("shuffle_key", "row_")
+    return dealt.select(*restored(keep), "copy", "copies", "shuffle_key")
 
 
 MIX_SQL = """

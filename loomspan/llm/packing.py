@@ -16,7 +16,7 @@ from .common import Table, arrow_batches, buffers, chunks, lean, output, quoted,
 from .tokens import encoder
 
 #: Pieces that one task packs at once, and the fraction of them that it may hand on to the next round.
-GROUP, ON = 50_000, 16
+GROUP, ON = 25_000, 16
 
 
 def best_fit(lengths: np.ndarray, tokens: int, documents: int, attention: int, weights: tuple[float, float, float] = (1.0, 0.25, 0.25), score: str = "norm") -> np.ndarray:
@@ -24,55 +24,34 @@ def best_fit(lengths: np.ndarray, tokens: int, documents: int, attention: int, w
     (the sum of squared lengths). Of all bins that a piece fits under every one of them, it goes where the weighted norm of
     the residuals left is least (``score`` "norm"), or the weighted dot product of the piece's needs and the bin's
     residuals is largest ("dot"), in parts of the capacities; the earliest of equals. A piece that exceeds a capacity by
-    itself gets a bin to itself. A capacity that no pieces within ``tokens`` can reach has no say, so that without
-    others the least norm is the nearest token residual, which is found without a look at every bin."""
-    binds = documents < tokens, attention < tokens * tokens
-    if score == "norm" and not any(binds):
-        return _nearest(lengths, tokens)
+    itself gets a bin to itself."""
     size = np.array([tokens, documents, attention], float)
-    weight = np.array(weights) * (1, *binds)
-    out = np.zeros(len(lengths), np.int64)
-    left, live, made = np.zeros((1 << 10, 3)), np.zeros(0, np.int64), 0
+    weight = np.array(weights, float)
+    out, made, live = np.zeros(len(lengths), np.int64), 0, 0
     least = int(lengths[-1]) if len(lengths) else 0
+    left, of = np.zeros((3, 1 << 10)), np.zeros(1 << 10, np.int64)  # residuals of the bins that something may still fit, and their numbers
     for i, n in enumerate(lengths.tolist()):
-        need = np.array([n, 1, n * n], float)
-        room = left[live]
-        fits = np.flatnonzero((room >= need).all(1))
-        if len(fits):
-            rest = room[fits]
-            good = -(weight * ((rest - need) / size) ** 2).sum(1) if score == "norm" else (weight * (need / size) * (rest / size)).sum(1)
-            b = int(live[fits[np.argmax(good)]])
+        need = np.array([[n], [1], [n * n]], float)
+        room = left[:, :live]
+        rest = room - need
+        fits = rest.min(0) >= 0
+        if fits.any():
+            if score == "norm":
+                good = -(weight @ (rest / size[:, None]) ** 2)
+            else:
+                good = (weight * need[:, 0] / size**2) @ room
+            good[~fits] = -np.inf
+            k = int(good.argmax())
         else:
-            b, made = made, made + 1
-            if b == len(left):
-                left = np.concatenate((left, np.zeros_like(left)))
-            left[b] = size
-            live = np.append(live, b)
-        left[b] -= need
-        if (left[b] < (least, 1, least * least)).any():  # nothing that is still to come fits
-            live = live[live != b]
-        out[i] = b
-    return out
-
-
-def _nearest(lengths: np.ndarray, tokens: int) -> np.ndarray:
-    """Best fit by tokens alone: bins by what they have left, and a bit for each amount that some bin has left."""
-    out, levels, mask, made = np.zeros(len(lengths), np.int64), {}, 0, 0
-    least = int(lengths[-1]) if len(lengths) else 0
-    for i, n in enumerate(lengths.tolist()):
-        m = mask >> n if n <= tokens else 0
-        if m:
-            left = n + (m & -m).bit_length() - 1
-            b = levels[left].pop()
-            if not levels[left]:
-                mask &= ~(1 << left)
-        else:
-            b, left, made = made, tokens, made + 1
-        left -= n
-        if left >= least > 0:
-            levels.setdefault(left, []).append(b)
-            mask |= 1 << left
-        out[i] = b
+            if live == len(of):
+                left, of = np.concatenate((left, np.zeros_like(left)), 1), np.concatenate((of, np.zeros_like(of)))
+            k, live, made = live, live + 1, made + 1
+            left[:, k], of[k] = size, made - 1
+        out[i] = of[k]
+        left[:, k] -= need[:, 0]
+        if left[0, k] < least or left[1, k] < 1 or left[2, k] < least * least:  # nothing that is still to come fits
+            left[:, k : live - 1], of[k : live - 1] = left[:, k + 1 : live].copy(), of[k + 1 : live].copy()
+            live -= 1
     return out
 
 
@@ -158,7 +137,7 @@ def pack(items: DataFrame, *, size: int, documents: int, attention: int, group:
 def pack_documents(docs: DataFrame, tokenizer: str, *, end_id: int = 1, size: int = 4096, documents: int | None = None, attention: int | None = None, score: str = "norm", with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Packs documents' tokens into sequences of at most ``size`` tokens, ``documents`` pieces and ``attention`` cost.
 
-    By default the last two can't bind (``size`` pieces, ``size`` squared): fewest sequences come from tokens alone. A piece
+    By default the last two can't bind (``size`` pieces, ``size`` squared), but have their weight in the choice of a bin. A piece
     over a capacity by itself has a sequence to itself. Returns one row a piece: doc_id, piece, start,
     length, ids_crc32, sequence_id, offset (and ids, ``with_ids``). Only documents over ``size`` tokens are cut.
 

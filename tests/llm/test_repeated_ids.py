@@ -50,3 +50,18 @@ def test_lines_of_a_hot_id(spark):
     rows = [(i, f"{line}\nown {k % 50}") for i in (5, None) for k in range(300)] + [(9, line)]
     got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id", "n_dropped").count().collect()
     assert {tuple(r) for r in got} == {(5, 1, 300), (None, 1, 300), (9, 0, 1)}
+
+
+def test_null_and_repeated_ids_fill_no_partition(spark):
+    """20,000 rows without an id, and as many of one id: counts of the first differ by text, and no partition gets more than its share."""
+    from pyspark.sql import functions as F
+
+    from loomspan.llm.mixing import mix_sources
+
+    n = 20_000
+    docs = spark.range(2 * n, numPartitions=4).select(F.when(F.col("id") >= n, 7).cast("long").alias("doc_id"), F.when(F.col("id") < n, F.concat(F.lit("text "), "id")).otherwise("same").alias("text"), F.lit("s").alias("source"))
+    mixed = mix_sources(docs, epochs=3.0)
+    sizes = [r["n"] for r in mixed.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    rows = mixed.count()
+    assert max(sizes) <= 1.2 * rows / len(sizes) or len(sizes) == 1
+    assert mixed.where("doc_id IS NULL").select("copies").distinct().count() > 4 and mixed.where("doc_id = 7").select("copies").distinct().count() <= 1
