@@ -35,13 +35,22 @@ _PLAIN = {"box", "wrap", "wrapper", "container", "area", "block", "list", "secti
 _OWN_HEADER = {"article", "entry", "post", "story", "content", "chapter", "section"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "menu", "menubar"}
 _SPLIT, _CAMEL, _HIDDEN = re.compile(r"[^a-z0-9]+"), re.compile(r"(?<=[a-z])(?=[A-Z])"), re.compile(r"display\s*:\s*none")
-_RIGHTS = re.compile(r"(?:©|\(c\)\s|copyright\b)", re.IGNORECASE)
+_RIGHTS = re.compile(r"(?:©|\(c\)\s|copyright\s+(?:©|\(c\)|\d{4}))", re.IGNORECASE)
+#: Inside an article an id of these words alone names a section on that topic, and a class that ends in one of the second set a part of it.
+_TOPICS = {"legal", "social", "search", "copyright", "disclaimer", "register", "navigation", "promotion", "announcement", "sitemap", "header", "footer"}
+_PARTS = {"story", "article", "chapter", "paragraph"}
+_NOT_PARTS = ("related", "recommend", "promo", "sponsor", "advert")
+_VERBATIM, _END, _UNFINISHED = re.compile(r"<(script|style)\b.*?</\1\b", re.IGNORECASE | re.ASCII | re.DOTALL), "-->", re.compile(r"<[a-zA-Z/!?]")
+#: What the ratio of a line is lowered to whose element is, or says that it is, beside the article; and the least share of the mean that a
+#: threshold is.
+LOW, FLOOR = 1e-6, 1e-3
 #: What is beside the article whatever it holds; what isn't, if it holds the article; and that for readers' comments.
 FIXED, MARKED, COMMENTS = 1, 2, 3
 
 
-def _marked(attrs: list[tuple[str, str | None]]) -> int:
-    """Whether an element says that it is something beside the article: a class or id counts if all its words are known."""
+def _marked(attrs: list[tuple[str, str | None]], inside: bool = False) -> int:
+    """Whether an element says that it is something beside the article: a class or id counts if all its words are known.
+    ``inside`` an article, words that are as well topics or parts of one don't."""
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and _HIDDEN.search(value)):
             return MARKED
@@ -55,6 +64,8 @@ def _marked(attrs: list[tuple[str, str | None]]) -> int:
                 if any(w in _COMMENTS for w in words):
                     return COMMENTS
                 telling = [w for w in words if w not in _PLAIN]
+                if inside and telling and ((name == "id" and _TOPICS.issuperset(telling)) or (words[-1] in _PARTS and not any(w.startswith(_NOT_PARTS) for w in words))):
+                    continue
                 if telling and not (telling == ["header"] and _OWN_HEADER.intersection(words)):
                     return MARKED
     return 0
@@ -88,6 +99,9 @@ class _Page(HTMLParser):
             self.last[tag] = ends[-1] if ends else -1
         return self.last[tag] > self.at
 
+    def inside(self) -> bool:
+        return self.open["article"] > 0 or self.open["main"] > 0
+
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
@@ -111,7 +125,7 @@ class _Page(HTMLParser):
             self.tags += 1
             if tag == "br":
                 self.text.append(" ")
-            elif tag not in _VOID and (self.skip or (attrs and _marked(attrs))):
+            elif tag not in _VOID and (self.skip or (attrs and _marked(attrs, self.inside()))):
                 self.skip.append(tag)
             elif tag == "a":
                 self.in_link += 1
@@ -126,7 +140,7 @@ class _Page(HTMLParser):
                     self.leave({t})
         if tag in _VOID:
             return
-        own = FIXED if tag in _BESIDE else 0 if tag in ("html", "body", "main") else _marked(attrs) or (MARKED if tag in ("form", "fieldset") else 0)
+        own = FIXED if tag in _BESIDE else 0 if tag in ("html", "body", "main") else _marked(attrs, self.inside()) or (MARKED if tag in ("form", "fieldset") else 0)
         node = self.node
         if tag in _CONTAINERS or own:
             self.parent.append(self.node)
@@ -183,7 +197,26 @@ class _Page(HTMLParser):
             self.links += len(data.strip())
 
 
+def _finished(html: str) -> str:
+    """A page without what never ends: a comment that is open at the end, or a tag. Both run to the page's end and hold no text,
+    and the parser would look for the end of each again and again."""
+    at = html.find("<!--", html.rfind(_END) + len(_END) if _END in html else 0)
+    if at >= 0:
+        verbatim = [m.span() for m in _VERBATIM.finditer(html)]
+        k = 0
+        while at >= 0:
+            while k < len(verbatim) and verbatim[k][1] <= at:
+                k += 1
+            if k == len(verbatim) or at < verbatim[k][0]:
+                html = html[:at]
+                break
+            at = html.find("<!--", verbatim[k][1])
+    tail = _UNFINISHED.search(html, html.rfind(">") + 1)
+    return html[: tail.start()] if tail else html
+
+
 def _parse(html: str) -> _Page:
+    html = _finished(html)
     try:
         return _Page(html).run()
     except AssertionError:  # the standard parser stops at some malformed declarations
@@ -206,9 +239,9 @@ def smoothed(ratios: list[float], sigma: float = 1.0) -> list[float]:
 
 
 def clusters(smooth: list[float], share: float = 0.5) -> list[bool]:
-    """The lines at or above the threshold, a share of the ratios' standard deviation."""
+    """The lines at or above the threshold, a share of the ratios' standard deviation, and not next to nothing beside the mean."""
     mean = sum(smooth) / len(smooth)
-    threshold = min(max(smooth), share * sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)))
+    threshold = min(max(smooth), max(FLOOR * mean, share * sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))))
     return [0 < x >= threshold for x in smooth]
 
 
@@ -247,12 +280,12 @@ def _in_article(page: _Page, node: int) -> bool:
 def extract_text(html: str | None, *, sigma: float = 1.0) -> str:
     """The main text of a page: its blocks, one a line.
 
-    A line's ratio is its characters outside of links over its tags; lines of elements that are, or mark themselves as,
-    something beside the article have ratio 0. Ratios are smoothed with a Gaussian within sections, and lines at or above
+    A line's ratio is its characters outside of links over its tags (in an article of links only, all its characters). Elements that
+    are, or mark themselves as, something beside the article lower their lines' ratios, to almost nothing. Ratios are smoothed with a Gaussian within sections, and lines at or above
     half their standard deviation form the clusters. These select the regions: the innermost article or main element around a
     cluster's line; for lines in none their container; without any such element all that lies from the first cluster to the
     last in their common container, but for containers of mostly links. All lines of a region belong to the article, short ones too, except
-    those of ratio 0 for their element's sake that are in no cluster.
+    lowered ones that are in no cluster. A page whose every line is lowered or in links has no text. Comments and tags that never end run to the page's end.
     """
     if not html:
         return ""
@@ -265,6 +298,10 @@ def extract_text(html: str | None, *, sigma: float = 1.0) -> str:
     for k in range(1, m):
         around[k] = k if page.article[k] else around[parent[k]]
     plain = [max(0, len(text) - links) for text, _, links, _, _ in lines]
+    said = [0] * m
+    for (_, _, _, node, _), n in zip(lines, plain, strict=True):
+        said[around[node]] += n
+    plain = [n if said[around[node]] or not around[node] else len(text) for (text, _, _, node, _), n in zip(lines, plain, strict=True)]
     beside = _furniture(page, plain)
     title = [False] * m  # in the article's own header, of which only the headings are its text
     section = [0] * m
@@ -272,7 +309,7 @@ def extract_text(html: str | None, *, sigma: float = 1.0) -> str:
         title[k] = title[parent[k]] or page.header[k]
         section[k] = k if page.section[k] or (beside[k] and not beside[parent[k]]) else section[parent[k]]
         around[k] = 0 if beside[k] else k if page.article[k] else around[parent[k]]
-    weight = [0 if beside[node] or (title[node] and not head) or _RIGHTS.match(text) else 1 for text, _, _, node, head in lines]
+    weight = [LOW if beside[node] or (title[node] and not head) or (not around[node] and _RIGHTS.match(text)) else 1 for text, _, _, node, head in lines]
     by: dict[int, list[int]] = {}
     for i, (_, _, _, node, _) in enumerate(lines):
         by.setdefault(section[node], []).append(i)
@@ -280,9 +317,9 @@ def extract_text(html: str | None, *, sigma: float = 1.0) -> str:
     smooth = [0.0] * len(lines)
     for own in by.values():
         for i, x in zip(own, smoothed([ratios[i] for i in own], sigma), strict=True):
-            smooth[i] = x if ratios[i] else 0.0  # neighbours don't make text of links
+            smooth[i] = min(x, ratios[i]) if weight[i] < 1 or not ratios[i] else x  # neighbours don't make text of links
     high = clusters(smooth)
-    if not any(high):
+    if not any(w == 1 and x for w, x in zip(weight, ratios, strict=True)):
         return ""
     region, single, first, last = [False] * m, set(), 0, len(lines)
     held = [False] * m  # elements that hold an article of a region
@@ -314,7 +351,7 @@ def extract_text(html: str | None, *, sigma: float = 1.0) -> str:
     for k in range(1, m):
         region[k] = region[k] or region[parent[k]]
         links[k] = links[k] or links[parent[k]]
-    chosen = (i for i in range(first, last) if i in single or (region[lines[i][3]] and (high[i] or (weight[i] and not links[lines[i][3]]))))
+    chosen = (i for i in range(first, last) if i in single or (region[lines[i][3]] and (high[i] or (weight[i] == 1 and not links[lines[i][3]]))))
     return "\n".join(lines[i][0] for i in chosen)
 
 

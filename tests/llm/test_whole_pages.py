@@ -79,8 +79,44 @@ def test_all_pages(monkeypatch):
     pages = pq.read_table(PAGES, columns=["html"]).column(0).to_pylist()
     got = [extract_text(x) for x in pages]
     assert got == [written_out(x) for x in pages]
-    monkeypatch.setattr(module, "clusters", lambda smooth: [True] * len(smooth))
-    assert all(extract_text(x) != g for x, g in zip(pages, got, strict=True))  # the clusters choose
+    monkeypatch.setattr(module, "smoothed", lambda ratios, sigma: ratios)
+    monkeypatch.setattr(module, "clusters", lambda smooth: [x > 0 for x in smooth])
+    assert all(extract_text(x) != g for x, g in zip(pages, got, strict=True))  # smoothing and threshold choose the lines
+
+
+def test_ratios_choose_without_an_article_element(monkeypatch):
+    """No class, id or element tells the article from the rest: lines of few characters a tag before and after it go."""
+    page = "<body><div>" + "".join(f"<div><i>a</i> <i>b</i> <i>{k}</i></div>" for k in range(8)) + f"<div><h2>Title</h2><p>{P}</p><p>Short.</p><p>{P}</p></div>" + "".join(f"<div><i>c</i> <i>{k}</i></div>" for k in range(8)) + "</div></body>"
+    lines = extract_text(page).split("\n")
+    assert [x for x in lines if x not in ("a b 7", "c 0")] == ["Title", LONG, "Short.", LONG]  # smoothing may take the next line in
+    monkeypatch.setattr(module, "smoothed", lambda ratios, sigma: ratios)
+    monkeypatch.setattr(module, "clusters", lambda smooth: [x > 0 for x in smooth])
+    assert len(extract_text(page).split("\n")) == 20
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><p>{P}</p><p>Copyright law changed in 1998, and (c) became a mark.</p></article>", f"{LONG}\nCopyright law changed in 1998, and (c) became a mark."),
+        ("<article><p><a href=x>All of this article is one linked sentence.</a></p></article>", "All of this article is one linked sentence."),
+        (f'<article><p>{P}</p><section id="legal"><p>{P}</p></section><section id="social"><h2>Social</h2><p>Yes.</p></section><div class="news-alert-story"><p>{P}</p></div></article>', f"{LONG}\n{LONG}\nSocial\nYes.\n{LONG}"),
+        (f"<article><p>{P}</p><!-- open <p>hidden", LONG),
+        (f"<article><p>{P}</p><script><!-- old </script><p>After.</p></article>", f"{LONG}\nAfter."),
+        (f"<article><p>{P}</p><!-- one --><p>1 < 2 and 3", f"{LONG}\n1 < 2 and 3"),
+        (f'<article><p>{P}</p><p>End <a href="x', f"{LONG}\nEnd"),
+        (f"<div><p>{P}</p></div><div>© 2020 Us</div><div>Copyright 2021 Them</div>", LONG),
+    ],
+)
+def test_no_text_is_lost(page, text):
+    assert extract_text(page) == text
+
+
+@pytest.mark.parametrize("part", ['<a b="', "<!--", "<a b='", "<!", "</", "<?", "<![", "<a "])
+def test_unfinished_markup_takes_linear_time(part):
+    began = time.time()
+    extract_text("<p>text</p>" + part * 40_000)
+    extract_text("<p>text</p>" + part * 10_000 + ">")
+    assert time.time() - began < 10
 
 
 @pytest.mark.parametrize("page", ["<div>x" * 50_000, "<article>" + "<div><p>some text" * 50_000, "<b>" * 50_000 + "</i>" * 50_000 + "<p>a", "<p>" + "<span class=ad>" * 50_000 + "x"])
