@@ -82,15 +82,21 @@ def correspondence(subjects: DataFrame, facts: DataFrame, moves: DataFrame, max_
 
     Both sides have path, kind, name, qualified_name, container, declaration, name_elided (null without fingerprint), facts
     also ordinal; ``moves`` (old_path, new_path) are exact moves. Candidates share the kind and one of path, container,
-    declaration or name-elided digest, or lie at the moved path: five equi joins, never a disjunction. Then the first of:
+    declaration or name-elided digest, or lie at the moved path. All these are keys of one frame, joined once with the first
+    ``max_candidates`` + 1 facts of each key, so a key that many facts and many subjects share is no product: with more facts at a
+    key its subjects have more candidates than that in any case. Then the first of:
     exact; renamed or moved (one automatic target); changed; plausible, for review. Several targets at a step need review;
-    over ``max_candidates`` candidates are indeterminate.
+    over ``max_candidates`` candidates are indeterminate, and are counted as ``max_candidates`` + 1.
     """
-    f = facts.select("kind", *[F.col(c).alias(f"t_{c}") for c in ("path", "ordinal", "name", "qualified_name", "container", "declaration", "name_elided")])
+    target = F.struct(*[F.col(c).alias(f"t_{c}") for c in ("path", "ordinal", "name", "qualified_name", "container", "declaration", "name_elided")])
+    tagged = lambda *pairs: F.explode(F.array(*[F.struct(F.lit(tag).alias("tag"), F.col(c).cast("string").alias("key")) for tag, c in pairs])).alias("_k")
+    own = [(c, c) for c in ("path", "container", "declaration", "name_elided")]
+    f = facts.select("kind", target.alias("t"), tagged(*own)).select("kind", "t", "_k.tag", "_k.key").where(F.col("key").isNotNull())
+    first = Window.partitionBy("kind", "tag", "key").orderBy("t.t_path", "t.t_ordinal")
+    f = f.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max_candidates + 1).groupBy("kind", "tag", "key").agg(F.collect_list("t").alias("targets"))
     s = subjects.join(moves.select(F.col("old_path").alias("path"), F.col("new_path").alias("moved")), "path", "left")
-    keys = [("path", "t_path"), ("container", "t_container"), ("declaration", "t_declaration"), ("name_elided", "t_name_elided"), ("moved", "t_path")]
-    blocks = [s.join(f.withColumn("_k", F.col(b)), (s["kind"] == f["kind"]) & (s[a] == F.col("_k"))).drop("_k").drop(f["kind"]) for a, b in keys]
-    c = reduce(DataFrame.unionByName, blocks).dropDuplicates([*SUBJECT, "t_path", "t_ordinal"])
+    asked = s.select("*", tagged(*own, ("path", "moved"))).select(*s.columns, "_k.tag", "_k.key").where(F.col("key").isNotNull())
+    c = asked.join(f, ["kind", "tag", "key"]).select(*s.columns, F.explode("targets").alias("t")).select(*s.columns, "t.*").dropDuplicates([*SUBJECT, "t_path", "t_ordinal"])
     same_path, same_name = F.col("t_path") == F.col("path"), (F.col("t_name") == F.col("name")) & (F.col("t_qualified_name") == F.col("qualified_name"))
     same_text = F.col("t_declaration") == F.col("declaration")
     exact = same_path & same_name & same_text
@@ -113,7 +119,7 @@ def correspondence(subjects: DataFrame, facts: DataFrame, moves: DataFrame, max_
         .otherwise("changed")
     )
     one = ~F.coalesce(over, F.lit(False)) & (F.col("targets") == 1) & (F.col("first") < 3)
-    return r.select(*SUBJECT, outcome.alias("outcome"), F.when(one, F.col("t.relation")).alias("relation"), F.when(one, F.col("t.t_path")).alias("target_path"), F.when(one, F.col("t.t_ordinal")).alias("target_ordinal"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
+    return r.select(*SUBJECT, outcome.alias("outcome"), F.when(one, F.col("t.relation")).alias("relation"), F.when(one, F.col("t.t_path")).alias("target_path"), F.when(one, F.col("t.t_ordinal")).alias("target_ordinal"), F.least(F.coalesce("candidates", F.lit(0)), F.lit(max_candidates + 1)).cast("long").alias("candidates"))
 
 
 def reject_many_to_one(items: DataFrame) -> DataFrame:

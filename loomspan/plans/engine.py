@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.digests import artifact_digest, frame_digest
 from ..operators import architecture, context, graph, manifests, overlay, retention, search, trace
-from ..operators.shared import released
+from ..operators.shared import released, written
 from ..operators.results import Bounded
 from ..sources import extract, files, scip
+from .analysis_store import AnalysisStore
 from .catalog import Catalog
 from .memory_store import MemoryStore
 
@@ -24,12 +25,14 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.catalog, self.root = spark, Catalog(spark, root), root.rstrip("/")
+        self.analyses = AnalysisStore(spark, f"{self.root}/analyses")
 
     # -- indexing
 
     def index(self, slot: str, root: str, *, packages: list[str] | None = None, max_bytes: int = 8 << 20, max_attempts: int = 3, revision: str | None = None, ref: str | None = None) -> dict:
         """Reads a tree and publishes it: "published", or "unchanged" if its manifest is the active one's. Analyses are keyed by
-        content, so only contents that no earlier generation analysed are parsed; equal files are parsed once. If the source
+        content and kept beside the generations, so only contents that no generation of any slot has analysed are parsed and written; equal
+        files are parsed once. If the source
         changes meanwhile, its manifest or its repository's state, the fence refuses and it starts again. ``revision`` or
         ``ref`` name the commit that must be checked out, before and, by the fence, after. ``omitted``: files over ``max_bytes``,
         which the generation lists in its table omitted."""
@@ -49,7 +52,8 @@ class Engine:
             if old is not None and old.first()["digest"] == digest:
                 return {"outcome": "unchanged", "digest": digest}
             gen = uuid.uuid4().hex
-            counts = self._stage(slot, gen, tree, manifest, omitted, digest)
+            with released():
+                counts = self._stage(slot, gen, tree, manifest, omitted, digest)
 
             def again() -> bool:
                 if local and (files.source_state(root) != state or files.resolve_selector(root, revision=revision, ref=ref) != wanted):  # noqa: B023
@@ -71,8 +75,7 @@ class Engine:
     def _stage(self, slot: str, gen: str, tree: DataFrame, manifest: DataFrame, omitted: DataFrame, digest: str) -> dict:
         self.catalog.stage(slot, gen, {"files": manifest})
         manifest = self.catalog.staged(slot, gen)["files"]
-        known = self.catalog.read(slot, "artifacts")
-        plan = manifests.reuse_plan(manifest, known if known is not None else manifest.limit(0).withColumn("lifecycle_state", F.lit("complete")))
+        plan = written(manifests.reuse_plan(manifest, self.analyses.known().withColumn("lifecycle_state", F.lit("complete"))), "plan")
         todo = manifest.join(plan.where("action = 'analyze'").select("artifact_digest").distinct(), "artifact_digest", "left_semi")
         first = todo.groupBy("artifact_digest").agg(F.min("path").alias("path"))
         source = tree.select("path", "content", "content_digest", "language", "artifact_digest").join(first, ["artifact_digest", "path"], "left_semi")
@@ -82,28 +85,30 @@ class Engine:
         analysed = self.catalog.staged(slot, gen)["analyses"]
         parsed = extract.name_elided_digests(extract.facts(analysed), source)
         new = {
-            "artifact_facts": parsed.join(digest_of, "path").drop("path"),
-            "artifact_sites": extract.sites(analysed).join(digest_of, "path").drop("path"),
-            "artifact_errors": extract.errors(analysed).join(digest_of, "path").select("artifact_digest", F.col("errors").alias("syntax_error_nodes")),
+            "facts": parsed.join(digest_of, "path").drop("path"),
+            "sites": extract.sites(analysed).join(digest_of, "path").drop("path"),
+            "errors": extract.errors(analysed).join(digest_of, "path").select("artifact_digest", F.col("errors").alias("syntax_error_nodes")),
         }
-        live = manifest.select("artifact_digest").distinct()
-        before = {name: self.catalog.read(slot, name) for name in new}
-        done(**{name: df if before[name] is None else before[name].join(live, "artifact_digest", "left_semi").unionByName(df) for name, df in new.items()})
-        t = self.catalog.staged(slot, gen)
-        counts = t["artifact_facts"].groupBy("artifact_digest").agg(F.count("*").alias("fact_count"))
-        markers = t["artifact_sites"].where("site_kind = 'test_marker'").groupBy("artifact_digest").agg(F.count("*").alias("test_marker_emitted"))
+        self.analyses.add(digest_of, new)
+        log, m = self.analyses.log.snapshot(), manifest.select("path", "artifact_digest")
+        one = m.select("artifact_digest").distinct()
+        held = {name: self.analyses.read(name, one, log) for name in new}
+        if held["facts"] is None:  # nothing was ever analysed: the tables are there, and empty
+            held = {name: df.limit(0) for name, df in new.items()}
+            done(facts=held["facts"].join(m, "artifact_digest"), sites=held["sites"].join(m, "artifact_digest"))
+        facts, all_sites = held["facts"].join(m, "artifact_digest"), held["sites"].join(m, "artifact_digest")
+        counts = held["facts"].groupBy("artifact_digest").agg(F.count("*").alias("fact_count"))
+        markers = held["sites"].where("site_kind = 'test_marker'").groupBy("artifact_digest").agg(F.count("*").alias("test_marker_emitted"))
         supported = F.when(F.col("language") == "rust", "supported").otherwise("unsupported")
-        arts = manifest.groupBy("artifact_digest").agg(F.min("content_digest").alias("content_digest"), F.min("language").alias("language")).join(counts, "artifact_digest", "left").join(markers, "artifact_digest", "left").join(t["artifact_errors"], "artifact_digest", "left")
+        arts = manifest.groupBy("artifact_digest").agg(F.min("content_digest").alias("content_digest"), F.min("language").alias("language")).join(counts, "artifact_digest", "left").join(markers, "artifact_digest", "left").join(held["errors"], "artifact_digest", "left")
         arts = arts.fillna(0, ["fact_count", "test_marker_emitted", "syntax_error_nodes"]).withColumns({"lifecycle_state": F.lit("complete"), "test_marker_support": supported})
-        m = manifest.select("path", "artifact_digest")
-        done(artifacts=arts, topology=architecture.topology(manifest), facts=t["artifact_facts"].join(m, "artifact_digest"), sites=t["artifact_sites"].join(m, "artifact_digest"))
-        t = self.catalog.staged(slot, gen)
-        defs = t["facts"].where("language = 'rust'").select(F.lit(slot).alias("slot"), "path", "ordinal", "kind", "name", "qualified_name")
-        sites = t["sites"].where("language = 'rust'").select(F.lit(slot).alias("slot"), "path", F.col("ordinal").alias("site_ordinal"), F.col("site_kind").alias("kind"), "raw_target", "enclosing", "enclosing_kind", "evidence")
+        done(artifacts=arts, topology=architecture.topology(manifest))
+        defs = facts.where("language = 'rust'").select(F.lit(slot).alias("slot"), "path", "ordinal", "kind", "name", "qualified_name")
+        sites = all_sites.where("language = 'rust'").select(F.lit(slot).alias("slot"), "path", F.col("ordinal").alias("site_ordinal"), F.col("site_kind").alias("kind"), "raw_target", "enclosing", "enclosing_kind", "evidence")
         with released():
             res, cand = graph.resolve_sites(defs, sites)
             done(resolutions=res, candidates=cand)
-        done(definitions=defs, postings=search.postings(t["facts"]).orderBy("term"), document_stats=search.document_stats(t["facts"]))
+        done(definitions=defs, postings=search.postings(facts).orderBy("term"), document_stats=search.document_stats(facts))
         t = self.catalog.staged(slot, gen)
         edges, open_ = graph.edges_of(sites, t["resolutions"], t["candidates"], defs)
         edges = edges.join(sites.select(*graph.SITE, F.col("evidence").alias("extraction")), graph.SITE)
@@ -114,8 +119,18 @@ class Engine:
         by = {r["action"]: r["n"] for r in plan.groupBy("action").agg(F.count("*").alias("n")).collect()}
         return {"reused": by.get("reuse", 0), "analyzed": by.get("analyze", 0)}
 
-    @staticmethod
-    def _validate(t: dict[str, DataFrame]) -> DataFrame:
+    def _analysed(self, files: DataFrame, name: str) -> DataFrame | None:
+        """Facts or sites of a list of files, from the analyses that all generations share."""
+        return self.analyses.read(name, files.drop(*[c for c in files.columns if c not in ("slot", "path", "artifact_digest")]))
+
+    def sweep(self, grace_s: float = 86_400) -> dict[str, int]:
+        """Takes analyses out that no generation of any slot lists, unfinished ones included, and deletes the files of
+        those that went at least ``grace_s`` ago."""
+        lists = [t["files"] for s in self.catalog._names("generations") for g in self.catalog._names(f"generations/{s}") if "files" in (t := self.catalog.staged(s, g))]
+        return self.analyses.sweep(lists) | {"deleted": self.analyses.log.vacuum(grace_s)}
+
+    def _validate(self, t: dict[str, DataFrame]) -> DataFrame:
+        t = t if "facts" in t else t | {"facts": self._analysed(t["files"], "facts")}
         return retention.violations(
             paths=retention.repeated_keys(t["files"], ["path"]),
             artifacts=retention.orphans(t["files"], t["artifacts"], ["artifact_digest"]),
@@ -127,6 +142,8 @@ class Engine:
 
     def table(self, slot: str, name: str) -> DataFrame:
         df = self.catalog.read(slot, name)
+        if df is None and name in ("facts", "sites") and (listed := self.catalog.read(slot, "files")) is not None:
+            df = self._analysed(listed, name)
         if df is None:
             raise LookupError(f"{slot}: {name} was not produced")
         return df
@@ -318,6 +335,8 @@ class Engine:
 
     def view(self, view: str, name: str) -> DataFrame:
         df = self.catalog.read_view(view, name)
+        if df is None and name in ("facts", "sites") and (listed := self.catalog.read_view(view, "files")) is not None:
+            df = self._analysed(listed, name)
         if df is None:
             raise LookupError(f"{view} was not published")
         return df
@@ -335,5 +354,5 @@ class Engine:
                 self.catalog.stage(slot, gen, {name: self.table(slot, name)})
         facts = self.table(slot, "facts")
         self.catalog.stage(slot, gen, {"postings": search.postings(facts).orderBy("term"), "document_stats": search.document_stats(facts)})
-        check = lambda t: retention.violations(stats=retention.orphans(t["facts"], t["document_stats"], ["path", "ordinal"]))
+        check = lambda t: retention.violations(stats=retention.orphans(facts, t["document_stats"], ["path", "ordinal"]))
         return self.catalog.publish(slot, gen, validators=check)

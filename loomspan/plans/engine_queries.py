@@ -12,15 +12,17 @@ from pyspark.sql import functions as F
 
 from ..functions.digests import frame_digest
 from ..functions.text import language_of
+from ..operators import ancestry as ancestry_
 from ..operators import architecture as arch
 from ..operators import context, graph, manifests, memory, overlay, retention, search, trace
 from ..operators.results import within_bytes
-from ..operators.shared import scratch
+from ..operators.shared import scratch, written
 from ..sources import extract, files, scip
 from ..sources import memory as records
 from ..sources import yaml_records as yaml
 from ..streaming.reconciliation import Reconciler, Schedule
 from .adapter import EDGES_SQL, VIEWS, frame, table, tree_edges, with_views
+from .analysis_store import AnalysisStore
 from .catalog import Catalog
 from .engine import Engine
 from .memory_store import MemoryStore
@@ -228,6 +230,16 @@ def ancestry(spark, d):
     return trace.ancestry(c.where("parent is not null"), top)
 
 
+@query("""WITH n AS (SELECT count(*) AS n FROM customer) SELECT c_custkey AS descendant, c_custkey * 7919 % n + 1 AS ancestor, CASE WHEN c_custkey % 2 = (c_custkey * 7919 % n + 1) % 2 AND c_custkey * 7919 % n + 1 <= c_custkey THEN 'ancestor' WHEN c_custkey % 2 = 1 THEN 'not_ancestor' ELSE 'indeterminate' END AS ancestry FROM customer, n""")
+def ancestry_of_pairs(spark, d):
+    """Customers as two chains of commits, odd and even keys, the even one without its first commit, which its second names; a pair a customer."""
+    c = table(spark, d, "customer")
+    n = c.count()
+    commits = c.selectExpr("c_custkey AS commit", "IF(c_custkey = 1, NULL, c_custkey - 2) AS parent")
+    pairs = c.selectExpr("c_custkey AS descendant", f"c_custkey * 7919 % {n} + 1 AS ancestor")
+    return ancestry_.ancestry_of_pairs(commits, pairs)
+
+
 @query("SELECT o_custkey AS record_id, o_orderpriority AS revision, min(o_orderkey) AS recorded_at FROM orders GROUP BY 1, 2")
 def history_import(spark, d):
     o = table(spark, d, "orders")
@@ -428,6 +440,26 @@ def code_graph_query(spark, d):
     return spark.createDataFrame(rows, "kind string, rows long")
 
 
+@query("""WITH t AS (SELECT doc_id, sha256(coalesce(text, '')) AS a, sha256(coalesce(text, '') || CASE WHEN doc_id % 97 = 5 THEN '!' ELSE '' END) AS b, strlen(coalesce(text, '')) + CASE WHEN doc_id % 97 = 5 THEN 1 ELSE 0 END AS bytes FROM documents)
+SELECT t.doc_id, bytes, CAST(CASE WHEN t.b IN (SELECT a FROM t) THEN 2 ELSE 1 END AS INTEGER) AS generations FROM t""")
+def shared_analyses(spark, d):
+    """Two generations of all documents, the second with every 97th changed: it writes rows of contents that the first hadn't, and
+    after the sweep no others are left but those that it shares. Returned: its analyses, and how many generations had each."""
+    store = AnalysisStore(spark, scratch(spark, "analyses"))
+    text = lambda new: table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.when((F.col("doc_id") % 97 == 5) & F.lit(new), "!").otherwise("")).alias("t")).withColumn("artifact_digest", F.sha2("t", 256))
+    made = lambda df: df.groupBy("artifact_digest").agg(F.first(F.octet_length("t")).alias("bytes"))
+    old, new = text(False), text(True)
+    store.add(old, {"sizes": made(old)})
+    added, first = store.add(new, {"sizes": made(new)}), store.log.snapshot().folders("sizes")[-1:]
+    if added != spark.read.parquet(*[f"{store.log.root}/{f}" for f in first]).count() or added != new.select("artifact_digest").distinct().join(old, "artifact_digest", "left_anti").count():
+        raise AssertionError("a generation writes what it alone has")
+    by = written(store.references([old, new]).select("artifact_digest", "generations"), "references")
+    store.sweep([new], rewrite=0.0)
+    if not store.known().join(new, "artifact_digest", "left_anti").isEmpty():
+        raise AssertionError("an analysis that no generation lists is left")
+    return store.read("sizes", new.select("doc_id", "artifact_digest")).join(by, "artifact_digest").select("doc_id", "bytes", "generations")
+
+
 # --- memory store
 
 

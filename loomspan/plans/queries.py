@@ -344,7 +344,7 @@ c AS (SELECT record_id, m.name_elided, f.ordinal, f.path = m.path AND f.name = m
  f.path = m.path AND f.container = m.container AND f.name <> m.name AND coalesce(f.name_elided = m.name_elided, false) AS renames, f.declaration = m.declaration AS same
  FROM m JOIN f ON f.kind = m.kind AND (f.path = m.path OR f.container = m.container OR f.declaration = m.declaration OR f.name_elided = m.name_elided OR f.path = m.moved)),
 k AS (SELECT *, CASE WHEN named AND same THEN 0 WHEN renames OR moves THEN 1 WHEN named THEN 2 ELSE 3 END AS step FROM c), g AS (SELECT record_id, count(*) AS candidates, min(step) AS first FROM k GROUP BY 1), t AS (SELECT record_id, count(*) AS targets FROM k JOIN g USING (record_id) WHERE step = first GROUP BY 1)
-SELECT s.record_id, CASE WHEN candidates > 16 THEN 'indeterminate' WHEN first IS NULL THEN CASE WHEN s.name_elided IS NULL THEN 'indeterminate' ELSE 'missing' END WHEN targets > 1 OR first = 3 THEN 'needs_review' WHEN first = 0 THEN 'exact' WHEN first = 1 THEN 'corresponded' ELSE 'changed' END AS outcome, coalesce(candidates, 0) AS candidates FROM s LEFT JOIN g USING (record_id) LEFT JOIN t USING (record_id)""")
+SELECT s.record_id, CASE WHEN candidates > 16 THEN 'indeterminate' WHEN first IS NULL THEN CASE WHEN s.name_elided IS NULL THEN 'indeterminate' ELSE 'missing' END WHEN targets > 1 OR first = 3 THEN 'needs_review' WHEN first = 0 THEN 'exact' WHEN first = 1 THEN 'corresponded' ELSE 'changed' END AS outcome, least(coalesce(candidates, 0), 17) AS candidates FROM s LEFT JOIN g USING (record_id) LEFT JOIN t USING (record_id)""")
 def correspondence(spark, d):
     """Every part with every part as it is now."""
     p = table(spark, d, "part")

@@ -1,6 +1,7 @@
 """One log over several journals: all of a write or nothing, whoever stops or races; and deletion of intermediate tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomspan.operators import shared
 from loomspan.plans import commit_log
@@ -81,9 +82,11 @@ def test_snapshots_and_whole_entries(spark, tmp_path, monkeypatch):
     one = lambda v, t, s: spark.createDataFrame([(v,)], f"{t} {s}")
     for i in range(7):
         log.commit({"a": one(i, "x", "int")} if i % 2 else {"a": one(i, "x", "int"), "b": one(str(i), "y", "string")})
-    assert [len(log.snapshot(v).folders.get("a", ())) for v in range(8)] == list(range(8))
+    assert [log.snapshot(v).length("a") for v in range(8)] == list(range(8))
     assert sorted(r["x"] for r in log.snapshot(4).read("a").collect()) == [0, 1, 2, 3] and sorted(r["y"] for r in log.snapshot().read("b").collect()) == ["0", "2", "4", "6"]
-    assert log.snapshot(0).read("a").count() == 0 and log._entry(6)["all"].keys() == {"a", "b"}
+    assert log.snapshot(0).read("a").count() == 0 and [set(p) for p in log._entry(6)["all"]] == [{"a", "b"}, {"a"}] * 3
+    log.commit({"removed": [log.snapshot().folders("b")[0]]})
+    assert log.snapshot().length("a") == 6 and log.snapshot(7).length("a") == 7
 
 
 def test_intermediate_tables_go(spark):
@@ -95,3 +98,23 @@ def test_intermediate_tables_go(spark):
     assert len(shared._live) == 1 and keep.count() == 3 and shared.release() == 1
     with pytest.raises(Exception, match="exist|No such"):
         keep.count()
+
+
+def test_analyses_are_stored_once_and_swept(spark, tmp_path):
+    from loomspan.plans.analysis_store import AnalysisStore
+
+    store = AnalysisStore(spark, f"file://{tmp_path}/analyses")
+    files = lambda *ds: spark.createDataFrame([(f"p{i}", d) for i, d in enumerate(ds)], "path string, artifact_digest string")
+    rows = lambda df: df.select("artifact_digest").distinct().select("artifact_digest", F.concat(F.lit("fact of "), "artifact_digest").alias("name"))
+    g1, g2, g3 = files("a", "b", "b"), files("a", "c"), files("c")
+    assert store.read("facts", g1) is None and store.known().count() == 0
+    assert [store.add(g, {"facts": rows(g)}) for g in (g1, g2, g3, g1)] == [2, 1, 0, 0]
+    log = store.log.snapshot()
+    assert [spark.read.parquet(f"{store.log.root}/{f}").count() for f in log.folders("facts")] == [2, 1]  # the second wrote its one new digest
+    assert sorted((r["path"], r["name"]) for r in store.read("facts", g1).collect()) == [("p0", "fact of a"), ("p1", "fact of b"), ("p2", "fact of b")]
+    assert {tuple(r) for r in store.references([g1, g2]).collect()} == {("a", 2, 2), ("b", 1, 2), ("c", 1, 1)}
+    assert store.sweep([g1, g2, g3]) == {"dead": 0, "dropped": 0, "rewritten": 0}
+    assert store.sweep([g2, g3]) == {"dead": 1, "dropped": 0, "rewritten": 1} and {r[0] for r in store.known().collect()} == {"a", "c"}
+    assert store.read("facts", g2).count() == 2 and store.read("facts", g1).count() == 1
+    assert store.add(g1, {"facts": rows(g1)}) == 1  # b comes back
+    assert store.sweep([g3])["dead"] == 2 and {r[0] for r in store.known().collect()} == {"c"} and store.sweep([]) == {"dead": 1, "dropped": 1, "rewritten": 0}

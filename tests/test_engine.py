@@ -186,3 +186,26 @@ def test_memory_records(spark, tmp_path):
     commits = spark.createDataFrame([("c1", None, 5), ("c2", "c1", 9)], "commit string, parent string, at_ms long")
     trees = spark.createDataFrame([("c1", "r", "v1"), ("c2", "r", "v1"), ("c2", "r", "v2")], "commit string, record_id string, revision string")
     assert [(r["revision"], r["recorded_at"]) for r in import_history(commits, trees).collect()] == [("v1", 5), ("v2", 9)]
+
+
+def test_analyses_are_shared_by_generations_and_slots(spark, tree, tmp_path):
+    """A changed file writes its own analysis only; another slot of the same tree writes none; the sweep leaves what is listed."""
+    e = Engine(spark, f"file://{tmp_path}/catalog")
+    rows = lambda: [spark.read.parquet(f"{e.analyses.log.root}/{f}").count() for f in e.analyses.log.snapshot().folders("digests")]
+    first = e.index("s", str(tree))
+    (tree / "src" / "more.py").write_text("def fresh():\n    pass\n")
+    assert e.index("s", str(tree))["analyzed"] == 1 and e.index("t", str(tree))["analyzed"] == 0
+    contents = first["analyzed"] - 1  # two files are equal
+    assert rows() == [contents, 1]
+    facts = sorted(map(tuple, e.table("s", "facts").select("path", "ordinal", "name").collect()))
+    assert facts == sorted(map(tuple, e.table("t", "facts").select("path", "ordinal", "name").collect())) and ("src/more.py", 0, "fresh") in [(p, o, n) for p, o, n in facts if n == "fresh"]
+    (tree / "src" / "more.py").unlink()
+    e.index("s", str(tree))
+    assert e.sweep()["dead"] == 0  # the other slot, and generations that are retained, still list it
+    e.index("t", str(tree))
+    for s in "st":
+        for g in e.catalog._names(f"generations/{s}"):
+            if g != e.catalog.pointer(s)["generation"]:
+                e.catalog.drop(s, g)
+    assert e.sweep(0)["dead"] == 1 and rows() == [contents]
+    assert e.table("s", "facts").where("name = 'fresh'").count() == 0 and e.table("s", "facts").count() == len(facts) - 1
