@@ -6,11 +6,12 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms, tokens
 from .results import Bounded, bounded, within_bytes
+from .shared import written
 
 #: Ranking parameters and the columns' weights.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -146,23 +147,75 @@ class CrossSearch:
 MAX_REPOSITORIES = 64
 
 
+def ranked_by_repository(facts: DataFrame, query: str) -> DataFrame:
+    """(repository_id, path, ordinal, kind, name, qualified_name, rank): the hits of ``code_search`` in every repository at once, each ranked
+    by the statistics of its own."""
+    key = ["repository_id", *KEY]
+    phrases = [_tokens_of(t) for t in query_terms(query)]
+    if not all(phrases):
+        return facts.select(*key, *WEIGHTS).withColumn("rank", F.lit(0.0)).limit(0)
+    index, stats = postings(facts, key), document_stats(facts, key)
+    hits = reduce(DataFrame.unionAll, [phrase_hits(index, p, key).withColumn("term_no", F.lit(i)) for i, p in enumerate(phrases)])
+    whole = stats.groupBy("repository_id").agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
+    found = hits.groupBy("repository_id", "term_no").agg(F.count("*").alias("df"))
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
+    terms = found.join(whole, "repository_id").select("repository_id", "term_no", idf.alias("idf"), "mean")
+    tf = F.col("weighted") * (K1 + 1) / (F.col("weighted") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+    scored = hits.join(F.broadcast(terms), ["repository_id", "term_no"]).join(stats, key)  # a row a repository and term: 64 times 8 at most
+    ranked = scored.groupBy(*key).agg(F.count("*").alias("terms"), F.sum(F.col("idf") * tf).alias("score")).where(F.col("terms") == len(phrases))
+    return ranked.join(facts.select(*key, *WEIGHTS), key).select(*key, *WEIGHTS, (-F.col("score")).alias("rank"))
+
+
 def cross_repository_search(facts: DataFrame | dict[str, DataFrame], query: str, limit: int = 20, **kwargs) -> CrossSearch:
     """The search in each repository, then one shared limit over results in id and rank order.
 
-    ``facts`` has a column repository_id, or is a frame by repository. A repository that fails is reported and doesn't hold up the
-    others; over MAX_REPOSITORIES are an error."""
+    ``facts`` has a column repository_id, or is a frame by repository. All repositories are searched by one plan, whose hits are
+    written; the driver gets a count a repository. If one of several frames fails, each is searched by itself: the one that fails is
+    reported and doesn't hold up the others. Over MAX_REPOSITORIES are an error."""
+    if not 1 <= limit <= 100:
+        raise ValueError("1 to 100 results")
     if not isinstance(facts, dict):
         ids = sorted(r[0] for r in facts.select("repository_id").distinct().limit(MAX_REPOSITORIES + 1).collect())
-        facts = {i: facts.where(F.col("repository_id") == i) for i in ids}
-    if len(facts) > MAX_REPOSITORIES:
+        by = {i: facts.where(F.col("repository_id") == i) for i in ids}
+    else:
+        by = facts
+        ids = sorted(by)
+    if len(ids) > MAX_REPOSITORIES:
         raise ValueError(f"over {MAX_REPOSITORIES} repositories")
-    out, receipts, left, spark = None, [], limit, None
+    if not ids:
+        raise ValueError("no repositories")
+    if kwargs:
+        return _one_by_one(by, query, limit, **kwargs)
+    try:
+        if isinstance(facts, dict):
+            facts = reduce(DataFrame.unionByName, [by[i].select(F.lit(i).alias("repository_id"), *KEY, *WEIGHTS) for i in ids])
+        hits = written(ranked_by_repository(facts, query), "hits")
+    except PySparkException:
+        return _one_by_one(by, query, limit)
+    totals = {r["repository_id"]: r["count"] for r in hits.groupBy("repository_id").count().collect()}
+    receipts, left = [], limit
+    for i in ids:
+        total = totals.get(i, 0)
+        n = min(total, left)
+        receipts.append((i, "skipped", None, 0, "the limit is used up") if not left else (i, "empty" if not total else "complete" if n == total else "partial", total, n, None))
+        left -= n
+    receipts = facts.sparkSession.createDataFrame(receipts, RECEIPT)
+    order = Window.partitionBy("repository_id").orderBy("rank", *KEY)
+    best = hits.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit)
+    rows = best.join(F.broadcast(receipts.select("repository_id", "returned")), "repository_id").where(F.col("_n") <= F.col("returned"))
+    return CrossSearch(rows.select(*KEY, *WEIGHTS, "rank", "repository_id").orderBy("repository_id", "rank", *KEY), receipts)
+
+
+RECEIPT = "repository_id string, outcome string, total long, returned long, reason string"
+
+
+def _one_by_one(facts: dict[str, DataFrame], query: str, limit: int, **kwargs) -> CrossSearch:
+    out, receipts, left, spark = None, [], limit, next(iter(facts.values())).sparkSession
     for i in sorted(facts):
         if not left:
             receipts.append((i, "skipped", None, 0, "the limit is used up"))
             continue
         try:
-            spark = facts[i].sparkSession
             found = code_search(facts[i], query, limit, **kwargs)
             total = found.receipt.first()["total"]
             rows = found.rows.limit(left).withColumn("repository_id", F.lit(i))
@@ -173,7 +226,5 @@ def cross_repository_search(facts: DataFrame | dict[str, DataFrame], query: str,
         receipts.append((i, "empty" if not total else "complete" if n == total else "partial", total, n, None))
         out, left = rows if out is None else out.unionByName(rows), left - n
     if out is None:
-        if spark is None:
-            raise ValueError("no repositories")
         out = spark.createDataFrame([], "path string, ordinal long, kind string, name string, qualified_name string, rank double, repository_id string")
-    return CrossSearch(out.orderBy("repository_id", "rank", "path", "ordinal"), spark.createDataFrame(receipts, "repository_id string, outcome string, total long, returned long, reason string"))
+    return CrossSearch(out.orderBy("repository_id", "rank", "path", "ordinal"), spark.createDataFrame(receipts, RECEIPT))
