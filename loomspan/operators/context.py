@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The tiers in their order, the limit of candidates, and the constant of reciprocal ranks.
@@ -75,6 +75,34 @@ def context_pack(candidates: DataFrame, budget: int) -> tuple[list[dict], dict[s
     return items, dict(omitted), used
 
 
+def context_packs(candidates: DataFrame, group: str, budget: int) -> DataFrame:
+    """``context_pack`` for every value of ``group`` at once: (group, items in order, used, not_current, duplicate, over_budget), an item being
+    (identity, provider, rank, units). ``candidates``: group, identity, provider, rank, units and, for memory, state.
+
+    A group's candidates are sorted and folded by higher-order functions in its own row; nothing comes to the driver. A group of
+    over ``MAX_CANDIDATES`` is an error, found by a count with map-side sums before any group is brought together."""
+    g = F.col(group)
+    if (big := candidates.groupBy(g).agg(F.count("*").alias("n")).where(F.col("n") > MAX_CANDIDATES).limit(1).collect()):
+        raise ValueError(f"over {MAX_CANDIDATES} candidates for {big[0][0]}")
+    state = F.coalesce("state", F.lit("current")) if "state" in candidates.columns else F.lit("current")
+    item = "struct<rank:bigint,provider:string,identity:string,units:bigint>"
+    rows = candidates.select(g, F.struct("rank", "provider", F.col("identity").cast("string").alias("identity"), "units").cast(item).alias("c"), ((F.col("provider") == "memory") & (state != "current")).alias("_old"))
+    by = rows.groupBy(g).agg(F.array_sort(F.collect_list(F.when(~F.coalesce("_old", F.lit(False)), F.col("c")))).alias("lane"), F.count_if("_old").alias("not_current"))
+    start = F.expr(f"named_struct('items', cast(array() as array<{item}>), 'used', 0L, 'duplicate', 0L, 'over_budget', 0L)")
+
+    def admit(a: Column, x: Column) -> Column:
+        again = F.exists(a["items"], lambda i: i["identity"] == x["identity"])
+        fits = ~again & (a["used"] + x["units"] <= budget)
+        return F.struct(
+            F.when(fits, F.concat(a["items"], F.array(x))).otherwise(a["items"]).alias("items"),
+            (a["used"] + F.when(fits, x["units"]).otherwise(0)).alias("used"),
+            (a["duplicate"] + again.cast("long")).alias("duplicate"),
+            (a["over_budget"] + (~again & ~fits).cast("long")).alias("over_budget"),
+        )
+
+    return by.select(g, F.aggregate("lane", start, admit).alias("p"), "not_current").select(g, "p.items", "p.used", "not_current", "p.duplicate", "p.over_budget")
+
+
 def fan_in(**providers: DataFrame) -> DataFrame:
     """Candidates of all providers. Graph edges are structural if they import, else references; overlay evidence counts only
     as exactly one, untruncated occurrence; memory only where current."""

@@ -594,3 +594,18 @@ def context_pack(spark, d):
     c = _candidates(spark, d, "provider", provider="IF(event_id % 3 = 0, 'memory', 'source')", state="IF(event_id % 2 = 0, 'current', 'stale')")
     items, _, _ = context.context_pack(c, 500)
     return spark.createDataFrame([(i["identity"], i["provider"], int(i["units"]), k) for k, i in enumerate(items)], "identity string, provider string, units long, position long")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_type AS identity, CASE WHEN event_id % 3 = 0 THEN 'memory' ELSE 'source' END AS provider, CASE WHEN event_id % 2 = 0 THEN 'current' ELSE 'stale' END AS state FROM events), n AS (SELECT user_id, identity, provider, state, count(*) AS n FROM e GROUP BY ALL),
+c AS (SELECT *, n % 40 + 1 AS units, row_number() OVER (PARTITION BY user_id, provider ORDER BY n DESC, identity, state) AS rank FROM n), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rank, provider) AS k FROM c),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS k, 0::BIGINT AS used, []::VARCHAR[] AS seen, '' AS identity, '' AS provider, 0::BIGINT AS units, false AS taken FROM e
+ UNION ALL SELECT user_id, k, used + CASE WHEN fits THEN units ELSE 0 END, CASE WHEN fits THEN list_append(seen, identity) ELSE seen END, identity, provider, units, fits
+ FROM (SELECT o.user_id, o.k, f.used, f.seen, o.identity, o.provider, o.units, (o.provider <> 'memory' OR o.state = 'current') AND NOT list_contains(f.seen, o.identity) AND f.used + o.units <= 12 AS fits FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1))
+SELECT user_id, identity, provider, units, row_number() OVER (PARTITION BY user_id ORDER BY k) - 1 AS position FROM f WHERE taken""")
+def context_packs(spark, d):
+    """A pack for each user, of what all events say about them."""
+    e = table(spark, d, "events").selectExpr("user_id", "event_type AS identity", "IF(event_id % 3 = 0, 'memory', 'source') AS provider", "IF(event_id % 2 = 0, 'current', 'stale') AS state")
+    n = e.groupBy(*e.columns).agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("user_id", "provider").orderBy(F.desc("n"), "identity", "state"))
+    packs = context.context_packs(n.select("user_id", "identity", "provider", "state", (F.col("n") % 40 + 1).alias("units"), rank.alias("rank")), "user_id", 12)
+    return packs.select("user_id", F.posexplode("items").alias("position", "i")).select("user_id", "i.identity", "i.provider", "i.units", F.col("position").cast("long").alias("position"))
