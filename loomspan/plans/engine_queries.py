@@ -21,12 +21,13 @@ from ..sources import extract, files, scip
 from ..sources import memory as records
 from ..sources import yaml_records as yaml
 from ..streaming.reconciliation import Reconciler, Schedule
+from . import merkle
 from .adapter import EDGES_SQL, VIEWS, frame, table, tree_edges, with_views
 from .analysis_store import AnalysisStore
 from .catalog import Catalog
 from .engine import Engine
 from .memory_store import MemoryStore
-from .queries import _SEARCH, ORACLES, WORD, query
+from .queries import _DIFF, _SEARCH, ORACLES, WORD, _manifests, query
 
 
 def sql(spark, d, text, *tables):
@@ -440,6 +441,15 @@ def code_graph_query(spark, d):
     return spark.createDataFrame(rows, "kind string, rows long")
 
 
+@query(f"{_DIFF} SELECT path, change, before_digest, after_digest FROM j WHERE change <> 'unchanged'")
+def merkle_differences(spark, d):
+    """The manifests of all orders, before and after, as stored trees."""
+    before, after = (scratch(spark, n) for n in ("before", "after"))
+    for manifest, folder in zip(_manifests(spark, d), (before, after), strict=True):
+        merkle.store(manifest, folder, leaf=256)
+    return merkle.differences(spark, before, after)[0]
+
+
 @query("""WITH t AS (SELECT doc_id, sha256(coalesce(text, '')) AS a, sha256(coalesce(text, '') || CASE WHEN doc_id % 97 = 5 THEN '!' ELSE '' END) AS b, strlen(coalesce(text, '')) + CASE WHEN doc_id % 97 = 5 THEN 1 ELSE 0 END AS bytes FROM documents)
 SELECT t.doc_id, bytes, CAST(CASE WHEN t.b IN (SELECT a FROM t) THEN 2 ELSE 1 END AS INTEGER) AS generations FROM t""")
 def shared_analyses(spark, d):
