@@ -50,17 +50,18 @@ def _targets(definitions: DataFrame, most: int) -> DataFrame:
     return written(d.groupBy("tag", "key", "place", "called").agg(F.array_sort(F.collect_list("t")).alias("targets")), "targets")
 
 
-def resolve_sites(definitions: DataFrame, sites: DataFrame, max_candidates: int = MAX_CANDIDATES) -> tuple[DataFrame, DataFrame]:
-    """Resolves graph sites: (resolutions, candidates).
+def _own() -> Column:
+    return F.concat(F.lit("="), F.col("slot").cast("string"))
 
-    ``definitions``: slot, path, ordinal, kind, name, qualified_name. ``sites``: slot, path, site_ordinal, kind (import,
-    reference, call, macro_call, test_marker), raw_target, enclosing (qualified name or null), enclosing_kind.
-    Macro and test sites are unsupported. An import matches by qualified name. A call with a dot, bracket or leading ``<``
-    is dynamic; otherwise only functions are eligible, and if none is found but a method has exactly the name, it is dynamic too.
-    A qualified path matches exactly, in its own slot after ``crate::``. A bare name takes the innermost enclosing scope
-    that has it, else the top level, plus imports of that alias in the same file and module; only if all that finds none,
-    definitions of that name in any slot. All tiers are keys of one frame, which is joined once with the targets by key.
-    """
+
+def _place(same: Column) -> Column:
+    """Where a name is looked up: in the site's own slot or in any."""
+    return F.when(same, _own()).otherwise(F.lit("*"))
+
+
+def prepared(definitions: DataFrame, sites: DataFrame) -> DataFrame:
+    """Sites with their module, parsed target and, where no definition can matter, the reason (``early``). Of the definitions only the
+    modules of the sites' files matter. Written, so that the parsing isn't repeated by all that refers to it."""
     raw = F.col("raw_target")
     s = _module_scope(sites, definitions)
     call, imp = F.col("kind") == "call", F.col("kind") == "import"
@@ -73,10 +74,14 @@ def resolve_sites(definitions: DataFrame, sites: DataFrame, max_candidates: int
         .when(F.col("dynamic"), "dynamic_or_method_call")
         .when(~imp & F.col("named").isNull(), "unsupported_qualified_syntax")
     )
-    s = written(s.withColumn("early", early), "sites")
+    return written(s.withColumn("early", early), "sites")
+
+
+def _evidence_keys(s: DataFrame) -> DataFrame:
+    """(site, called, tier, depth, tag, key, place): every key that may resolve a prepared site, those through its file's imports too."""
     live = s.where(F.col("early").isNull())
-    own = F.concat(F.lit("="), F.col("slot").cast("string"))
-    place = lambda same: F.when(same, own).otherwise(F.lit("*"))
+    call, imp = F.col("kind") == "call", F.col("kind") == "import"
+    own, place = _own(), _place
     key = lambda tier, depth, tag, k, p: F.struct(F.lit(tier).alias("tier"), depth.cast("int").alias("depth"), F.lit(tag).alias("tag"), k.alias("key"), p.alias("place"))
     bare, path, none = F.col("named.bare"), F.col("named.path"), F.lit(0)
     scopes = _scopes(F.col("enclosing"))
@@ -89,7 +94,40 @@ def resolve_sites(definitions: DataFrame, sites: DataFrame, max_candidates: int
     keys = live.select(*SITE, call.alias("called"), F.explode(tiers).alias("k")).select(*SITE, "called", "k.*")
     bound = live.where(imp).select(F.col("slot").alias("b_slot"), F.col("path").alias("b_path"), F.col("module").alias("b_module"), F.col("imported.alias").alias("alias"), F.col("imported.target").alias("key"), place(F.col("imported.same_slot")).alias("place")).distinct()
     through = live.where(~imp & bare).join(bound, (F.col("slot") == F.col("b_slot")) & (F.col("path") == F.col("b_path")) & (path == F.col("alias")) & F.col("module").eqNullSafe(F.col("b_module")))
-    keys = keys.unionAll(through.select(*SITE, call.alias("called"), F.lit("import_syntax").alias("tier"), none.alias("depth"), F.lit("q").alias("tag"), "key", "place"))
+    return keys.unionAll(through.select(*SITE, call.alias("called"), F.lit("import_syntax").alias("tier"), none.alias("depth"), F.lit("q").alias("tag"), "key", "place"))
+
+
+def _asked(call: Column) -> Column:
+    """The key by which a call would find a method."""
+    tag = F.when(F.col("named.bare"), F.lit("n")).otherwise(F.lit("q"))
+    return F.when(call & F.col("early").isNull(), F.struct(tag.alias("tag"), F.col("named.path").alias("key"), _place(F.col("named.same_slot")).alias("place")))
+
+
+def site_keys(s: DataFrame) -> DataFrame:
+    """(slot, path, site_ordinal, tag, key): all names that a prepared site's resolution depends on, by qualified name (q) or name (n), found
+    or not. They follow from the site's own file, so they hold for as long as that file does."""
+    a = s.select(*SITE, _asked(F.col("kind") == "call").alias("a")).where(F.col("a").isNotNull())
+    return _evidence_keys(s).select(*SITE, "tag", "key").unionAll(a.select(*SITE, "a.tag", "a.key")).where(F.col("key").isNotNull()).distinct()
+
+
+def resolve_sites(definitions: DataFrame, sites: DataFrame, max_candidates: int = MAX_CANDIDATES) -> tuple[DataFrame, DataFrame]:
+    """Resolves graph sites: (resolutions, candidates).
+
+    ``definitions``: slot, path, ordinal, kind, name, qualified_name. ``sites``: slot, path, site_ordinal, kind (import,
+    reference, call, macro_call, test_marker), raw_target, enclosing (qualified name or null), enclosing_kind.
+    Macro and test sites are unsupported. An import matches by qualified name. A call with a dot, bracket or leading ``<``
+    is dynamic; otherwise only functions are eligible, and if none is found but a method has exactly the name, it is dynamic too.
+    A qualified path matches exactly, in its own slot after ``crate::``. A bare name takes the innermost enclosing scope
+    that has it, else the top level, plus imports of that alias in the same file and module; only if all that finds none,
+    definitions of that name in any slot. All tiers are keys of one frame, which is joined once with the targets by key.
+    """
+    return resolve_prepared(definitions, prepared(definitions, sites), max_candidates)
+
+
+def resolve_prepared(definitions: DataFrame, s: DataFrame, max_candidates: int = MAX_CANDIDATES) -> tuple[DataFrame, DataFrame]:
+    """``resolve_sites`` of sites that are ``prepared``."""
+    call = F.col("kind") == "call"
+    keys = _evidence_keys(s)
     found = keys.join(_targets(definitions, max_candidates), ["tag", "key", "place", "called"])
     of = lambda *names: F.col("tier").isin(*names)
     near = F.min_by(F.when(of("lexical_syntax"), F.col("targets")), F.when(of("lexical_syntax"), F.col("depth"))).alias("near")
@@ -106,8 +144,7 @@ def resolve_sites(definitions: DataFrame, sites: DataFrame, max_candidates: int
     slot = F.concat(F.lit("="), F.col("slot").cast("string"))
     method = F.array(F.struct(F.lit("n").alias("m_tag"), F.col("name").alias("m_key")), F.struct(F.lit("q").alias("m_tag"), F.col("qualified_name").alias("m_key")))
     methods = definitions.where(F.col("kind") == "method").select(F.explode(method).alias("m"), slot.alias("slot")).select("m.*", F.explode(F.array(F.col("slot"), F.lit("*"))).alias("m_place")).distinct().withColumn("has_method", F.lit(True))
-    asked = F.when(call & F.col("early").isNull(), F.struct(F.when(bare, F.lit("n")).otherwise(F.lit("q")).alias("tag"), path.alias("key"), place(F.col("named.same_slot")).alias("place")))
-    res = s.withColumn("_a", asked).join(n, SITE, "left").join(methods, (F.col("_a.tag") == F.col("m_tag")) & (F.col("_a.key") == F.col("m_key")) & (F.col("_a.place") == F.col("m_place")), "left")
+    res = s.withColumn("_a", _asked(call)).join(n, SITE, "left").join(methods, (F.col("_a.tag") == F.col("m_tag")) & (F.col("_a.key") == F.col("m_key")) & (F.col("_a.place") == F.col("m_place")), "left")
     count = F.coalesce("candidate_count", F.lit(0))
     reason = F.coalesce("early", F.when(F.col("has_method") & call, "dynamic_or_method_call").otherwise("no_candidate"))
     res = res.select(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.digests import artifact_digest, frame_digest
-from ..operators import architecture, context, graph, manifests, overlay, retention, search, trace
+from ..operators import architecture, context, graph, graph_delta, manifests, overlay, retention, search, trace
 from ..operators.shared import released, written
 from ..operators.results import Bounded
 from ..sources import extract, files, scip
@@ -53,7 +53,7 @@ class Engine:
                 return {"outcome": "unchanged", "digest": digest}
             gen = uuid.uuid4().hex
             with released():
-                counts = self._stage(slot, gen, tree, manifest, omitted, digest)
+                counts = self._stage(slot, gen, tree, manifest, omitted, digest, now)
 
             def again() -> bool:
                 if local and (files.source_state(root) != state or files.resolve_selector(root, revision=revision, ref=ref) != wanted):  # noqa: B023
@@ -72,7 +72,7 @@ class Engine:
         found, out = frame_digest(manifest).first()["digest"], frame_digest(omitted).first()
         return found if not out["rows"] else hashlib.sha256((found + out["digest"]).encode()).hexdigest()
 
-    def _stage(self, slot: str, gen: str, tree: DataFrame, manifest: DataFrame, omitted: DataFrame, digest: str) -> dict:
+    def _stage(self, slot: str, gen: str, tree: DataFrame, manifest: DataFrame, omitted: DataFrame, digest: str, base: dict | None) -> dict:
         self.catalog.stage(slot, gen, {"files": manifest})
         manifest = self.catalog.staged(slot, gen)["files"]
         plan = written(manifests.reuse_plan(manifest, self.analyses.known().withColumn("lifecycle_state", F.lit("complete"))), "plan")
@@ -106,8 +106,8 @@ class Engine:
         defs = facts.where("language = 'rust'").select(F.lit(slot).alias("slot"), "path", "ordinal", "kind", "name", "qualified_name")
         sites = all_sites.where("language = 'rust'").select(F.lit(slot).alias("slot"), "path", F.col("ordinal").alias("site_ordinal"), F.col("site_kind").alias("kind"), "raw_target", "enclosing", "enclosing_kind", "evidence")
         with released():
-            res, cand = graph.resolve_sites(defs, sites)
-            done(resolutions=res, candidates=cand)
+            res, cand, keys = self._resolve(slot, base, manifest, defs, sites)
+            done(resolutions=res, candidates=cand, site_keys=keys)
         done(definitions=defs, postings=search.postings(facts).orderBy("term"), document_stats=search.document_stats(facts))
         t = self.catalog.staged(slot, gen)
         edges, open_ = graph.edges_of(sites, t["resolutions"], t["candidates"], defs)
@@ -119,6 +119,16 @@ class Engine:
         by = {r["action"]: r["n"] for r in plan.groupBy("action").agg(F.count("*").alias("n")).collect()}
         return {"reused": by.get("reuse", 0), "analyzed": by.get("analyze", 0)}
 
+    def _resolve(self, slot: str, base: dict | None, manifest: DataFrame, defs: DataFrame, sites: DataFrame) -> graph_delta.Graph:
+        """The graph, from that of the generation ``base`` where it has one: then only what depends on files that differ is resolved."""
+        old = self.catalog.staged(slot, base["generation"]) if base else {}
+        if not {"files", "definitions", "resolutions", "candidates", "site_keys"} <= old.keys():
+            return graph_delta.resolve_all(defs, sites)
+        a, b = (df.select("path", "artifact_digest") for df in (old["files"], manifest))
+        differ = a.exceptAll(b).unionAll(b.exceptAll(a)).select(F.lit(slot).alias("slot"), "path")
+        previous = graph_delta.Graph(old["resolutions"], old["candidates"], old["site_keys"])
+        return graph_delta.resolve_changes(previous, old["definitions"], defs, sites, differ).graph
+
     def _analysed(self, files: DataFrame, name: str) -> DataFrame | None:
         """Facts or sites of a list of files, from the analyses that all generations share."""
         return self.analyses.read(name, files.drop(*[c for c in files.columns if c not in ("slot", "path", "artifact_digest")]))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import decode_path, encode_path, in_packages
 from ..operators import architecture as arch
-from ..operators import context, graph, manifests, memory, overlay, retention, search, trace
+from ..operators import context, graph, graph_delta, manifests, memory, overlay, retention, search, trace
+from ..operators.shared import written
 from .adapter import EDGES_SQL, frame, table, tree_edges, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -449,11 +450,15 @@ res AS MATERIALIZED (SELECT s.*, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN '
 cand AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_ordinal ORDER BY ts, tp, t) AS k FROM found) WHERE k <= 64)"""
 
 
-def _resolved(spark, d):
+def _definitions_and_sites(spark, d):
     for t in ("part", "customer"):
         table(spark, d, t).createOrReplaceTempView(f"loomspan_{t}")
     fix = lambda s: s.replace("VARCHAR", "STRING").replace("FROM part", "FROM loomspan_part").replace("FROM customer JOIN part", "FROM loomspan_customer JOIN loomspan_part").replace("c_custkey // 17", "c_custkey DIV 17")
-    defs, sites = spark.sql(fix(_DEFS)), spark.sql(fix(_SITES))
+    return spark.sql(fix(_DEFS)), spark.sql(fix(_SITES))
+
+
+def _resolved(spark, d):
+    defs, sites = _definitions_and_sites(spark, d)
     return (defs, sites, *graph.resolve_sites(defs, sites))
 
 
@@ -463,6 +468,22 @@ def graph_resolution(spark, d):
     return _resolved(spark, d)[2].select("site_ordinal", "outcome", "unresolved_reason", F.col("candidate_count").cast("long").alias("candidate_count"))
 
 
+@query(f"{_RESOLVED} SELECT site_ordinal, outcome, unresolved_reason, CAST(least(n, 64) AS BIGINT) AS candidate_count, coalesce(targets, 0) AS targets FROM res LEFT JOIN (SELECT site_ordinal, CAST(sum(t) AS BIGINT) AS targets FROM cand GROUP BY 1) USING (site_ordinal)")
+def graph_increment(spark, d):
+    """All definitions and sites, resolved once as they were before an edit of one file a brand, in which every name was another and
+    every site an import, then brought up to date from those files."""
+    defs, sites = _definitions_and_sites(spark, d)
+    edited = F.col("path").endswith("/2")
+    was = lambda c: F.when(edited & (F.col("kind") != "module"), F.concat(F.lit("old_"), F.col(c))).otherwise(F.col(c)).alias(c)
+    before = defs.select("slot", "path", "ordinal", "kind", was("name"), was("qualified_name"))
+    then = sites.withColumn("kind", F.when(edited, "import").otherwise(F.col("kind")))
+    previous = graph_delta.Graph(*[written(t, "previous") for t in graph_delta.resolve_all(before, then)])
+    files = defs.unionByName(sites, allowMissingColumns=True).where(edited).select("slot", "path")
+    res, cand, _ = graph_delta.resolve_changes(previous, before, defs, sites, files).graph
+    targets = cand.groupBy(*graph.SITE).agg(F.sum("target_ordinal").cast("long").alias("targets"))
+    return res.join(targets, graph.SITE, "left").select("site_ordinal", "outcome", "unresolved_reason", F.col("candidate_count").cast("long").alias("candidate_count"), F.coalesce("targets", F.lit(0)).alias("targets"))
+
+
 @query(f"{_RESOLVED} SELECT evidence, count(*) AS candidates, count(DISTINCT site_ordinal) AS sites FROM cand GROUP BY 1")
 def graph_candidates(spark, d):
     return _resolved(spark, d)[3].groupBy("evidence").agg(F.count("*").alias("candidates"), F.countDistinct("site_ordinal").alias("sites"))
