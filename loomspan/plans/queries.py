@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import decode_path, encode_path, in_packages
 from ..operators import architecture as arch
 from ..operators import context, graph, graph_delta, manifests, memory, overlay, retention, search, trace
+from ..operators.block_search import block_index, top_hits
 from ..operators.shared import written
 from .adapter import EDGES_SQL, frame, table, tree_edges, with_views
 
@@ -112,6 +113,23 @@ def code_search(spark, d):
     return search.code_search(frame(spark, d, "facts"), "function Bolt").rows.select("path", "ordinal", F.round("rank", 6).alias("rank"))
 
 
+@query(_SEARCH(WORD.format("method"), WORD.format("bolt"), 2))
+def code_search_blocks(spark, d):
+    """The ranks of code_search, from postings in blocks with their best scores."""
+    return top_hits(block_index(frame(spark, d, "facts")), "method bolt").rows.select("path", "ordinal", F.round("rank", 6).alias("rank"))
+
+
+@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS ws FROM documents),
+s AS (SELECT doc_id, len(ws) AS size, len(list_filter(ws, lambda x: x = 'the')) AS a, len(list_filter(ws, lambda x: x = 'from')) AS b FROM t),
+whole AS (SELECT count(*) AS n, avg(size) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM s),
+p AS (SELECT doc_id, greatest(ln((n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * size / mean)) + greatest(ln((n - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * size / mean)) AS score FROM s, whole WHERE a > 0 AND b > 0)
+SELECT doc_id, round(-score, 6) AS rank FROM p ORDER BY -score, doc_id LIMIT 50""")
+def document_search_blocks(spark, d):
+    """The whole texts of all documents, by a frequent and a less frequent word."""
+    index = block_index(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], {"text": 1.0})
+    return top_hits(index, "the from", 50, ["doc_id"]).rows.select("doc_id", F.round("rank", 6).alias("rank"))
+
+
 @query(_SEARCH(PHRASE.format("small", "ring"), "0", 1))
 def code_search_phrase(spark, d):
     return search.code_search(frame(spark, d, "facts"), "small.ring").rows.select("path", "ordinal", F.round("rank", 6).alias("rank"))
