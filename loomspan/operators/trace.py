@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +31,10 @@ class Limits:
     frontier: int = 100_000
 
 
+#: For traces that must be whole, whatever their size.
+WHOLE = Limits(results=1 << 40, nodes=1 << 40, edges=1 << 40, frontier=1 << 40)
+
+
 def graph_trace(edges: DataFrame, start: list, direction: str = "outbound", kinds: list[str] | None = None, limits: Limits = Limits()) -> Trace:
     """Level by level from ``start``: ``edges`` has source, target, site and the columns of ORDER (missing ones are constant).
 
@@ -122,5 +126,5 @@ def impact_analyze(edges: DataFrame, start: object, limits: Limits = Limits(), k
 
 def ancestry(commits: DataFrame, descendant: object, max_rounds: int = 10_000) -> DataFrame:
     """All ancestors of a commit, itself included, over (commit, parent) rows."""
-    t = graph_trace(commits.select(F.col("commit").alias("source"), F.col("parent").alias("target"), F.lit("").alias("site")), [descendant], "outbound", None, Limits(depth=max_rounds, results=1 << 40, nodes=1 << 40, edges=1 << 40, frontier=1 << 40))
+    t = graph_trace(commits.select(F.col("commit").alias("source"), F.col("parent").alias("target"), F.lit("").alias("site")), [descendant], "outbound", None, replace(WHOLE, depth=max_rounds))
     return t.nodes.select(F.col("node").alias("ancestor"))
