@@ -63,12 +63,12 @@ def scip_symbol_resolve(occurrences: DataFrame, path: str, start: int, end: int)
 
 def scip_relationship_trace(relationships: DataFrame, symbol: str, depth: int = 2, max_edges: int = 100, max_nodes: int = 256, max_bytes: int | None = None) -> tuple[Trace, str, int]:
     """(trace, availability, frontier): breadth-first over relationships from a symbol; within a level in order of document,
-    ordinal, evidence. ``max_bytes`` cuts the edges where their symbols' bytes exceed it (flag bytes). frontier counts
+    ordinal, evidence, which decides what ``max_edges`` cuts: a level is looked at whole. ``max_bytes`` cuts the edges where their symbols' bytes exceed it (flag bytes). frontier counts
     symbols that were reached but not expanded though they have relationships."""
     if not 1 <= depth <= 4 or not 1 <= max_edges <= 256:
         raise ValueError("depth up to 4, edges up to 256")
     e = relationships.select(F.col("source_symbol").alias("source"), F.col("target_symbol").alias("target"), F.format_string("%012d:%012d", "document_ordinal", "relationship_ordinal").alias("edge_kind"), F.col("evidence").alias("resolution_evidence"), F.lit("").alias("site"))
-    t = graph_trace(e, [symbol], "outbound", None, Limits(depth=depth, results=max_edges, nodes=max_nodes, edges=10 * max_edges, frontier=max_nodes))
+    t = graph_trace(e, [symbol], "outbound", None, Limits(depth=depth, results=max_edges, nodes=max_nodes, edges=1 << 40, frontier=max_nodes))
     found = t.edges.count()  # at most max_edges
     if max_bytes is not None:
         order = ["depth", "edge_kind", "resolution_evidence", "source", "target"]

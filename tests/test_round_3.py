@@ -34,3 +34,7 @@ def same_as_sql(spark, d, name):
 
 def test_trace_over_its_limits(spark, wide_tree):
     same_as_sql(spark, wide_tree, "graph_trace")
+
+
+def test_relationship_trace_with_wide_levels(spark, wide_tree):
+    same_as_sql(spark, wide_tree, "scip_relationship_trace")
