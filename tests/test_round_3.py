@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from loomspan.operators import overlay
+from loomspan.operators import graph, overlay
 from loomspan.plans import engine_queries  # noqa: F401  adds its queries
 from loomspan.plans.queries import ORACLES, QUERIES
 
@@ -38,3 +38,18 @@ def test_trace_over_its_limits(spark, wide_tree):
 
 def test_relationship_trace_with_wide_levels(spark, wide_tree):
     same_as_sql(spark, wide_tree, "scip_relationship_trace")
+
+
+def test_sites_of_the_same_keys_share_their_merged_targets(spark):
+    """A thousand sites through sixty imports of one alias: the targets are merged once, not once a site."""
+    d = spark.createDataFrame([("s", f"d{i % 7}", i, "function", f"n{i % 60}", f"m::n{i % 60}") for i in range(600)], "slot string, path string, ordinal int, kind string, name string, qualified_name string")
+    bind = [("s", "f", i, "import", f"m::n{i} as a", None, None) for i in range(60)]
+    s = spark.createDataFrame([*bind, *[("s", "f", 100 + i, "call", "a", None, None) for i in range(1000)]], "slot string, path string, site_ordinal int, kind string, raw_target string, enclosing string, enclosing_kind string")
+    lists = graph._targets(d, 64)
+    chosen = graph._chosen(graph._evidence_keys(graph.prepared(d, s)), lists)
+    assert chosen.count() == 1060 and graph._merged(chosen, lists).count() == 61
+    res, cand = graph.resolve_sites(d, s)
+    assert {tuple(r) for r in res.where("kind = 'call'").select("outcome", "candidate_count", "candidates_truncated").collect()} == {("ambiguous", 64, True)}
+    first = sorted(("s", f"d{i % 7}", i) for i in range(600))[:64]
+    got = cand.where("site_ordinal = 700").orderBy("candidate_ordinal").select("target_slot", "target_path", "target_ordinal", "evidence").collect()
+    assert [tuple(r) for r in got] == [(*t, "import_syntax") for t in first]
