@@ -53,3 +53,11 @@ def test_sites_of_the_same_keys_share_their_merged_targets(spark):
     first = sorted(("s", f"d{i % 7}", i) for i in range(600))[:64]
     got = cand.where("site_ordinal = 700").orderBy("candidate_ordinal").select("target_slot", "target_path", "target_ordinal", "evidence").collect()
     assert [tuple(r) for r in got] == [(*t, "import_syntax") for t in first]
+
+
+def test_parts_are_parsed_by_all_cores(spark, tmp_path):
+    """A table of one small file, which its bytes would make one task."""
+    duckdb.sql(f"COPY (SELECT range AS p_partkey, 'a b' AS p_name FROM range(50)) TO '{tmp_path}/part.parquet'")
+    for name in ("rust_facts", "typescript_sites"):
+        got = QUERIES[name](spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
