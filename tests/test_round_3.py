@@ -6,6 +6,7 @@ import pytest
 from loomspan.operators import graph, overlay
 from loomspan.plans import engine_queries  # noqa: F401  adds its queries
 from loomspan.plans.queries import ORACLES, QUERIES
+from loomspan.sources import scip
 
 
 @pytest.fixture(scope="module")
@@ -61,3 +62,14 @@ def test_parts_are_parsed_by_all_cores(spark, tmp_path):
     for name in ("rust_facts", "typescript_sites"):
         got = QUERIES[name](spark, str(tmp_path))
         assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_spans_of_many_documents_take_few_calls(spark):
+    """Documents with, without and with twice their content, and one without a path; no group of its own for each."""
+    rows = [(f"d{i}", i, k, "s", 1, [0, 0, k], 1) for i in range(300) for k in range(2)] + [(None, 1, 0, None, 1, [0, 0, 1], 1)]
+    held = [(f"d{i}", b"ab") for i in range(299)] + [("d7", b"ab"), (None, b"x")]
+    got = scip.with_spans(spark.createDataFrame(rows, scip.OCCURRENCES), spark.createDataFrame(held, "path string, content binary"))
+    assert "CoGroup" not in got._jdf.queryExecution().toString()
+    out = {(r["path"], r["occurrence_ordinal"]): (r["start"], r["end"], r["problem"]) for r in got.collect()}
+    assert len(out) == 601 and out["d3", 1] == (0, 1, None) and out[None, 0] == (0, 1, None)
+    assert all(out[d, 0] == (None, None, "no content of the document") for d in ("d7", "d299"))
