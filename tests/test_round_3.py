@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from loomspan.operators import graph, overlay
+from loomspan.operators import graph, memory, overlay, shared
 from loomspan.plans import engine_queries  # noqa: F401  adds its queries
 from loomspan.plans.queries import ORACLES, QUERIES
 from loomspan.sources import scip
@@ -73,3 +73,18 @@ def test_spans_of_many_documents_take_few_calls(spark):
     out = {(r["path"], r["occurrence_ordinal"]): (r["start"], r["end"], r["problem"]) for r in got.collect()}
     assert len(out) == 601 and out["d3", 1] == (0, 1, None) and out[None, 0] == (0, 1, None)
     assert all(out[d, 0] == (None, None, "no content of the document") for d in ("d7", "d299"))
+
+
+def test_subjects_of_full_keys_meet_no_target(spark):
+    """Forty subjects and facts of one container: each has too many candidates by that key alone."""
+    side = "path string, kind string, name string, qualified_name string, container string, declaration string, name_elided string"
+    row = lambda i, box: (f"p{i}", "k", f"n{i}", f"q{i}", box, f"d{i}", f"e{i}")
+    every = [row(i, "box") for i in range(40)] + [row(99, "alone")]
+    subjects = spark.createDataFrame([(i, 0, *r) for i, r in enumerate(every)], f"record_id int, evidence_ordinal int, {side}")
+    facts = spark.createDataFrame([(i, *r) for i, r in enumerate(every)], f"ordinal int, {side}")
+    before = set(shared._live)
+    out = {r["record_id"]: tuple(r)[2:] for r in memory.correspondence(subjects, facts, spark.createDataFrame([], "old_path string, new_path string")).collect()}
+    assert out.pop(40) == ("exact", "exact", "p99", 40, 1)
+    assert set(out.values()) == {("indeterminate", None, None, None, 17)} and len(out) == 40
+    many = [p for p in set(shared._live) - before if "/many-" in p]
+    assert spark.read.parquet(*many).count() == 40
