@@ -20,7 +20,7 @@ def jump_tables(edges: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     levels = [written(first, "jumps")]
     while True:
         now = levels[-1]
-        far = now.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"))
+        far = now.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more")).hint("merge")
         after = written(now.join(far, "at").select("node", F.col("next").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), F.col("more")), "jumps")
         if not after.agg(F.max("more")).first()[0]:
             return levels, now.select("node", F.col("at").alias("tail"), F.col("steps").alias("dist"))
@@ -31,7 +31,7 @@ def lifted(rows: DataFrame, levels: list[DataFrame], start: str, steps: str) ->
     """``rows`` with ``at``: the node ``steps`` single parents above ``start``, by the bits of that number."""
     out = rows.withColumn("at", F.col(start))
     for k, level in enumerate(levels):
-        jump = level.select(F.col("node").alias("at"), F.col("at").alias("_to"))
+        jump = level.select(F.col("node").alias("at"), F.col("at").alias("_to")).hint("merge")  # a broadcast a level would send them all to the driver
         out = out.join(jump, "at", "left").withColumn("at", F.when(F.col(steps).bitwiseAND(1 << k) != 0, F.col("_to")).otherwise(F.col("at"))).drop("_to")
     return out
 

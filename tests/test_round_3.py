@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from loomspan.operators import graph, memory, overlay, shared
+from loomspan.operators import ancestry, graph, memory, overlay, shared
 from loomspan.plans import engine_queries  # noqa: F401  adds its queries
 from loomspan.plans.queries import ORACLES, QUERIES
 from loomspan.sources import scip
@@ -88,3 +88,10 @@ def test_subjects_of_full_keys_meet_no_target(spark):
     assert set(out.values()) == {("indeterminate", None, None, None, 17)} and len(out) == 40
     many = [p for p in set(shared._live) - before if "/many-" in p]
     assert spark.read.parquet(*many).count() == 40
+
+
+def test_ancestry_broadcasts_no_level(spark):
+    edges = spark.createDataFrame([(i, i - 1) for i in range(1, 50)], "commit long, parent long")
+    levels, _ = ancestry.jump_tables(edges)
+    out = ancestry.lifted(spark.createDataFrame([(49, 30)], "node long, steps long"), levels, "node", "steps")
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString() and out.first()["at"] == 19
