@@ -19,6 +19,10 @@ BLOCK_BITS = 7
 SLACK = 1e-9
 
 
+#: Postings that a task of an index has on average: some 100 MB where they are sorted as rows.
+TASK_POSTINGS = 1 << 19
+
+
 class BlockIndex(NamedTuple):
     #: term, block, n, best (the highest term score in the block), offsets (bytes from the block's first document), weighted, sizes.
     blocks: DataFrame
@@ -39,26 +43,45 @@ def _tf(weighted: Column, size: Column, mean: Column) -> Column:
     return weighted * (K1 + 1) / (weighted + K1 * (1 - B + B * size / mean))
 
 
+def _summed(hits: Column) -> Column:
+    """An array of (term, weighted) as one element a term, with its sum. Each array is bound by a lambda, so that it is made once."""
+    bound = lambda value, body: F.transform(F.array(value), body)[0]
+    starts = lambda h: F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: (i == 1) | (F.get(h, i - 1)["term"] != F.get(h, i - 2)["term"]))
+    end = lambda h, at, k: F.coalesce(F.get(at, k + 1), F.size(h) + 1)
+    one = lambda h, at, i, k: F.struct(F.get(h, i - 1)["term"].alias("term"), F.aggregate(F.slice(h, i, end(h, at, k) - i), F.lit(0.0), lambda s, x: s + x["weighted"]).alias("weighted"))
+    runs = lambda h: bound(starts(h), lambda at: F.transform(at, lambda i, k: one(h, at, i, k)))
+    empty = F.filter(hits, lambda x: F.lit(False))
+    return F.when(F.size(hits) > 0, bound(F.sort_array(hits), runs)).otherwise(empty)
+
+
 def block_index(facts: DataFrame, key: list[str] = KEY, weights: dict[str, float] = WEIGHTS) -> BlockIndex:
     """The index of ``facts``, whose ``key`` is unique; null fields are empty.
 
     Documents are numbered in order of size, then key, by place in range partitions, so no task numbers all. Neighbours are of like
-    size, so a block's best score is near all of its scores. A term's postings are grouped by block: at most 128 a row,
-    so that a term of every document is as many rows as there are blocks, and no hot key. Blocks are sorted by term and number.
+    size, so a block's best score is near all of its scores. A document's hits of a term are summed in its own row; rows
+    are dealt by block, so that one task has all of a block and its postings are grouped where they are. A term's postings are at most 128
+    a row, so that a term of every document is as many rows as there are blocks, and no hot key. Blocks are sorted by term and
+    number. Each step has as many tasks as the number of postings asks for, so that none grows with the table.
     """
     lists = [tokens(F.coalesce(F.col(c), F.lit(""))) for c in weights]
     size = sum((F.size(t) for t in lists), F.lit(0)).cast("int")
-    sized = facts.select(*key, size.alias("size"), *[t.alias(f"_{i}") for i, t in enumerate(lists)])
-    docs = written(sized.repartitionByRange("size", *key).sortWithinPartitions("size", *key).withColumn("doc", F.monotonically_increasing_id()), "documents")
-    stats = written(docs.agg(F.count("*").alias("n"), F.avg("size").alias("mean")), "stats")
-    each = [docs.select("doc", "size", F.explode(f"_{i}").alias("term"), F.lit(w).alias("w")) for i, w in enumerate(weights.values())]
-    hits = reduce(DataFrame.unionAll, each).groupBy("term", "doc", "size").agg(F.sum("w").alias("weighted")).crossJoin(F.broadcast(stats))  # one row
-    hits = hits.withColumn("tf", _tf(F.col("weighted"), F.col("size"), F.col("mean")))
-    block = F.shiftright("doc", BLOCK_BITS)
-    posting = F.struct((F.col("doc") - F.shiftleft(block, BLOCK_BITS)).cast("tinyint").alias("offset"), "weighted", "size")
-    grouped = hits.groupBy("term", block.alias("block")).agg(F.count("*").alias("n"), F.max("tf").alias("best"), F.array_sort(F.collect_list(posting)).alias("p"))
+    hit = lambda w: lambda x: F.struct(x.alias("term"), F.lit(w).alias("weighted"))
+    every = F.concat(*[F.transform(t, hit(float(w))) for t, w in zip(lists, weights.values(), strict=True)])
+    sized = written(facts.select(*key, size.alias("size"), _summed(every).alias("terms")), "sized")
+    stats = written(sized.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), F.sum(F.size("terms")).alias("postings")), "stats")
+    total = stats.first()
+    parts, mean = -(-(total["postings"] or 0) // TASK_POSTINGS) or 1, F.lit(total["mean"])
+    flat = sized.select(*key, "size", F.col("terms.term").alias("terms"), F.col("terms.weighted").alias("weighted"))
+    numbered = flat.repartitionByRange(parts, "size", *key).sortWithinPartitions("size", *key).withColumn("doc", F.monotonically_increasing_id())
+    docs = written(numbered, "documents")
+    dealt = docs.select("doc", "size", "terms", "weighted", F.shiftright("doc", BLOCK_BITS).alias("block")).repartition(parts, "block")
+    hits = dealt.select("block", "doc", "size", F.explode(F.arrays_zip("terms", "weighted")).alias("p")).select("block", "doc", "size", F.col("p.terms").alias("term"), F.col("p.weighted").alias("weighted"))
+    posting = F.struct((F.col("doc") - F.shiftleft("block", BLOCK_BITS)).cast("tinyint").alias("offset"), "weighted", "size")
+    best = F.max(_tf(F.col("weighted"), F.col("size"), mean)).alias("best")
+    grouped = hits.groupBy("term", "block").agg(F.count("*").alias("n"), best, F.sort_array(F.collect_list(posting)).alias("p"))
     blocks = grouped.select("term", "block", "n", "best", F.col("p.offset").alias("offsets"), F.col("p.weighted").alias("weighted"), F.col("p.size").alias("sizes"))
-    return BlockIndex(written(blocks.orderBy("term", "block"), "blocks"), docs.select("doc", *key), stats)
+    blocks = blocks.repartitionByRange(parts, "term", "block").sortWithinPartitions("term", "block")
+    return BlockIndex(written(blocks, "blocks"), docs.select("doc", *key), stats.select("n", "mean"))
 
 
 def top_hits(index: BlockIndex, query: str, limit: int = 20, key: list[str] = KEY) -> TopHits:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from loomspan.operators import search
+from loomspan.operators import block_search, search
 from loomspan.operators.block_search import block_index, top_hits
 from loomspan.operators.shared import release
 
@@ -40,3 +40,17 @@ def test_edges(spark):
     empty = block_index(facts.limit(0))
     assert top_hits(empty, "x").rows.count() == 0 and top_hits(empty, "x").receipt.first()["blocks"] == 0
     release()
+
+
+def test_tasks_follow_the_postings(spark, monkeypatch):
+    """An index of many postings is made by more tasks than shuffles have, with the same ranks; hits are summed within their rows."""
+    rnd = random.Random(2)
+    rows = [(f"p{i % 9}", i, "k", " ".join(rnd.choices(["a", "b", "c", "d"], k=rnd.randrange(90))), "a" if i % 2 else None) for i in range(900)]
+    facts = spark.createDataFrame(rows, FACTS)
+    monkeypatch.setattr(block_search, "TASK_POSTINGS", 100, raising=False)
+    index = block_index(facts)
+    for table in (index.blocks, index.documents):
+        assert len(table.inputFiles()) > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    flat = lambda df: [(r["path"], r["ordinal"], round(r["rank"], 9)) for r in df.collect()]
+    assert flat(top_hits(index, "a c", 15).rows) == flat(search.code_search(facts.fillna(""), "a c", 15).rows)
+    release()
