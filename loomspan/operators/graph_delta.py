@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import MAX_CANDIDATES, SITE, prepared, resolve_prepared, site_keys
-from .shared import written
+from .shared import by_rows, few, written
 
 FILE = ["slot", "path"]
 DEFINITION = ["slot", "path", "ordinal", "kind", "name", "qualified_name"]
@@ -47,30 +47,32 @@ def resolve_changes(previous: Graph, before: DataFrame, after: DataFrame, sites:
     ``files`` (slot, path) must name every file whose definitions or sites differ, added and removed ones too; naming more is no
     error. Sites of those files are resolved again, and those elsewhere that depend on a name of a definition that differs. Scopes,
     modules and imports are a file's own, so the stored keys of all other files still hold. What is left keeps its rows.
-    Definitions are read once to find those that the names call for; only these are ordered and grouped, so
-    that everything shuffled but the stored keys grows with the edit. The result equals ``resolve_all(after, sites)``.
+    Definitions are read once to find those that the names call for; only these are ordered and grouped. Tables that grow with the
+    edit are broadcast only while they have few rows; then everything shuffled but the stored keys grows with the edit. Beyond, joins
+    are merges. The result equals ``resolve_all(after, sites)``.
     """
-    files = written(files.select(*FILE).distinct(), "files")
+    files = by_rows(written(files.select(*FILE).distinct(), "files"))
     inside = lambda df: df.join(files, FILE, "left_semi")
     outside = lambda df: df.join(files, FILE, "left_anti")
-    changed = written(changed_names(inside(before), inside(after)), "names")
-    depend = outside(previous.keys).join(changed, ["tag", "key"], "left_semi").select(*SITE).distinct()
-    again = written(inside(sites).select(*SITE).unionAll(depend), "again")
-    around = again.select(*FILE).distinct()
-    imports = sites.where(F.col("kind") == "import").join(around, FILE, "left_semi").join(again, SITE, "left_anti")  # what they bind
-    part = sites.join(again, SITE, "left_semi").unionByName(imports)
+    changed = by_rows(written(changed_names(inside(before), inside(after)), "names"))
+    depend = outside(previous.keys).join(changed, ["tag", "key"], "left_semi").select(*SITE)
+    again = written(inside(sites).select(*SITE).unionAll(depend).distinct(), "again")
+    around = by_rows(written(again.select(*FILE).distinct(), "around"))
+    asked = by_rows(again).withColumn("again", F.lit(True))
+    part = sites.join(asked, SITE, "left").where(F.col("again") | (F.col("kind") == "import"))  # with the imports, for what they bind
     modules = after.where(F.col("kind") == "module").join(around, FILE, "left_semi").select(*DEFINITION)
-    s = prepared(modules, part)
-    keys = written(site_keys(s), "keys")
-    asked = lambda tag, name: keys.where(F.col("tag") == tag).select(F.col("key").alias(name)).distinct()
-    named = [after.select(*DEFINITION).join(asked(t, n), n, "left_semi") for t, n in (("q", "qualified_name"), ("n", "name"))]
+    every = prepared(modules, part.join(around, FILE, "left_semi"))
+    s = every.where("again")
+    keys = written(site_keys(s, every), "keys")
+    names = lambda tag, name: by_rows(written(keys.where(F.col("tag") == tag).select(F.col("key").alias(name)).distinct(), "asked"))
+    named = [after.select(*DEFINITION).join(names(t, n), n, "left_semi").select(*DEFINITION) for t, n in (("q", "qualified_name"), ("n", "name"))]
     needed = written(named[0].unionByName(named[1]).unionByName(modules).distinct().select(*DEFINITION), "definitions")
-    res, cand = resolve_prepared(needed, s, max_candidates)
-    redone = lambda df: df.join(again, SITE, "left_semi")
-    kept = lambda df: outside(df).join(again, SITE, "left_anti")
-    graph = Graph(
-        kept(previous.resolutions).unionByName(redone(res)),
-        kept(previous.candidates).unionByName(redone(cand)),
-        outside(previous.keys).unionByName(inside(keys)),
-    )
+    res, cand = resolve_prepared(needed, s, max_candidates, every)
+    gone = written(again.unionAll(inside(previous.resolutions).select(*SITE)), "gone")
+    kept = previous.resolutions.join(by_rows(gone), SITE, "left_anti")
+    if few(gone):
+        shown = previous.candidates.join(F.broadcast(gone), SITE, "left_anti")
+    else:  # candidates are many a site, so what is left of a large edit is sought by its sites
+        shown = previous.candidates.join(by_rows(written(kept.where("candidate_count > 0").select(*SITE), "kept")), SITE, "left_semi")
+    graph = Graph(kept.unionByName(res), shown.unionByName(cand), outside(previous.keys).unionByName(inside(keys)))
     return Change(graph, again)

@@ -2,7 +2,7 @@
 
 import duckdb
 
-from loomspan.operators import graph, shared
+from loomspan.operators import graph, graph_delta, shared
 from loomspan.plans import queries
 
 DEFS = "slot string, path string, ordinal int, kind string, name string, qualified_name string"
@@ -45,3 +45,31 @@ def test_sites_of_customers_broadcast_no_table(spark, tmp_path):
     duckdb.sql(f"COPY (SELECT range AS c_custkey, 1 AS c_nationkey FROM range(50)) TO '{tmp_path}/customer.parquet'")
     sites = queries._definitions_and_sites(spark, str(tmp_path))[1]
     assert "Broadcast" not in plan(sites) and sites.count() == 50
+
+
+def test_a_large_edit_broadcasts_no_side_that_grows(spark, monkeypatch):
+    """An edit of ten files of thirty counts as large: what it leaves is joined by merge, and equals a full run."""
+    monkeypatch.setattr(shared, "FEW", 0, raising=False)
+    d = [("s", f"f{i}", k, kind, name, name) for i in range(30) for k, kind, name in ((0, "function", f"n{i}"), (1, "module", "m"))]
+    s = [("s", f"f{i}", k, kind, raw, "m", "module") for i in range(30) for k, kind, raw in ((0, "call", f"n{i}"), (1, "call", f"n{(i + 1) % 30}"), (2, "import", f"n{(i + 2) % 30} as b"), (3, "call", "b"))]
+    edited = [(*r[:4], "new", "new") if r[3] == "function" and int(r[1][1:]) < 10 else r for r in d]
+    before, after, sites = (shared.written(spark.createDataFrame(*x)) for x in ((d, DEFS), (edited, DEFS), (s, SITES)))
+    previous = graph_delta.Graph(*[shared.written(t) for t in graph_delta.resolve_all(before, sites)])
+    files = shared.written(sites.where("CAST(substr(path, 2) AS INT) < 10").select("slot", "path"))
+    seen = [recorded(monkeypatch, m) for m in (graph, graph_delta)]
+    change = graph_delta.resolve_changes(previous, before, after, sites, files)
+    assert all(seen) and not [p for p in [*sum(seen, []), *map(plan, change.graph)] if "Broadcast" in p]
+    assert 40 < change.again.count() < 120
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    for got, want in zip(change.graph, graph_delta.resolve_all(after, sites), strict=True):
+        assert rows(got) == rows(want)
+    shared.release()
+
+
+def test_a_small_edit_moves_no_stored_candidates(spark):
+    d, s = tables(spark)
+    previous = graph_delta.Graph(*[shared.written(t) for t in graph_delta.resolve_all(d, s)])
+    change = graph_delta.resolve_changes(previous, d, d, s, spark.createDataFrame([], "slot string, path string"))
+    stored = plan(change.graph.candidates).split("Union")[1].split("FileScan")[0]
+    assert "BroadcastHashJoin" in stored and "SortMergeJoin" not in stored and change.again.count() == 0
+    shared.release()
